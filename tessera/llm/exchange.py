@@ -135,21 +135,21 @@ def split(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [keys.size]]).astype(np.int64)
 
 
-def requests(block: int, buckets: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """Rows that send sorted distinct keys, each with its values, to their buckets."""
+def requests(block: int, buckets: int, keys: np.ndarray, *values: np.ndarray, first: int = 0) -> pa.RecordBatch:
+    """Rows that send sorted distinct keys, each with its values, to their buckets, from ``first`` on."""
     at = split(keys, buckets)
     full = [i for i in range(buckets) if at[i] < at[i + 1]]
     blobs = [pack_sorted(keys[at[i] : at[i + 1]], *(v[at[i] : at[i + 1]] for v in values)) for i in full]
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array(blobs, pa.binary())], schema=_REQUEST)
+    return pa.RecordBatch.from_arrays([pa.array([first + i for i in full], pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array(blobs, pa.binary())], schema=_REQUEST)
 
 
-def answers(table: pa.Table, width: int | None = None) -> list[np.ndarray]:
+def answers(table: pa.Table) -> list[np.ndarray]:
     """A block's answers, in the order of the keys that it sent."""
     order = np.argsort(np.asarray(table.column("bucket")), kind="stable")
     blobs = table.column("blob").to_pylist()
     parts = [unpack(blobs[i]) for i in order]
     if not parts:
-        return [np.empty(0) for _ in range(width or 1)]
+        return [np.empty(0)]
     return [np.concatenate(p) for p in zip(*parts, strict=True)]
 
 
@@ -163,7 +163,7 @@ def exchange(asked: DataFrame, checked: bool = False, statistics: Callable[[list
     only if both hashes are.  ``reply(totals, first)`` makes the answer from the
     totals aligned with the asking block's keys and a flag that is true for one
     asking block of each key.  ``statistics(totals)`` adds a row of block -1 to
-    each bucket, with sums over its distinct keys.
+    each bucket, with sums over its distinct keys; see ``summed``.
     """
 
     def merge(group: pa.Table) -> pa.Table:
@@ -207,6 +207,24 @@ def exchange(asked: DataFrame, checked: bool = False, statistics: Callable[[list
     return asked.groupBy("bucket").applyInArrow(merge, ANSWER_SCHEMA)
 
 
+def summed(replies: DataFrame, edge: int) -> list[list[float]]:
+    """The buckets' statistics added up: those of buckets below ``edge``, then the others'."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                (values,) = unpack(blob)
+                n = values.size
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket >= edge)] * n), pa.array(range(n), pa.int64()), pa.array(values.astype(np.float64))], ["part", "i", "v"])
+
+    found = replies.filter(F.col("block") == -1).mapInArrow(rows, "part long, i long, v double").groupBy("part", "i").agg(F.sum("v").alias("v")).collect()
+    width = 1 + max((r.i for r in found), default=0)
+    out = [[0.0] * width, [0.0] * width]
+    for r in found:
+        out[r.part][r.i] = r.v
+    return out
+
+
 def with_answers(blocks: DataFrame, *replies: DataFrame) -> object:
     """Blocks beside the replies to them, tagged 0, 1, ...; for ``applyInArrow``."""
     tagged = None
@@ -216,5 +234,8 @@ def with_answers(blocks: DataFrame, *replies: DataFrame) -> object:
     return blocks.groupBy("block").cogroup(tagged.groupBy("block"))
 
 
-def tagged(table: pa.Table, tag: int, width: int | None = None) -> list[np.ndarray]:
-    return answers(table.filter(pa.compute.equal(table.column("tag"), tag)), width)
+def tagged(table: pa.Table, tag: int, first: int = 0, last: int = 1 << 30) -> list[np.ndarray]:
+    """The answers with this tag from buckets ``first`` to ``last``, that one excluded."""
+    column = table.column("bucket")
+    chosen = pa.compute.and_(pa.compute.equal(table.column("tag"), tag), pa.compute.and_(pa.compute.greater_equal(column, first), pa.compute.less(column, last)))
+    return answers(table.filter(chosen))

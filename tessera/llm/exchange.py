@@ -156,13 +156,13 @@ def answers(table: pa.Table) -> list[np.ndarray]:
 Merge = Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]]
 
 
-def exchange(asked: DataFrame, checked: bool = False, statistics: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None, reply: Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]] | None = None) -> DataFrame:
+def exchange(asked: DataFrame, checked: bool = False, statistics: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None, reply: Callable[[list[np.ndarray], np.ndarray, list[np.ndarray]], list[np.ndarray]] | None = None) -> DataFrame:
     """Adds up each key's values over all blocks; one answer per request.
 
     With ``checked`` the first value is a second hash of the key: keys are equal
-    only if both hashes are.  ``reply(totals, first)`` makes the answer from the
-    totals aligned with the asking block's keys and a flag that is true for one
-    asking block of each key.  ``statistics(totals)`` adds a row of block -1 to
+    only if both hashes are.  ``reply(totals, first, sent)`` makes the answer from
+    the totals aligned with the asking block's keys, a flag that is true for one
+    asking block of each key, and the block's own values.  ``statistics(totals)`` adds a row of block -1 to
     each bucket, with sums over its distinct keys; see ``summed``.
     """
 
@@ -196,7 +196,7 @@ def exchange(asked: DataFrame, checked: bool = False, statistics: Callable[[list
         out_blocks, out_blobs, at = [], [], 0
         for i, n in zip(order, sizes, strict=True):
             own = [t[place[at : at + n]] for t in totals]
-            out_blobs.append(pack(*(reply(own, first[at : at + n]) if reply else own)))
+            out_blobs.append(pack(*(reply(own, first[at : at + n], [v[at : at + n] for v in values]) if reply else own)))
             out_blocks.append(ids[i])
             at += n
         if statistics:

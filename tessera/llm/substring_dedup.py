@@ -142,7 +142,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", doc_id
                 keys, counts = _anchors(data, window)
                 yield X.requests(block, few, keys, counts.astype(np.int32))
 
-    twice = lambda totals, first: [(totals[0] >= 2).astype(np.uint8)]
+    twice = lambda totals, first, sent: [(totals[0] >= 2).astype(np.uint8)]
     anchors = X.checkpoint(X.exchange(blocks.mapInArrow(ask_anchors, X.REQUEST_SCHEMA), reply=twice))
 
     def shared_of(data: bytes, table: pa.Table) -> np.ndarray:

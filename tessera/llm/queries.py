@@ -8,7 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import find_contamination
+from .language_id import fit_language_id, identify
 from .language_model import katz_scores
+from .matches import joined
+from .neighbours import nearest
+from .packing import CAPACITY, pack
+from .pii import find_personal_data
+from .quality import fit_quality, score_quality
+from .secrets import find_secrets
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 
@@ -24,6 +31,42 @@ def fold(modulus: int, doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = fit_language_id(docs, learn=fold(4) != 2)
+    return identify(docs, net).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "n_positions")
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), is_query=F.col("id") % 100 == 0, k=10)
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), CAPACITY)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_quality(docs, _table(spark, sf_dir, "labels"), learn=fold(5) != 0)
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def _digest(found: DataFrame, kinds: list[str]) -> DataFrame:
+    base = F.sha2(F.expr(joined("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *kinds, base, F.expr(joined("spans")).alias("spans"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(find_personal_data(_table(spark, sf_dir, "documents")), ["n_email", "n_ip", "n_card", "n_phone"])
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(_table(spark, sf_dir, "documents"), window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -49,11 +92,21 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(_table(spark, sf_dir, "documents"), held_out=fold(7) == 2)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(find_secrets(_table(spark, sf_dir, "documents")), ["n_assign", "n_access", "n_hex"])
+
+
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op2_neighbours": op2_neighbours,
+    "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
+    "op5_pii": op5_pii,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_language_model": op9_language_model,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {}

@@ -31,8 +31,8 @@ BASE = ("assign", "access", "hex")
 
 
 def _value(match: str) -> str:
-    """SQL: the assigned value, which follows the last separator of the fixed part."""
-    return rf"""regexp_extract({match}, r'''^[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$''', 1)"""
+    """SQL: the assigned value, what is left without the name, the separator and quotes."""
+    return rf"regexp_replace({match}, r'^[A-Za-z_]+[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?', '')"
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -221,39 +221,40 @@ def benchmark_blocks(benchmark: DataFrame, text: str = "text", item_id: str = "i
     return out
 
 
+def _search(blocks: list, texts: pa.Array) -> Iterator[tuple]:
+    """For each shard: the slice, its words' rows, and sorted occurrences as (starts, ends) with items by row."""
+    for part in slices(texts, PUNCTUATION, lower=True, limit=SHARD_BYTES):
+        h, row_of = part.hashes(), part.word_rows
+        starts, ends, names = [np.empty(0, np.int64)], [np.empty(0, np.int64)], {}
+        for block in blocks:
+            phrases = block.value
+            which, first = phrases.occurrences(h, part.word_at)
+            starts.append(first)
+            ends.append(first + phrases.lengths[which])
+            held = np.unique(np.stack([row_of[first], which]), axis=1)
+            for r, p in held.T.tolist():
+                names.setdefault(r, set()).update(phrases.ids[i] for i in phrases.item_of[phrases.item_at[p] : phrases.item_at[p + 1]].tolist())
+        both = np.stack([np.concatenate(starts), np.concatenate(ends)])
+        yield part, row_of, both[:, np.lexsort((both[1], both[0]))], names
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per document: its words, those inside test phrases, the items found, and spans of words to remove."""
     blocks = benchmark_blocks(benchmark)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            for part in slices(batch.column("text"), PUNCTUATION, lower=True, limit=SHARD_BYTES):
-                h, row_of = part.hashes(), part.word_rows
-                starts, ends, rows, names = [], [], [], {}
-                for block in blocks:
-                    phrases = block.value
-                    which, first = phrases.occurrences(h, part.word_at)
-                    if not which.size:
-                        continue
-                    starts.append(first)
-                    ends.append(first + phrases.lengths[which])
-                    held = np.unique(np.stack([row_of[first], which]), axis=1)
-                    for r, p in held.T.tolist():
-                        names.setdefault(r, set()).update(phrases.ids[i] for i in phrases.item_of[phrases.item_at[p] : phrases.item_at[p + 1]].tolist())
+            for part, row_of, found, names in _search(blocks, batch.column("text")):
                 hits, spans = np.zeros(part.rows, np.int64), {}
-                if starts:
-                    both = np.stack([np.concatenate(starts), np.concatenate(ends)])
-                    both = both[:, np.lexsort((both[1], both[0]))]
-                    rows = row_of[both[0]]
-                    for r in np.unique(rows).tolist():
-                        a, b = np.searchsorted(rows, [r, r + 1])
-                        merged = _covered(both[:, a:b])
-                        hits[r] = (merged[1] - merged[0]).sum()
-                        spans[r] = [{"start": int(s), "end": int(e)} for s, e in (merged - part.word_at[r]).T]
+                rows = row_of[found[0]]
+                for r in np.unique(rows).tolist():
+                    a, b = np.searchsorted(rows, [r, r + 1])
+                    merged = _covered(found[:, a:b])
+                    hits[r] = (merged[1] - merged[0]).sum()
+                    spans[r] = [{"start": int(s), "end": int(e)} for s, e in (merged - part.word_at[r]).T]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(part.first, part.rows),
+                        batch.column("doc_id").slice(part.first, part.rows),
                         pa.array(np.diff(part.word_at).astype(np.int64)),
                         pa.array(hits),
                         pa.array([sorted(x for x in names.get(r, ()) if x is not None) for r in range(part.rows)], pa.list_(pa.string())),
@@ -263,3 +264,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                 )
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(search, RESULT)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no test phrase."""
+    blocks = benchmark_blocks(benchmark)
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, row_of, found, _ in _search(blocks, batch.column(place)):
+                clean = np.ones(part.rows, bool)
+                clean[row_of[found[0]]] = False
+                yield batch.slice(part.first, part.rows).filter(pa.array(clean))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -33,6 +33,7 @@ SAMPLE_CHARS = 256
 UNDETERMINED = "und"
 RESULT = "doc_id long, lang_pred string, score double, n_positions long"
 _WIDE = 2048
+_RUN_BYTES = 4 << 20
 
 
 def softsign(x: np.ndarray) -> np.ndarray:
@@ -193,31 +194,58 @@ def fit_language_id(docs: DataFrame, learn: F.Column, label: str = "lang", text:
     return train(labelled_passages(docs.filter(learn), label, text, doc_id, rows, chars))
 
 
+def judge(net: Network | None, texts: pa.Array, letters: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts: the first one's row, their languages, scores and byte counts."""
+    texts = texts.fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    row = 0
+    while row < len(texts):
+        end = min(len(texts), max(row + 1, int(np.searchsorted(offsets, offsets[row] + _RUN_BYTES, "right")) - 1))
+        size = np.diff(offsets[row : end + 1])
+        names, scores = np.full(end - row, UNDETERMINED, object), np.zeros(end - row)
+        known = letters[row:end] & (size > 0)
+        if net is not None and known.any():
+            sums = _pooled(net, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], SEGMENT)
+            names[known] = np.array(net.labels, object)[sums.argmax(1)[known]]
+            scores[known] = np.clip(sums.max(1)[known] / size[known], 0, 1)
+        yield row, names, scores, size
+        row = end
+
+
+_LETTERS = "__letters"
+
+
+def _with_letters(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn(_LETTERS, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+
+
+def _flags(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), dtype=bool)
+
+
 def identify(docs: DataFrame, net: Network | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Each text's language, its pooled probability, and the positions labelled."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    source = _with_letters(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
         for batch in batches:
-            ids, letters = batch.column("doc_id"), np.asarray(batch.column("letters").to_numpy(zero_copy_only=False), dtype=bool)
-            texts = batch.column("text").fill_null("")
-            offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
-            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-            row = 0
-            while row < len(texts):
-                end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (4 << 20), "right")) - 1)
-                end = min(end, len(texts))
-                size = np.diff(offsets[row : end + 1])
-                names, scores = np.full(end - row, UNDETERMINED, object), np.zeros(end - row)
-                known = letters[row:end] & (size > 0)
-                if net is not None:
-                    sums = _pooled(net, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], SEGMENT)
-                    best = sums.argmax(1)
-                    names[known] = np.array(net.labels, object)[best[known]]
-                    scores[known] = np.clip(sums.max(1)[known] / size[known], 0, 1)
-                yield pa.RecordBatch.from_arrays([ids.slice(row, end - row), pa.array(names.tolist(), pa.string()), pa.array(scores), pa.array(size)], ["doc_id", "lang_pred", "score", "n_positions"])
-                row = end
+            for row, names, scores, size in judge(shared.value, batch.column("text"), _flags(batch)):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, size.size), pa.array(names.tolist(), pa.string()), pa.array(scores), pa.array(size)], ["doc_id", "lang_pred", "score", "n_positions"])
 
     return source.mapInArrow(label, RESULT)
+
+
+def identified(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language; the others are rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+            for row, names, _, size in judge(shared.value, batch.column(place), _flags(batch)):
+                yield rows.slice(row, size.size).filter(pa.array(names != UNDETERMINED))
+
+    return _with_letters(docs, text).mapInArrow(keep, docs.schema)

@@ -16,11 +16,11 @@ SPAN = "array<struct<start:int,rank:int,end:int,kind:string,match:string,before:
 NEAR = 40
 
 
-def _running_sums(numbers: str) -> str:
-    """SQL for the running sums of an array of integers that isn't empty."""
+def _running(numbers: str, step: str = "{a} + {b}") -> str:
+    """SQL for the running sums (or what ``step`` makes of two numbers) of an array of integers from 0 on that isn't empty."""
     groups = f"transform(sequence(0, (size({numbers}) - 1) div {GROUP}), b -> slice({numbers}, b * {GROUP} + 1, {GROUP}))"
-    within = "aggregate({x}, array({zero}), (acc, v) -> concat(acc, array(element_at(acc, -1) + v)))"
-    bases = within.format(x=f"transform({groups}, x -> aggregate(x, 0, (a, v) -> a + v))", zero="0")
+    within = f"aggregate({{x}}, array({{zero}}), (acc, v) -> concat(acc, array({step.format(a='element_at(acc, -1)', b='v')})))"
+    bases = within.format(x=f"transform({groups}, x -> aggregate(x, 0, (a, v) -> {step.format(a='a', b='v')}))", zero="0")
     inner = within.format(x="x", zero="base")
     return f"flatten(zip_with({groups}, slice({bases}, 1, size({groups})), (x, base) -> slice({inner}, 2, {GROUP})))"
 
@@ -39,7 +39,7 @@ def with_matches(df: DataFrame, text: str, name: str, rank: int, pattern: str, g
     df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split(F.col(text), pattern, -1)).otherwise(empty))
     steps = f"zip_with(slice({gaps}, 1, size({found})), {found}, (g, m) -> length(g) + length(m))"
     df = df.withColumn(ends, F.expr(f"CASE WHEN size({found}) > 0 THEN {steps} ELSE cast(array() AS array<int>) END"))
-    df = df.withColumn(ends, F.expr(f"CASE WHEN size({found}) > 0 THEN {_running_sums(ends)} ELSE cast(array() AS array<int>) END"))
+    df = df.withColumn(ends, F.expr(f"CASE WHEN size({found}) > 0 THEN {_running(ends)} ELSE cast(array() AS array<int>) END"))
     span = (
         f"transform(arrays_zip({ends}, {found}, slice({gaps}, 1, size({found})) AS before, slice({gaps}, 2, size({found})) AS after), z -> named_struct("
         f"'start', z.{ends} - length(z.{found}), 'rank', {rank}, 'end', z.{ends}, 'kind', '{name}', 'match', z.{found}, 'before', right(z.before, {NEAR}), 'after', left(z.after, {NEAR})))"
@@ -53,3 +53,15 @@ def with_matches(df: DataFrame, text: str, name: str, rank: int, pattern: str, g
 def joined(spans: str) -> str:
     """SQL for ``kind:start:end`` of the spans by start and then kind, joined by commas."""
     return f"array_join(transform(array_sort({spans}), s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+
+
+def with_masked(df: DataFrame, text: str, spans: str, mask: str) -> DataFrame:
+    """``text`` with its spans (sorted by start; they may overlap) replaced: each run of overlapping spans by one ``mask``."""
+    reach, runs, inner = "__reach", "__runs", "__parts"
+    some = f"size({spans}) > 0"
+    df = df.withColumn(reach, F.expr(f"CASE WHEN {some} THEN {_running(f'transform({spans}, s -> s.end)', 'greatest({a}, {b})')} ELSE cast(array() AS array<int>) END"))
+    # A run ends where the next span starts behind all ends so far.
+    df = df.withColumn(runs, F.expr(f"filter(transform({spans}, (s, i) -> named_struct('start', s.start, 'before', CASE WHEN i = 0 THEN 0 ELSE {reach}[i - 1] END)), (s, i) -> i = 0 OR s.start >= s.before)"))
+    df = df.withColumn(inner, F.expr(f"transform({runs}, s -> substring({text}, s.before + 1, s.start - s.before))"))
+    masked = F.expr(f"concat(array_join({inner}, '{mask}'), '{mask}', substring({text}, element_at({reach}, -1) + 1))")
+    return df.withColumn(text, F.when(F.expr(some), masked).otherwise(F.col(text))).drop(reach, runs, inner)

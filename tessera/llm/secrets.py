@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matches import joined, with_matches
+from .matches import joined, with_masked, with_matches
 
 SCOPE = 200
 #: The patterns of the base kinds.
@@ -35,18 +35,16 @@ def _value(match: str) -> str:
     return rf"regexp_replace({match}, r'^[A-Za-z_]+[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?', '')"
 
 
-def find_secrets(docs: DataFrame, scope: int = SCOPE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per document: ``base`` and ``spans``, arrays of struct(start, rank, end, kind, match)."""
-    df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    body = F.col("text")
+def _scanned(df: DataFrame, text: str, scope: int) -> DataFrame:
+    """``df`` with the columns of counts, ``base`` and ``spans``."""
+    body = F.col(text)
     assigned = (body.contains("=") | body.contains(":")) & body.rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
-    df = with_matches(df, "text", "assign", 0, ASSIGN, assigned)
-    df = with_matches(df, "text", "access", 1, ACCESS, body.contains("AKIA"))
-    df = with_matches(df, "text", "hex", 2, HEX, body.rlike(r"[0-9a-f]{16}"))
+    df = with_matches(df, text, "assign", 0, ASSIGN, assigned)
+    df = with_matches(df, text, "access", 1, ACCESS, body.contains("AKIA"))
+    df = with_matches(df, text, "hex", 2, HEX, body.rlike(r"[0-9a-f]{16}"))
     linked = F.size("access") > 0
-    df = with_matches(df, "text", "key", 3, KEY, linked)
-    df = with_matches(df, "text", "endpoint", 4, ENDPOINT, linked & body.contains("://"))
-    df = df.drop("text")
+    df = with_matches(df, text, "key", 3, KEY, linked)
+    df = with_matches(df, text, "endpoint", 4, ENDPOINT, linked & body.contains("://"))
     short = lambda s: f"named_struct('start', {s}.start, 'rank', {s}.rank, 'end', {s}.end, 'kind', {s}.kind, 'match', {s}.match)"
     for kind in (*BASE, "key", "endpoint"):
         df = df.withColumn(kind, F.expr(f"transform({kind}, s -> {short('s')})"))
@@ -60,7 +58,22 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE, text: str = "text", doc_id
     df = df.withColumn("parts", F.expr(f"filter(concat(key, value), s -> {meets('access')})"))
     df = df.withColumn("ends", F.expr(f"filter(endpoint, s -> {meets('access')} AND ({meets('parts')} OR {meets('assign')}))"))
     df = df.withColumn("spans", F.expr(f"array_sort(concat(base, filter(concat(parts, ends), s -> {clear})))"))
-    return df.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), "base", "spans")
+    return df.withColumns({f"n_{k}": F.size(k).cast("long") for k in BASE})
+
+
+def find_secrets(docs: DataFrame, scope: int = SCOPE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per document: counts, ``base`` and ``spans``, arrays of struct(start, rank, end, kind, match)."""
+    df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return _scanned(df, "text", scope).select("doc_id", *(f"n_{k}" for k in BASE), "base", "spans")
+
+
+def redacted(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE, text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, with every reported span masked; ``length`` counts the new text's characters."""
+    held = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    out = with_masked(_scanned(held, "__text", scope).select("__row", "__text", "spans"), "__text", "spans", mask)
+    changed = F.size("spans") > 0
+    fresh = {text: F.col("__text")} | ({length: F.length("__text").cast(docs.schema[length].dataType)} if length in docs.columns else {})
+    return out.select(*((F.when(changed, fresh[c]).otherwise(F.col("__row")[c]) if c in fresh else F.col("__row")[c]).alias(c) for c in docs.columns))
 
 
-__all__ = ["BASE", "find_secrets", "joined"]
+__all__ = ["BASE", "find_secrets", "joined", "redacted"]

@@ -120,6 +120,20 @@ class _Block:
         return out
 
 
+def _ranked(counts: np.ndarray, place: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of ``n`` places: how many of its counts are 1 ... ``TOP``, and the sum of those above.
+
+    Whole numbers add up exactly in any order, and most are 0.
+    """
+    out = [np.bincount(place[counts == r], minlength=n).astype(np.int32) for r in range(1, TOP + 1)]
+    return [*out, np.bincount(place[counts > TOP], counts[counts > TOP], n).astype(np.int64)]
+
+
+def _weighed(ranked: list[np.ndarray], factor: np.ndarray) -> np.ndarray:
+    """The discounted sum of the counts that ``_ranked`` describes."""
+    return ranked[TOP] + sum(ranked[r - 1] * (r * factor[r]) for r in range(1, TOP + 1))
+
+
 def _of_counts(totals: list[np.ndarray]) -> list[np.ndarray]:
     c = totals[0]
     small = np.bincount(c[c <= TOP + 1], minlength=TOP + 2)
@@ -142,7 +156,7 @@ def katz_scores(docs: DataFrame, held_out: F.Column, text: str = "text", doc_id:
                 yield X.requests(block, few, b.words, b.counted(b.words.size, b.word_of))
                 yield X.requests(block, many, b.pairs, b.counted(b.pairs.size, b.pair_of), first=few)
 
-    with_owner = lambda totals, first: [totals[0], first.astype(np.uint8)]
+    with_owner = lambda totals, first, sent: [totals[0], first.astype(np.uint8)]
     counts = X.checkpoint(X.exchange(blocks.mapInArrow(ask_counts, X.REQUEST_SCHEMA), statistics=_of_counts, reply=with_owner))
     ones, twos = (np.array(x) for x in X.summed(counts, few))
     size, vocabulary = (ones[0], ones[1]) if ones.size > 1 else (0.0, 0.0)
@@ -160,17 +174,24 @@ def katz_scores(docs: DataFrame, held_out: F.Column, text: str = "text", doc_id:
             b = _Block(data)
             word, pair, own = counts_of(right)
             used = own & (pair > 0)
-            follow = b.context_counts(word)
-            seen, place = pair[used], b.pair_context[used]
-            kept = np.bincount(place, discounted(seen, factor), b.contexts.size) / np.maximum(follow, 1)
-            lower = np.bincount(place, unigrams(word[b.pair_word[used]]) if unigrams else None, b.contexts.size).astype(float)
-            out.append(X.requests(block, few, b.contexts, kept, lower))
+            n, place = b.contexts.size, b.pair_context[used]
+            needed = np.zeros(n, np.uint8)
+            needed[b.pair_context[pair == 0]] = 1
+            follow = b.context_counts(word).astype(np.int64)
+            out.append(X.requests(block, few, b.contexts, *_ranked(pair[used], place, n), *_ranked(word[b.pair_word[used]], place, n), follow, needed))
         return pa.Table.from_batches(out, X._REQUEST)
 
-    def weigh(totals: list[np.ndarray], first: np.ndarray) -> list[np.ndarray]:
-        """Backoff weights; negative if nothing was discounted, for the block to give one count to unseen words."""
-        kept, lower = totals
-        return [np.where(kept < 1 - 1e-12, 1 - kept, -1.0) / np.maximum(1 - lower, 1e-300)]
+    def weigh(totals: list[np.ndarray], first: np.ndarray, sent: list[np.ndarray]) -> list[np.ndarray]:
+        """Whether a context's tokens are one more than its count, and its backoff weight if the block needs it.
+
+        One token more goes to unseen words if no seen bigram was discounted.
+        """
+        follow, needed = sent[-2], sent[-1]
+        kept = _weighed(totals[: TOP + 1], factor)
+        lower = _weighed(totals[TOP + 1 : 2 * TOP + 2], unigrams.factor) / unigrams.whole if unigrams else np.zeros(kept.size)
+        more = (follow > 0) & (kept >= follow - 1e-9)
+        weight = np.where(more, 1.0, follow - kept) / np.maximum(follow + more, 1) / np.maximum(1 - lower, 1e-300)
+        return [more.astype(np.uint8), np.where(needed > 0, weight, 0.0)]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
@@ -178,12 +199,11 @@ def katz_scores(docs: DataFrame, held_out: F.Column, text: str = "text", doc_id:
             b = _Block(data)
             n = b.rows.num_rows
             word, pair, _ = counts_of(right)
-            (weight,) = X.tagged(right, 1)
+            more, weight = X.tagged(right, 1)
             follow = b.context_counts(word)
             base = np.log10((word + 1) / (size + vocabulary + 1))
             if unigrams:
-                whole = follow + (weight < 0)
-                weight = np.where(weight < 0, -weight / np.maximum(whole, 1), weight)
+                whole = follow + more
                 seen = pair > 0
                 c = b.pair_context
                 p = np.where(seen, discounted(pair, factor) / np.maximum(whole[c], 1), np.where(follow[c] > 0, weight[c], 1.0) * unigrams(word[b.pair_word]))

@@ -110,20 +110,12 @@ def with_stems(tokens: DataFrame, settings: IndexSettings = IndexSettings()) ->
     df = df.select(*own, "term")
     arabic = is_arabic(F.col("raw"))
     if not settings.arabic.light_stem:
-        return df.withColumn("term", F.when(arabic, F.col("raw")).otherwise(F.col("term"))).filter("term <> ''")
-    word = F.col("raw")
-    cut = None
-    for p in PREFIXES:
-        test = word.startswith(p) & (F.length(word) >= len(p) + LEAST_STEM)
-        value = F.substr(word, F.lit(len(p) + 1))
-        cut = F.when(test, value) if cut is None else cut.when(test, value)
-    df = df.withColumn("bare", F.when(arabic, cut.otherwise(word)))
-    bare, cut = F.col("bare"), None
-    for s in SUFFIXES:
-        test = bare.endswith(s) & (F.length(bare) >= len(s) + LEAST_STEM)
-        value = F.left(bare, F.length(bare) - len(s))
-        cut = F.when(test, value) if cut is None else cut.when(test, value)
-    return df.withColumn("term", F.when(arabic, cut.otherwise(bare)).otherwise(F.col("term"))).drop("bare").filter("term <> ''")
+        return df.withColumn("term", F.when(arabic, F.col("raw")).otherwise(F.col("term")))
+    # Both lists have longer affixes before shorter ones, so the regular expressions find the first that fits.
+    bare = F.regexp_replace("raw", f"^(?:{'|'.join(PREFIXES)})(?=.{{{LEAST_STEM}}})", "")
+    stem = F.regexp_replace(bare, f"^(.{{{LEAST_STEM},}}?)(?:{'|'.join(SUFFIXES)})$", "$1")
+    # No stem is empty, and a filter on the term would be pushed below the steps and repeat them.
+    return df.withColumn("term", F.when(arabic, stem).otherwise(F.col("term")))
 
 
 def without_stop_words(tokens: DataFrame, settings: IndexSettings) -> DataFrame:

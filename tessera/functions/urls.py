@@ -10,7 +10,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_URL = r"^(?i:(https?))://([^/?#@:]+)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_URL = r"^(?i:(https?))://([^/?#@:]+)(?::([0-9]+))?((?:/[^?#]*)?)(?:\?([^#]*))?(?:#.*)?$"
 
 
 def normalized_url(url: Column) -> Column:

@@ -81,6 +81,15 @@ def build(docs: DataFrame, settings: IndexSettings = IndexSettings(), fields: li
     return Index(docs, posts, lens, dictionary(posts), averages(lens, n), n, settings)
 
 
+def persisted(index: Index) -> Index:
+    """The index with its tables kept by the session, for many searches of one version."""
+    index.postings = index.postings.persist()
+    index.lengths = index.postings.groupBy("doc_id", "field").agg(F.sum("tf").alias("len")).persist()
+    index.dictionary = dictionary(index.postings).persist()
+    index.averages = averages(index.lengths, index.n_docs).persist()
+    return index
+
+
 def typo_dictionary(vocabulary: DataFrame, most: int = 2) -> DataFrame:
     """(variant, term) rows: every term under each of its deletion variants."""
     return vocabulary.select("term", F.explode(deletion_variants(F.col("term"), most)).alias("variant"))

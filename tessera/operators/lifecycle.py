@@ -32,7 +32,7 @@ def retry_after_ms(header: Column, now: Column) -> Column:
     """Seconds or an HTTP date; null for anything else."""
     seconds = F.when(F.trim(header).rlike("^[0-9]+$"), F.trim(header).cast("double") * 1000)
     date = F.when(F.trim(header).rlike("^[A-Za-z]"), F.try_to_timestamp(F.regexp_replace(F.trim(header), "^[A-Za-z]+, *| *GMT$", ""), F.lit("d MMM yyyy HH:mm:ss")))
-    ahead = F.greatest(F.lit(0.0), (F.unix_micros(date) - F.unix_micros(now)) / 1000.0)
+    ahead = F.when(date.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(date) - F.unix_micros(now)) / 1000.0))
     return F.coalesce(seconds, ahead)
 
 

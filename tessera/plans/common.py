@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import english_steps
-from ..operators.index import Index, build
+from ..operators.index import Index, build, persisted
 from ..settings import IndexSettings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,13 +58,7 @@ def active_index(spark: SparkSession, sf_dir: str) -> Index:
         for old in list(_ACTIVE):
             if old[0] != key[0]:
                 del _ACTIVE[old]
-        index = build(search_docs(spark, sf_dir), SETTINGS)
-        index.postings = index.postings.persist()
-        from ..operators.index import averages, dictionary
-
-        index.lengths = index.postings.groupBy("doc_id", "field").agg(F.sum("tf").alias("len")).persist()
-        index.dictionary = dictionary(index.postings).persist()
-        index.averages = averages(index.lengths, index.n_docs)
+        index = persisted(build(search_docs(spark, sf_dir), SETTINGS))
         _ACTIVE[key] = index
     return _ACTIVE[key]
 

@@ -88,9 +88,9 @@ def _tokens(data: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
         before[part.word_at[:-1] + at] = BEGIN
         words.append(seq)
         contexts.append(before)
-        owner.append(part.first + np.repeat(at, np.diff(part.word_at) + 1))
+        owner.append((part.first + np.repeat(at, np.diff(part.word_at) + 1)).astype(np.int32))
     none = np.empty(0, np.uint64)
-    return rows, np.concatenate([*words, none]), np.concatenate([*contexts, none]), np.concatenate([*owner, np.empty(0, np.int64)])
+    return rows, np.concatenate([*words, none]), np.concatenate([*contexts, none]), np.concatenate([*owner, np.empty(0, np.int32)])
 
 
 class _Block:
@@ -100,12 +100,15 @@ class _Block:
         self.rows, words, contexts, self.owner = _tokens(data)
         self.held = np.asarray(self.rows.column("held_out").to_numpy(zero_copy_only=False), dtype=bool)
         self.train = ~self.held[self.owner] if self.owner.size else np.zeros(0, bool)
-        self.words, self.word_of = np.unique(words, return_inverse=True)
-        self.pairs, first, self.pair_of = np.unique(mix(contexts * _K + words), return_index=True, return_inverse=True)
+        self.words, place = np.unique(words, return_inverse=True)
+        self.word_of = place.astype(np.int32)
         self.contexts = np.unique(np.append(self.words, BEGIN))
+        pairs = mix(contexts * _K + words)
+        del words, place
+        self.pairs, first, place = np.unique(pairs, return_index=True, return_inverse=True)
+        self.pair_of = place.astype(np.int32)
         self.pair_word = self.word_of[first]
-        self.pair_context = np.searchsorted(self.contexts, contexts[first])
-        self.context_of = self.pair_context[self.pair_of]
+        self.pair_context = np.searchsorted(self.contexts, contexts[first]).astype(np.int32)
 
     def counted(self, n: int, place: np.ndarray) -> np.ndarray:
         return np.bincount(place[self.train], minlength=n).astype(np.int64)

@@ -14,7 +14,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, exchange, language_id, language_model, neighbours, packing, pii, quality, secrets, simhash, substring_dedup
+from tessera.llm import decontamination, exchange, language_id, language_model, neighbours, packing, pii, quality, secrets, similar, simhash, substring_dedup
 from tessera.llm.matches import joined, with_masked
 from tessera.llm.queries import QUERIES, fold
 from tessera.llm.textbytes import BLANKS, slices
@@ -157,6 +157,66 @@ def test_near_duplicates(spark, corpus):
     assert got == {i: (f"{prints[i]:016x}", roots[i]) for i in texts}
 
 
+def shingled(text):
+    w = (text or "").encode().translate(LOWER).split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def near_copies(n, words=120, edits=2, seed=3):
+    """A text of ``words`` different words and ``n`` copies with other words in ``edits`` places."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = [base]
+    for k in range(n):
+        copy = base.copy()
+        for i in rng.integers(0, words, edits).tolist():
+            copy[i] = f"x{k}y{i}"
+        out.append(copy)
+    return [" ".join(t) for t in out]
+
+
+def test_similar_groups(spark, corpus):
+    more = [*AWKWARD, *near_copies(3), *(" ".join(f"v{i}" for i in range(n)) for n in (3, 4, 5, 7, 8, 9, 10)), "A b C d", "a  b c\td"]
+    texts = texts_of(corpus) | dict(enumerate(more, 10_000))
+    sets = {i: shingled(t) for i, t in texts.items()}
+    parent = {}
+    ids = sorted(texts, key=lambda i: len(sets[i]))
+    for k, a in enumerate(ids):
+        parent[a] = a
+        for b in reversed(ids[:k]):
+            if len(sets[b]) < 0.8 * len(sets[a]):
+                break
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                x, y = a, b
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                parent[x] = y
+    want, got = defaultdict(set), defaultdict(set)
+    for i in ids:
+        x = i
+        while parent[x] != x:
+            x = parent[x]
+        want[x].add(i)
+    for r in similar.similar_groups(documents(spark, list(texts.values()), list(texts))).collect():
+        got[r.root].add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_similar_groups_of_crowded_keys(spark):
+    roots = {r.root for r in similar.similar_groups(documents(spark, near_copies(80, edits=1)), wide=3).collect()}
+    assert len(roots) == 1
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    texts = [*near_copies(3), "another text"]
+    assert len({fingerprint(t) for t in texts}) == 5 and all(bin(fingerprint(texts[0]) ^ fingerprint(t)).count("1") > 2 for t in texts[1:])
+    assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, documents(spark, texts), "").collect()} == {0, 4}
+
+
 # Decontamination
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

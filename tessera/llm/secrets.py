@@ -24,8 +24,8 @@ SCOPE = 200
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
-#: Patterns of weak candidates.
-KEY = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+#: Patterns of weak candidates.  A key may stand right behind an equals sign.
+KEY = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"https?://[A-Za-z0-9.-]++(?::[0-9]++)?(?:/[A-Za-z0-9._~/-]*+)?"
 BASE = ("assign", "access", "hex")
 

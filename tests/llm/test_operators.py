@@ -217,6 +217,19 @@ def test_pipeline_drops_near_copies(spark):
     assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, documents(spark, texts), "").collect()} == {0, 4}
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    copies = near_copies(1)
+    texts = ["the first text", "a second one", copies[0], copies[1], "of no id", "of no id", copies[1], copies[0], "alone here"]
+    ids = [7, 7, 8, 9, None, None, None, 3, 9]
+    rows = [(i, t, "en", "s", len(t), 0.5, "w", True, 1, "b", "s") for i, t in zip(ids, texts, strict=True)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    kept = corpus_pipeline.deduplicate(spark, df, "")
+    want = [(7, texts[0]), (7, texts[1]), (3, copies[0]), (None, "of no id"), (9, "alone here")]
+    assert kept.columns == df.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+
+
 # Decontamination
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")

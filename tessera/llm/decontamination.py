@@ -10,12 +10,17 @@ All test phrases are searched backwards at once, occurrences are located through
 the samples, and overlapping ones merge into removal spans.
 
 The benchmark is collected and broadcast in blocks of at most ``BLOCK_BYTES`` of
-text, one broadcast each, so a task holds one block whatever the benchmark's
-size.  Training texts never leave their task: there is no shuffle.
-
-Null texts have no words; empty items have no phrase; items may repeat, and an
-item counts once.  An item without an id still marks words, but isn't listed.
-Repeated documents are judged each; other columns are ignored.
+text, one broadcast each.  A task reads one block after the other for each shard and
+lets go of it before the next, and the driver makes one at a time, so both hold one
+block whatever the benchmark's size.  Training texts never leave their task: there is
+no shuffle of them.
+
+Words are equal if their 64-bit hashes are.  Null texts have no words; empty items have
+no phrase; items may repeat, and an item counts once; the items of a document are in
+order of their ids as strings.  An item without an id still marks words, but isn't
+listed.  Without documents or without items there is nothing to find.  A very long text
+is a shard of its own.  Repeated documents are judged each; other columns, also those
+named like results, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import checkpoint
 from .textbytes import PUNCTUATION, slices
 
 PHRASE_WORDS = 10
@@ -213,6 +219,8 @@ def benchmark_blocks(benchmark: DataFrame, text: str = "text", item_id: str = "i
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // block_bytes)
+    if n > 1:
+        items = checkpoint(items)
     context = benchmark.sparkSession.sparkContext
     out = []
     for i in range(n):
@@ -221,13 +229,20 @@ def benchmark_blocks(benchmark: DataFrame, text: str = "text", item_id: str = "i
     return out
 
 
+def _each(blocks: list) -> Iterator[Phrases]:
+    """The blocks' phrases; of several, one at a time is held."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > 1:
+            vars(block).pop("_value", None)  # a worker's copy, read again when it is asked for
+
+
 def _search(blocks: list, texts: pa.Array) -> Iterator[tuple]:
     """For each shard: the slice, its words' rows, and sorted occurrences as (starts, ends) with items by row."""
     for part in slices(texts, PUNCTUATION, lower=True, limit=SHARD_BYTES):
         h, row_of = part.hashes(), part.word_rows
         starts, ends, names = [np.empty(0, np.int64)], [np.empty(0, np.int64)], {}
-        for block in blocks:
-            phrases = block.value
+        for phrases in _each(blocks):
             which, first = phrases.occurrences(h, part.word_at)
             starts.append(first)
             ends.append(first + phrases.lengths[which])

@@ -1,18 +1,19 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are made of good and of bad labelled passages.  A text
-is cut into blocks of ``BLOCK`` bytes, and every block is compressed with either
-dictionary: the dictionary that resembles it makes it smaller.  The difference of
-the two compressed sizes, summed over the blocks and divided by the text's bytes
-(plus a constant that draws short texts to the prior), is calibrated to a
-probability by logistic regression on passages that are in neither dictionary.
-The calibration also reads the normalised size itself, since a text that repeats
-itself is small with either dictionary and leaves no difference.
+Two zstandard dictionaries are made of good and of bad labelled passages, whole ones.
+A text is cut into blocks of ``BLOCK`` bytes, so short that a text which repeats itself
+can't hide it from the dictionaries, and every block is compressed with either: the
+dictionary that resembles it makes it smaller.  The difference of the two compressed
+sizes, summed over the blocks and divided by the text's bytes (plus a constant that
+draws short texts to the prior), is calibrated to a probability by logistic regression
+on passages that are in neither dictionary.  Nothing else is read of a text.
 
 Labels come from a bounded sample.  Null and empty texts have no difference and
 score the prior of the calibration; without labels of both kinds every score is
-the share of good labels, or 0.5 without any.  Repeated documents are scored each;
-of a document's repeated labels each counts; other columns are ignored.
+the share of good labels, or 0.5 without any.  An empty table has no scores.  Very long
+texts are read whole, block by block.  Equal texts have equal scores; repeated
+documents are scored each; of a document's repeated labels each counts; other columns,
+also those named like results, are ignored.
 """
 
 from __future__ import annotations
@@ -27,18 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_passages
+from .textbytes import bytes_of
 
-BLOCK = 2048
+BLOCK = 64
 #: Bound of the sample: passages of both labels, and characters in each.
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 4096
-#: Bytes of passages in a dictionary, and the least that one passage gives.
-DICTIONARY_BYTES = 256 << 10
-LEAST_BYTES = 512
+#: Bytes of whole passages in a dictionary, at most.
+DICTIONARY_BYTES = 1 << 20
 #: Bytes added to a text's size when its difference is normalised.
-SHRINK = 64
-#: Bytes of ordinary text, and their usual compressed share, added when its size is normalised.
-USUAL_BYTES, USUAL_SHARE = 256, 0.4
+SHRINK = 16
 LEVEL = 3
 RESULT = "doc_id long, score double, size_good long, size_bad long"
 
@@ -63,7 +62,7 @@ class Classifier:
 
 def constant(share: float) -> Classifier:
     """A classifier that has no dictionary and gives every text the same score."""
-    return Classifier(b"", b"", np.array([0, 0, 0, np.log((share + 1e-6) / (1 - share + 1e-6))]))
+    return Classifier(b"", b"", np.array([0, np.log((share + 1e-6) / (1 - share + 1e-6))]))
 
 
 def sizes(codes: list[zstandard.ZstdCompressor], raw: bytes | memoryview, block: int = BLOCK) -> tuple[int, int]:
@@ -77,11 +76,9 @@ def sizes(codes: list[zstandard.ZstdCompressor], raw: bytes | memoryview, block:
 
 
 def features(good: np.ndarray, bad: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Normalised difference, and logarithm of the normalised size with its square; all 0 for an empty text."""
-    raw = np.asarray(raw, float)
-    x = (np.asarray(bad, float) - good) / (raw + SHRINK)
-    size = np.where(raw > 0, np.log((np.asarray(good, float) + USUAL_SHARE * USUAL_BYTES) / (USUAL_SHARE * (raw + USUAL_BYTES))), 0.0)
-    return np.stack([50 * x, size, size * size, np.ones_like(x)], axis=1)
+    """The normalised difference (0 for an empty text) and a constant."""
+    x = (np.asarray(bad, float) - good) / (np.asarray(raw, float) + SHRINK)
+    return np.stack([50 * x, np.ones_like(x)], axis=1)
 
 
 def _regress(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -121,19 +118,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: F.Column, quality: st
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = labelled_passages(texts.join(F.broadcast(chosen), "doc_id"), "mark", "text", "doc_id", rows, chars)
     # One passage in two makes the dictionaries, the other calibrates.
-    given = {m: sum(k == m for k, _ in found) // 2 + 1 for m in (0, 1)}
     books, rest = {0: bytearray(), 1: bytearray()}, []
     for i, (mark, passage) in enumerate(found):
         raw = passage.encode()
-        if i % 2 == 0:
-            room = DICTIONARY_BYTES - len(books[mark])
-            books[mark] += raw[: min(room, max(LEAST_BYTES, DICTIONARY_BYTES // given[mark]))]
-        else:
+        if i % 2:
             rest.append((mark, raw))
+        elif len(books[mark]) + len(raw) <= DICTIONARY_BYTES:
+            books[mark] += raw
     y = np.array([m for m, _ in rest], float)
     if len(set(y.tolist())) < 2 or not (books[0] and books[1]):
         return constant(float(share))
-    model = Classifier(bytes(books[1]), bytes(books[0]), np.zeros(4))
+    model = Classifier(bytes(books[1]), bytes(books[0]), np.zeros(2))
     codes = model.compressors()
     pairs = np.array([sizes(codes, raw) for _, raw in rest])
     x = features(pairs[:, 0], pairs[:, 1], np.array([len(raw) for _, raw in rest]))
@@ -150,10 +145,8 @@ def score_quality(docs: DataFrame, model: Classifier, text: str = "text", doc_id
         model = shared.value
         codes = model.compressors() if model.good else None
         for batch in batches:
-            texts = batch.column("text").fill_null("").cast(pa.binary())
-            n = len(texts)
-            offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1, 4 * texts.offset)
-            data = memoryview(texts.buffers()[2] or b"")
+            data, offsets = bytes_of(batch.column("text"))
+            n = batch.num_rows
             pairs = np.zeros((n, 2), np.int64)
             if codes:
                 for r in range(n):

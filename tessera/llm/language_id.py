@@ -9,8 +9,10 @@ through time on a bounded sample of labelled passages, and applied to every byte
 of every text, many segments side by side.
 
 A null text, or one without any letter, is ``und`` with score 0; so is every
-text if no label could be learned.  Repeated rows are judged each; other columns
-are ignored.
+text if no label could be learned.  Of equally probable languages the first by name
+is taken.  An empty table gives no rows.  Very long texts are read whole, in segments.
+Repeated rows are judged each; other columns, also those named like results, are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_passages
+from .textbytes import bytes_of
 
 SEGMENT = 64
 HIDDEN = 8
@@ -31,6 +35,8 @@ HIDDEN = 8
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 256
 UNDETERMINED = "und"
+#: Share of a document's positions, by probability, that its language must have; else it is rejected.
+LEAST = 0.4
 RESULT = "doc_id long, lang_pred string, score double, n_positions long"
 _WIDE = 2048
 _RUN_BYTES = 4 << 20
@@ -196,9 +202,8 @@ def fit_language_id(docs: DataFrame, learn: F.Column, label: str = "lang", text:
 
 def judge(net: Network | None, texts: pa.Array, letters: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of texts: the first one's row, their languages, scores and byte counts."""
-    texts = texts.fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    whole, offsets = bytes_of(texts)
+    data = np.frombuffer(whole, np.uint8)
     row = 0
     while row < len(texts):
         end = min(len(texts), max(row + 1, int(np.searchsorted(offsets, offsets[row] + _RUN_BYTES, "right")) - 1))
@@ -237,15 +242,27 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", doc_id: s
     return source.mapInArrow(label, RESULT)
 
 
-def identified(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language; the others are rejected."""
+def identified(docs: DataFrame, net: Network | None, text: str = "text", label: str = "lang", least: float = LEAST) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language the network identifies; a null ``label`` becomes that language.
+
+    A row is rejected if its text has no letter, or if no language has a pooled
+    probability of ``least``.  Where nothing could be learned, texts with letters stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     place = docs.columns.index(text)
+    named = docs.columns.index(label) if label in docs.columns else None
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
         for batch in batches:
-            rows = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
-            for row, names, _, size in judge(shared.value, batch.column(place), _flags(batch)):
-                yield rows.slice(row, size.size).filter(pa.array(names != UNDETERMINED))
+            letters, schema = _flags(batch), pa.schema(list(batch.schema)[:-1])
+            columns = batch.columns[:-1]
+            for row, names, scores, size in judge(net, batch.column(place), letters):
+                part = [c.slice(row, size.size) for c in columns]
+                if named is not None:
+                    known = pa.array([None if n == UNDETERMINED else n for n in names.tolist()], part[named].type)
+                    part[named] = pa.compute.coalesce(part[named], known)
+                stays = letters[row : row + size.size] if net is None else (names != UNDETERMINED) & (scores >= least)
+                yield pa.RecordBatch.from_arrays(part, schema=schema).filter(pa.array(stays))
 
     return _with_letters(docs, text).mapInArrow(keep, docs.schema)

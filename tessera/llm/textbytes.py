@@ -75,6 +75,13 @@ class Slice:
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 
+def bytes_of(texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The UTF-8 bytes of a string array, and where each text begins and ends there; null texts are empty."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    return memoryview(texts.buffers()[2] or b""), offsets
+
+
 def slices(texts: pa.Array, separators: bytes, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     """The texts of an Arrow string array, in order; null texts are empty."""
     n = len(texts)

@@ -156,17 +156,20 @@ def answers(table: pa.Table) -> list[np.ndarray]:
 Merge = Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]]
 
 
-def exchange(asked: DataFrame, checked: bool = False, statistics: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None, reply: Callable[[list[np.ndarray], np.ndarray, list[np.ndarray]], list[np.ndarray]] | None = None) -> DataFrame:
+def exchange(asked: DataFrame, checked: bool = False, statistics: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None, reply: Callable[[list[np.ndarray], np.ndarray, list[np.ndarray]], list[np.ndarray]] | None = None, below: tuple[int, Callable[[pa.Table], pa.Table]] | None = None) -> DataFrame:
     """Adds up each key's values over all blocks; one answer per request.
 
     With ``checked`` the first value is a second hash of the key: keys are equal
     only if both hashes are.  ``reply(totals, first, sent)`` makes the answer from
     the totals aligned with the asking block's keys, a flag that is true for one
     asking block of each key, and the block's own values.  ``statistics(totals)`` adds a row of block -1 to
-    each bucket, with sums over its distinct keys; see ``summed``.
+    each bucket, with sums over its distinct keys; see ``summed``.  With ``below``, an
+    edge and a function, buckets below the edge are answered by that function.
     """
 
     def merge(group: pa.Table) -> pa.Table:
+        if below and group.column("bucket")[0].as_py() < below[0]:
+            return below[1](group)
         order = np.argsort(np.asarray(group.column("block")), kind="stable")
         blobs, ids = group.column("blob").to_pylist(), group.column("block").to_pylist()
         bucket = group.column("bucket")[0].as_py()

@@ -57,21 +57,68 @@ def removed_words(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window", [1, 5, 35])
-def test_substring_dedup(spark, window):
+def spans_of(texts, window):
+    """Runs of removed words, by brute force."""
+    counts = Counter(tuple(t.split()[s : s + window]) for t in texts for s in range(len(t.split()) - window + 1))
+    out = []
+    for t in texts:
+        w = t.split()
+        gone = [False] * (len(w) + 1)
+        for s in range(len(w) - window + 1):
+            if counts[tuple(w[s : s + window])] > 1:
+                gone[s : s + window] = [True] * window
+        edges = [i for i in range(len(w) + 1) if gone[i] != (i > 0 and gone[i - 1])]
+        out.append(list(zip(edges[::2], edges[1::2], strict=True)))
+    return out
+
+
+@pytest.mark.parametrize("window,hot", [(1, 1 << 12), (5, 1 << 12), (35, 1 << 12), (35, 1), (35, 3), (80, 1 << 12)])
+def test_substring_dedup(spark, window, hot):
     rng = np.random.default_rng(5)
     base = [" ".join(f"w{i}" for i in rng.integers(0, 40, n)) for n in (0, 3, 34, 35, 36, 80, 200)]
-    texts = [*base, base[5], base[6][:400] + " new words " + base[4], base[4] + "\t" + base[4], "a " * 100]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(documents(spark, texts), window).collect()}
-    assert [got[i] for i in range(len(texts))] == removed_words(texts, window)
+    texts = [*base, base[5], base[6][:400] + " new words " + base[4], base[4] + "\t" + base[4], "a " * 100, "\n" + base[6].replace(" ", "  ") + " é"]
+    texts += [" ".join(rng.permutation(base[6].split()[20:40]).tolist() + base[6].split()[40:90] + rng.permutation(base[6].split()[:30]).tolist()) for _ in range(6)]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(documents(spark, texts), window, hot=hot).collect()}
+    assert [(got[i].n_words, got[i].n_removed, got[i].kept) for i in range(len(texts))] == removed_words(texts, window)
+    spans = spans_of(texts, window)
+    assert [[(s.start, s.end) for s in got[i].repeats] for i in range(len(texts))] == spans
+    assert all(e - s >= window for own in spans for s, e in own)
+
 
+def test_substring_dedup_of_few_words(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(["a", "b"], int(n), p=[0.8, 0.2])) for n in rng.integers(0, 60, 60)]
+    for hot in (1, 2, 50):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(documents(spark, texts), 12, hot=hot).collect()}
+        assert [got[i] for i in range(len(texts))] == removed_words(texts, 12)
 
-def test_substring_dedup_of_documents(spark, corpus):
+
+@pytest.mark.parametrize("hot", [4, 1 << 12])
+def test_substring_dedup_of_documents(spark, corpus, hot):
     texts = texts_of(corpus)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(corpus).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(corpus, hot=hot).collect()}
     assert [got[i] for i in texts] == removed_words(list(texts.values()), 35)
 
 
+def test_words_and_anchors_of_equal_hashes_stay_apart(monkeypatch):
+    real = substring_dedup.slices
+
+    def colliding(*args, **kwargs):
+        for part in real(*args, **kwargs):
+            part.hashes = lambda part=part: np.zeros(part.starts.size, np.uint64)
+            yield part
+
+    monkeypatch.setattr(substring_dedup, "slices", colliding)
+    texts = ["a b c d", "a b c e", "a b c d", "longerword1 b c d", "longerword2 b c d"]
+    (part,) = colliding(pa.array(texts), BLANKS)
+    words = " ".join(texts).split()
+    number = substring_dedup._word_numbers(part)
+    assert all((x == y) == (number[i] == number[j]) for i, x in enumerate(words) for j, y in enumerate(words))
+    four = np.zeros(5, np.int64)
+    found = substring_dedup.extended(np.zeros(5, np.uint64), four, four, four + 1, pa.array(texts), 4)
+    assert found.tolist() == [1, 0, 1, 0, 0]
+
+
 def test_exchange_keeps_colliding_keys_apart():
     assert [a.tolist() for a in exchange.unpack(exchange.pack(np.array([3, 1], np.int32), np.empty(0)))] == [[3, 1], []]
     keys = np.array([1, 5, 2**63, 2**64 - 1], np.uint64)

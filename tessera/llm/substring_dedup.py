@@ -90,13 +90,16 @@ class _Anchors:
         h = self.h = part.hashes()
         sizes = np.diff(part.word_at)
         first, last = np.repeat(part.word_at[:-1], sizes), np.repeat(part.word_at[1:], sizes)
-        self.at = np.flatnonzero(np.arange(h.size) + window <= last)
-        self.place, self.of, self.key = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-        if self.at.size:
+        at = np.flatnonzero(np.arange(h.size) + window <= last)
+        self.place, of, self.key = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        if at.size:
             g = run_hashes(h, self.seed)
             least = sliding_least((g & ~_LOW) | np.arange(g.size, dtype=np.uint64), span + 1)
-            self.place, self.of = np.unique((least & _LOW).astype(np.int64)[self.at], return_inverse=True)
-            self.key = g[self.place]
+            self.place, of = np.unique((least & _LOW).astype(np.int64)[at], return_inverse=True)
+            self.key = mix(g[self.place])  # the least hashes of windows are small, keys shall be spread evenly
+        self.at, self.of = at.astype(np.uint32), of.astype(np.uint32)
+        # A block holds all its slices, so what can be had again isn't kept.
+        part.starts, part.ends, part.data = part.starts.astype(np.int32), part.ends.astype(np.int32), None
         # Words to either side that a window over the anchor can hold.
         self.left = np.minimum(self.place - first[self.place], span)
         self.right = np.minimum(last[self.place] - self.place - self.seed, span)
@@ -114,15 +117,16 @@ class _Anchors:
     def spaced(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words joined by one blank, and where each begins and ends there."""
         part = self.part
-        edge = np.zeros(part.data.size + 1, np.int8)
+        data = np.frombuffer(part.raw, np.uint8)
+        edge = np.zeros(data.size + 1, np.int8)
         edge[part.starts] += 1
         edge[part.ends] -= 1
-        sizes = part.ends - part.starts
+        sizes = (part.ends - part.starts).astype(np.int64)
         ends = np.cumsum(sizes + 1) - 1
         out = np.full(int(sizes.sum()) + sizes.size, 0x20, np.uint8)
         inside = np.ones(out.size, bool)
         inside[ends] = False
-        out[inside] = part.data[np.cumsum(edge[:-1]) > 0]
+        out[inside] = data[np.cumsum(edge[:-1], dtype=np.int8) > 0]
         return out, ends - sizes, ends
 
 
@@ -161,7 +165,7 @@ class _Asked:
         around = _together((p.context_hashes()[r] for p, r in zip(parts, self.rows, strict=True)), np.uint64)
         self.keys, _, self.counts, self.context_of = _distinct(keys, around)
         # Windows whose own anchor is crowded.
-        self.starts = [p.at[(c == CROWDED)[p.of]] if p.at.size else p.at for p, c in zip(parts, code, strict=True)]
+        self.starts = [p.at[(c == CROWDED)[p.of]].astype(np.int64) if p.at.size else p.at for p, c in zip(parts, code, strict=True)]
         k1 = _together((run_hashes(p.h, window)[s] for p, s in zip(parts, self.starts, strict=True) if s.size), np.uint64)
         k2 = _together((run_hashes(p.h ^ _OTHER, window)[s] for p, s in zip(parts, self.starts, strict=True) if s.size), np.uint64)
         self.k1, self.k2, self.window_counts, self.window_of = _distinct(k1, k2)
@@ -219,10 +223,10 @@ def _extensions(first: np.ndarray, columns: list[np.ndarray], room: np.ndarray,
     """Classes of occurrences that match so far, after none, one, two, ... more words; -1 where none is left to match."""
     out = [first]
     for i, words in enumerate(columns, 1):
-        now, then = out[-1], np.full(first.size, -1, np.int64)
+        now, then = out[-1], np.full(first.size, -1, np.int32)
         some = np.flatnonzero((now >= 0) & (room >= i))
         if some.size:
-            _, kind = np.unique(now[some] << 32 | words[some], return_inverse=True)
+            _, kind = np.unique(now[some].astype(np.int64) << 32 | words[some], return_inverse=True)
             then[some] = np.where((np.bincount(kind, counts[some]) >= 2)[kind], kind, -1)
         out.append(then)
     return out
@@ -237,22 +241,22 @@ def extended(keys: np.ndarray, left: np.ndarray, right: np.ndarray, counts: np.n
     span, n = window - seed, keys.size
     (part,) = slices(texts, BLANKS, limit=1 << 62)
     row = part.word_rows
-    words = np.full((n, 2 * span + seed), -1, np.int64)
-    words[row, np.arange(row.size) - part.word_at[row] + span - left.astype(np.int64)[row]] = _word_numbers(part)
+    words = np.full((2 * span + seed, n), -1, np.int32)
+    words[np.arange(row.size) - part.word_at[row] + span - left.astype(np.int64)[row], row] = _word_numbers(part)
     _, one, kind = np.unique(keys, return_index=True, return_inverse=True)
-    middle = words[:, span : span + seed]
-    apart = (middle != middle[one[kind]]).any(1)
+    middle = words[span : span + seed]
+    apart = (middle != middle[:, one[kind]]).any(0)
     if apart.any():  # equal hashes of different anchors
-        kind[apart] = one.size + np.unique(np.column_stack([kind[apart], middle[apart]]), axis=0, return_inverse=True)[1].reshape(-1)
-    first = np.where((np.bincount(kind, counts) >= 2)[kind], kind, -1)
-    to_left = _extensions(first, [words[:, span - i] for i in range(1, span + 1)], left, counts)
-    to_right = _extensions(first, [words[:, span + seed + i] for i in range(span)], right, counts)
+        kind[apart] = one.size + np.unique(np.column_stack([kind[apart], middle[:, apart].T]), axis=0, return_inverse=True)[1].reshape(-1)
+    first = np.where((np.bincount(kind, counts) >= 2)[kind], kind, -1).astype(np.int32)
+    to_left = _extensions(first, [words[span - i] for i in range(1, span + 1)], left, counts)
+    to_right = _extensions(first, [words[span + seed + i] for i in range(span)], right, counts)
     found = np.zeros(n, np.uint64)
     for i in range(span + 1):
         a, b = to_left[i], to_right[span - i]
         some = np.flatnonzero((a >= 0) & (b >= 0))
         if some.size:
-            _, kind = np.unique(a[some] << 32 | b[some], return_inverse=True)
+            _, kind = np.unique(a[some].astype(np.int64) << 32 | b[some], return_inverse=True)
             found[some[(np.bincount(kind, counts[some]) >= 2)[kind]]] |= np.uint64(1 << i)
     return found
 

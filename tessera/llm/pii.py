@@ -3,7 +3,7 @@
 Regular expressions propose spans: electronic mail and network addresses, payment
 cards, telephone numbers, bank accounts and short national forms.  Checks confirm
 them (octets up to 255, Luhn for cards, mod 97 for accounts, digit counts), and
-words nearby adjust a confirmed span's score: context that fits adds to it, context
+words within ``NEAR`` characters, whatever lies between, adjust a confirmed span's score: context that fits adds to it, context
 of another kind (orders, serial numbers, versions) takes from it.  The four base
 kinds are always reported; added spans only from ``min_score`` on.
 
@@ -11,7 +11,8 @@ Patterns find their leftmost match in one pass also in very long texts: possessi
 quantifiers and a look-behind keep a failed attempt from being repeated at every
 later place of the same run.
 
-A null or empty text has no spans.  Repeated rows are scanned each; other columns,
+A null or empty text has no spans; an empty table gives no rows.  Spans that start at
+one place are in the order of kinds.  Repeated rows are scanned each; other columns,
 also those named like results, aren't read.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matches import joined, with_matches
+from .matches import joined, with_matches, with_meeting
 
 #: The patterns of the base kinds.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -94,8 +95,9 @@ def find_personal_data(docs: DataFrame, min_score: float = 0.5, text: str = "tex
         score = f"round(least(1.0D, greatest(0.0D, {PRIOR[kind]}D + CASE WHEN {near} rlike r'{words}' THEN 0.3D ELSE 0D END - CASE WHEN {near} rlike r'{AGAINST}' THEN 0.2D ELSE 0D END)), 3)"
         df = df.withColumn(kind, F.expr(f"transform({kind}, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end, 'kind', s.kind, 'match', s.match, 'score', {score}))"))
     df = df.withColumn("base", F.array_sort(F.concat(*BASE)))
-    added = f"filter(concat(iban, national), s -> s.score >= {min_score}D AND NOT exists(base, b -> b.start < s.end AND s.start < b.end))"
-    df = df.withColumn("spans", F.array_sort(F.concat("base", F.expr(added))))
+    df = df.withColumn("added", F.expr(f"filter(concat(iban, national), s -> s.score >= {min_score}D)"))
+    df = with_meeting(df, "added", "added", "base", 0, meet=False)
+    df = df.withColumn("spans", F.array_sort(F.concat("base", "added")))
     return df.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), "base", "spans")
 
 

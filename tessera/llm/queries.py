@@ -58,13 +58,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-def _digest(found: DataFrame, kinds: list[str]) -> DataFrame:
+def _digest(found: DataFrame, kinds: list[str], *more: F.Column) -> DataFrame:
     base = F.sha2(F.expr(joined("base")).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *kinds, base, F.expr(joined("spans")).alias("spans"))
+    return found.select("doc_id", *kinds, base, F.expr(joined("spans")).alias("spans"), *more)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(find_personal_data(_table(spark, sf_dir, "documents")), ["n_email", "n_ip", "n_card", "n_phone"])
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    scores = F.expr("array_join(transform(spans, s -> cast(s.score AS string)), ',')").alias("scores")
+    return _digest(found, ["n_email", "n_ip", "n_card", "n_phone"], scores)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ access identifiers whose scope (``SCOPE`` characters on either side) it overlaps
 and it is reported only where complementary parts co-occur: a key or a value with
 an identifier, an endpoint with an identifier and a key or value.
 
-A null or empty text has no spans.  Repeated rows are scanned each; other columns,
-also those named like results, aren't read.
+A null or empty text has no spans; an empty table gives no rows.  Spans that start at
+one place are in the order of kinds.  Very long texts are scanned whole, and spans are
+linked in one pass over them in order of place.  Repeated rows are scanned each; other
+columns, also those named like results, aren't read.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matches import joined, with_masked, with_matches
+from .matches import joined, with_masked, with_matches, with_meeting
 
 SCOPE = 200
 #: The patterns of the base kinds.
@@ -39,12 +41,12 @@ def _scanned(df: DataFrame, text: str, scope: int) -> DataFrame:
     """``df`` with the columns of counts, ``base`` and ``spans``."""
     body = F.col(text)
     assigned = (body.contains("=") | body.contains(":")) & body.rlike(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]")
-    df = with_matches(df, text, "assign", 0, ASSIGN, assigned)
-    df = with_matches(df, text, "access", 1, ACCESS, body.contains("AKIA"))
-    df = with_matches(df, text, "hex", 2, HEX, body.rlike(r"[0-9a-f]{16}"))
+    df = with_matches(df, text, "assign", 0, ASSIGN, assigned, context=False)
+    df = with_matches(df, text, "access", 1, ACCESS, body.contains("AKIA"), context=False)
+    df = with_matches(df, text, "hex", 2, HEX, body.rlike(r"[0-9a-f]{16}"), context=False)
     linked = F.size("access") > 0
-    df = with_matches(df, text, "key", 3, KEY, linked)
-    df = with_matches(df, text, "endpoint", 4, ENDPOINT, linked & body.contains("://"))
+    df = with_matches(df, text, "key", 3, KEY, linked, context=False)
+    df = with_matches(df, text, "endpoint", 4, ENDPOINT, linked & body.contains("://"), context=False)
     short = lambda s: f"named_struct('start', {s}.start, 'rank', {s}.rank, 'end', {s}.end, 'kind', {s}.kind, 'match', {s}.match)"
     for kind in (*BASE, "key", "endpoint"):
         df = df.withColumn(kind, F.expr(f"transform({kind}, s -> {short('s')})"))
@@ -52,12 +54,15 @@ def _scanned(df: DataFrame, text: str, scope: int) -> DataFrame:
     weak = "transform(filter(assign, s -> s.size BETWEEN 6 AND 11), s -> named_struct('start', s.span.start, 'rank', 5, 'end', s.span.end, 'kind', 'value', 'match', s.span.match))"
     df = df.withColumn("value", F.expr(f"CASE WHEN size(access) > 0 THEN {weak} ELSE slice(access, 1, 0) END"))
     df = df.withColumn("assign", F.expr("transform(filter(assign, s -> s.size >= 12), s -> s.span)"))
-    meets = lambda parts: f"exists({parts}, a -> a.start - {scope} < s.end AND s.start < a.end + {scope})"
-    clear = "NOT exists(base, b -> b.start < s.end AND s.start < b.end)"
     df = df.withColumn("base", F.array_sort(F.concat(*BASE)))
-    df = df.withColumn("parts", F.expr(f"filter(concat(key, value), s -> {meets('access')})"))
-    df = df.withColumn("ends", F.expr(f"filter(endpoint, s -> {meets('access')} AND ({meets('parts')} OR {meets('assign')}))"))
-    df = df.withColumn("spans", F.expr(f"array_sort(concat(base, filter(concat(parts, ends), s -> {clear})))"))
+    df = df.withColumn("weak", F.concat("key", "value"))
+    df = with_meeting(df, "parts", "weak", "access", scope)
+    df = with_meeting(df, "near", "endpoint", "access", scope)
+    df = df.withColumn("proof", F.concat("parts", "assign"))
+    df = with_meeting(df, "ends", "near", "proof", scope)
+    df = df.withColumn("added", F.concat("parts", "ends"))
+    df = with_meeting(df, "added", "added", "base", 0, meet=False)
+    df = df.withColumn("spans", F.array_sort(F.concat("base", "added")))
     return df.withColumns({f"n_{k}": F.size(k).cast("long") for k in BASE})
 
 

@@ -1,7 +1,9 @@
 """Nearest neighbours by a block matrix join.
 
-Queries and candidates are cut into blocks; every query block meets every
-candidate block in one task.  There, tiles of int8 products give approximate
+Queries and candidates are cut into blocks of some megabytes, in the precision they are
+stored in; every query block meets every candidate block in one task, so with vectors of
+64 floats a value that is sent is multiplied 65,536 times.  There, tiles of products of
+int8 values (by floating-point matrix products, which are exact for them) give approximate
 distances together with bounds from each vector's quantisation error (triangle
 inequality), so a pair whose lower bound lies above a query's k-th smallest upper
 bound can't be among its nearest.  Surviving pairs are recomputed in double
@@ -13,7 +15,8 @@ Vectors that are null, zero, or hold null or non-finite components take no part,
 nor do vectors without an id; vectors meet only those of the same dimension.  A
 query is not its own candidate: rows that repeat its id are left out.  Repeated
 query rows count once; repeated candidate rows count each.  Ties go to the
-smaller id.  Other columns are ignored.
+smaller id.  An empty table gives an empty result.  Other columns, also those named
+like results, are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 16384
+#: Bytes of vectors in a block of queries and of candidates, about.  A candidate is sent
+#: once for every block of queries, so these are as large as a task can hold.
+BLOCK_BYTES = 16 << 20
 TILE = 2048
 #: Lists that one heap merge takes.
 FAN_IN = 32
@@ -38,7 +42,8 @@ LISTS = "number long, query_id long, strip long, ids array<long>, scores array<d
 def usable(vectors: DataFrame, vector: str, vector_id: str) -> DataFrame:
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vectors.filter(F.col(vector_id).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(vector_id).cast("long").alias("id"), v.cast("array<double>").alias("v"))
+    kept = v if vectors.schema[vector].dataType.simpleString() == "array<float>" else v.cast("array<double>")
+    return vectors.filter(F.col(vector_id).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).select(F.col(vector_id).cast("long").alias("id"), kept.alias("v"))
 
 
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -52,10 +57,11 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float
 
 def nearest_in_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, distances), each (queries, k), of the nearest candidates; -1 and infinity where there are fewer."""
+    q = q.astype(np.float64)
     ids, best = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
     fq, nq, eq, sq = _quantised(q)
     for at in range(0, len(c), TILE):
-        tile, names = c[at : at + TILE], cid[at : at + TILE]
+        tile, names = c[at : at + TILE].astype(np.float64), cid[at : at + TILE]
         fc, nc, ec, sc = _quantised(tile)
         for row in range(0, len(q), 256):
             r = slice(row, row + 256)
@@ -87,15 +93,21 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1))
 
 
-def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, vector: str = "embedding", vector_id: str = "vec_id", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, vector: str = "embedding", vector_id: str = "vec_id", query_block: int | None = None, candidate_block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest candidates by Euclidean distance.
 
-    ``is_query`` is a condition on the column ``id``.
+    ``is_query`` is a condition on the column ``id``; a block has ``BLOCK_BYTES`` of
+    vectors unless its rows are given.
     """
     rows = usable(vectors, vector, vector_id).withColumn("d", F.size("v"))
     queries = rows.filter(is_query).distinct()
-    n_queries, n_rows = queries.count(), rows.count()
-    across, down = max(1, -(-n_queries // query_block)), max(1, -(-n_rows // candidate_block))
+    width = 4 if rows.schema["v"].dataType.simpleString() == "array<float>" else 8
+
+    def blocks(part: DataFrame, size: int | None) -> int:
+        n, numbers = part.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
+        return max(1, -(-n // size) if size else -(-width * numbers // BLOCK_BYTES))
+
+    across, down = blocks(queries, query_block), blocks(rows, candidate_block)
     strips = F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda s: s.cast("long"))
     asked = queries.withColumn("number", F.xxhash64("id", "v")).withColumn("block", F.pmod(F.col("number"), F.lit(across))).withColumn("strip", F.explode(strips))
     given = rows.withColumn("strip", F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(down))).withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda s: s.cast("long"))))

@@ -403,16 +403,18 @@ def test_language_model(spark, corpus):
 # Neighbours
 
 
-@pytest.mark.parametrize("block", [16384, 50])
-def test_neighbours(spark, block):
+@pytest.mark.parametrize("block,kind", [(None, "double"), (50, "double"), (None, "float"), (50, "float")])
+def test_neighbours(spark, block, kind):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 8))
     x[50:120] = x[3]
     x[200:260] = np.round(x[200:260])
+    if kind == "float":
+        x = x.astype(np.float32).astype(float)
     rows = [(i, [float(v) for v in x[i]], 1) for i in range(400)] + [(1000, None, 1), (1001, [0.0] * 8, 1), (1100, [float("nan")] * 8, 1), (1200, [1.0, None] * 4, 1), (1300, [1.0, 2.0], 1), (None, [1.0] * 8, 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, score int")
     got = defaultdict(list)
-    for r in neighbours.nearest(df, F.col("id") % 100 == 0, candidate_block=block, query_block=2).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df, F.col("id") % 100 == 0, candidate_block=block, query_block=block and 2).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     assert set(got) == {0, 100, 200, 300}
     usable = [i for i in range(400) if np.abs(x[i]).any()]

@@ -36,12 +36,20 @@ _REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("blob", pa
 _ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's shared checkpoint folder and read from there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; a folder of its own only in local mode."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's shared checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

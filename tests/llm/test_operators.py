@@ -813,6 +813,43 @@ def test_every_query_on_awkward_tables(spark, tmp_path, kind):
         assert {r.doc_id for r in packed} == {7}
 
 
+def test_pipeline_by_brute_force(spark, sf_dir):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    documents_, bench = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    net = language_id.fit_language_id(documents_, fold(4) != 2)
+    sure = {r.doc_id for r in language_id.identify(documents_, net).filter(F.col("lang_pred") != "und").filter(F.col("score") >= language_id.LEAST).collect()}
+    texts = {i: t for i, t in texts_of(documents_).items() if i in sure}
+    sets = {i: shingled(t) for i, t in texts.items()}
+    root = {}
+    for i in sorted(texts):
+        near = {j for j in root if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9}
+        root[i] = min([i, *(root[j] for j in near)])
+        for j in [j for j in root if root[j] in {root[k] for k in near}]:
+            root[j] = root[i]
+    kept = [i for i in texts if root[i] == i]
+    hits = contaminated([texts[i] for i in kept], [(r.item_id, r.text) for r in bench.collect()])
+    clean = {i: texts[i] for i, (_, n, _) in zip(kept, hits, strict=True) if not n}
+    coder = Tokenizer.from_file(PATH)
+    want = {}
+    for i, t in clean.items():
+        spans = sorted([(int(a), int(b)) for _, a, b in (x.split(":") for x in hidden(t).split(",") if x)] + [(a, b) for a, _, b, _ in linked_secrets(t)])
+        out, at = [], 0
+        while spans:
+            a, b = spans.pop(0)
+            while spans and spans[0][0] < b:
+                b = max(b, spans.pop(0)[1])
+            out += [t[at:a], "[SECRET]"]
+            at = b
+        ids = np.array([*coder.encode("".join(out) + t[at:], add_special_tokens=False).ids, 0], "<u4")
+        want[i] = [zlib.crc32(ids[s : s + n].tobytes()) for s, n in packing.cut(ids.size, 2048)]
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf_dir).orderBy("doc_id", "piece").collect():
+        got[r.doc_id].append(r.ids_crc32)
+    assert 0 < len(want) < len(texts) and got == want
+
+
 def test_digests(spark, sf_dir, corpus):
     row = {r.doc_id: r for r in QUERIES["op6_substring_dedup"](spark, sf_dir).collect()}
     kept = removed_words(list(texts_of(corpus).values()), 35)

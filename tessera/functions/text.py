@@ -1,8 +1,8 @@
 """Text analysis: normalisation, tokens, stop words and stems, as columns and for single strings.
 
-Both forms share the fixed values below.  Columns stay inside the JVM; compatibility
-normalisation (NFKC), which Spark lacks, is an Arrow function that is used only where
-settings ask for it.
+Both forms share the fixed values below.  Columns stay inside the JVM, but for
+compatibility normalisation (NFKC), which Spark lacks: texts with a character that it
+might change, and only those, pass through an Arrow function.
 """
 
 from __future__ import annotations
@@ -38,9 +38,19 @@ LEAST_STEM = 3
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
-        yield s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+        yield s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+
+
+#: Characters that normalisation might change: those of Latin scripts that it does change, and all beyond them.
+UNSTABLE = "[" + "".join(f"\\u{c:04x}" for c in range(0x80, 0x250) if unicodedata.normalize("NFKC", chr(c)) != chr(c)) + "]|[^\\u0000-\\u024f]"
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility normalisation; stable texts don't leave the JVM."""
+    changed = _nfkc(F.when(text.rlike(UNSTABLE), text))
+    return F.coalesce(changed, text)
 
 
 def normalized_arabic(text: Column, how: Arabic = Arabic()) -> Column:
@@ -69,9 +79,14 @@ def cleaned(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?U)[\\s\\uFEFF]+", " "))
 
 
-def as_text(values: Column) -> Column:
-    """An array's strings joined by spaces."""
-    return F.concat_ws(" ", values)
+def as_text(df: DataFrame, field: str) -> Column:
+    """A field's text: a string itself, the strings of an array joined by spaces, nothing for other types."""
+    kind = df.schema[field].dataType
+    if isinstance(kind, T.StringType):
+        return F.col(field)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        return F.concat_ws(" ", F.col(field))
+    return F.lit(None).cast("string")
 
 
 def snippet(text: Column, longest: int = 320) -> Column:
@@ -96,10 +111,10 @@ def english_steps(word: str = "raw") -> list[list[str]]:
     fixed = f"(length({word}) < 4 OR ({word} LIKE '%ss' AND NOT {word} LIKE '%sses'))"
     plural = f"CASE WHEN {fixed} THEN {word} WHEN {word} LIKE '%sses' OR {word} LIKE '%ies' THEN left({word}, length({word}) - 2) WHEN {word} LIKE '%s' THEN left({word}, length({word}) - 1) ELSE {word} END"
     verb = "CASE WHEN fixed THEN plural WHEN plural LIKE '%eed' AND length(plural) > 5 THEN left(plural, length(plural) - 1) WHEN plural LIKE '%ing' AND length(plural) > 6 THEN left(plural, length(plural) - 3) WHEN plural LIKE '%ed' AND length(plural) > 5 THEN left(plural, length(plural) - 2) ELSE plural END"
-    # Of the rules that leave a long enough stem, the one with the longest suffix comes first in the list too.
-    suffix = f"^(.{{{LEAST_STEM},}}?)({'|'.join(x for x, _ in RULES)})$"
+    # The first rule of the list that leaves a long enough stem; plain comparisons, no regular expression a token.
+    first = " ".join(f"WHEN verb LIKE '%{x}' AND length(verb) >= {len(x) + LEAST_STEM} THEN '{x}'" for x, _ in RULES)
     cases = " ".join(f"WHEN '{x}' THEN '{y}'" for x, y in RULES)
-    return [[f"{plural} AS plural", f"{fixed} AS fixed"], [f"{verb} AS verb"], [f"CASE WHEN fixed THEN '' ELSE regexp_extract(verb, '{suffix}', 2) END AS suffix"], [f"CASE WHEN suffix = '' THEN verb ELSE concat(left(verb, length(verb) - length(suffix)), CASE suffix {cases} END) END AS rule"], ["CASE WHEN NOT fixed AND rule LIKE '%e' AND length(rule) > 4 THEN left(rule, length(rule) - 1) ELSE rule END AS term"]]
+    return [[f"{plural} AS plural", f"{fixed} AS fixed"], [f"{verb} AS verb"], [f"CASE WHEN fixed THEN '' {first} ELSE '' END AS suffix"], [f"CASE WHEN suffix = '' THEN verb ELSE concat(left(verb, length(verb) - length(suffix)), CASE suffix {cases} END) END AS rule"], ["CASE WHEN NOT fixed AND rule LIKE '%e' AND length(rule) > 4 THEN left(rule, length(rule) - 1) ELSE rule END AS term"]]
 
 
 def with_stems(tokens: DataFrame, settings: IndexSettings = IndexSettings()) -> DataFrame:
@@ -118,6 +133,17 @@ def with_stems(tokens: DataFrame, settings: IndexSettings = IndexSettings()) ->
     return df.withColumn("term", F.when(arabic, stem).otherwise(F.col("term")))
 
 
+def token_count(text: Column, settings: IndexSettings = IndexSettings()) -> Column:
+    """How many tokens a text has, stop words left out."""
+    stop = {k: settings.stop_words.get(k, ()) for k in ("ar", "en")}
+    found = words(normalized(text, settings))
+    if stop["ar"]:
+        found = F.filter(found, lambda w: ~(is_arabic(w) & w.isin(*stop["ar"])))
+    if stop["en"]:
+        found = F.filter(found, lambda w: is_arabic(w) | ~w.isin(*stop["en"]))
+    return F.size(found)
+
+
 def without_stop_words(tokens: DataFrame, settings: IndexSettings) -> DataFrame:
     """Positions are kept, so stop words leave gaps."""
     arabic, english = settings.stop_words.get("ar", ()), settings.stop_words.get("en", ())

@@ -54,12 +54,18 @@ def bar_heights(rows: DataFrame, metric: str) -> DataFrame:
 
 
 def quota_status(used: F.Column, limit: F.Column, warn: F.Column) -> F.Column:
-    percent = used * 100.0 / limit
-    return F.when(limit.isNull() | (limit <= 0), "unlimited").when(used >= limit, "exceeded").when(percent >= warn, "warning").otherwise("ok")
+    """Only no limit at all is unlimited: a limit of 0 is exceeded from the start."""
+    return F.when(limit.isNull(), "unlimited").when(used >= limit, "exceeded").when(quota_percent(used, limit) >= warn, "warning").otherwise("ok")
+
+
+def quota_percent(used: F.Column, limit: F.Column) -> F.Column:
+    """Share of the limit in use, at most 100; null without a limit."""
+    return F.when(limit == 0, F.lit(100.0)).when(limit.isNotNull(), F.least(F.lit(100.0), used * 100.0 / F.when(limit != 0, limit)))
 
 
 def alert_state(used: F.Column, limit: F.Column, warn: F.Column) -> F.Column:
-    s = quota_status(used, limit, warn)
+    """What to notify of; limits of 0 and below notify of nothing."""
+    s = F.when(limit > 0, quota_status(used, limit, warn))
     return F.when(s.isin("exceeded", "warning"), s).otherwise("none")
 
 

@@ -3,6 +3,7 @@
 ``field_tokens`` is the only pass over texts; the other tables are aggregates of it.
 Postings group by (field, term, doc), which partial aggregation combines before the
 shuffle; a term's documents stay rows, so a frequent term is no single large value.
+A posting carries its document's field length, so scores need no join with lengths.
 """
 
 from __future__ import annotations
@@ -14,21 +15,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import deletion_variants
-from ..functions.text import analyzed
+from ..functions.text import analyzed, as_text, token_count
 from ..settings import IndexSettings
 
 
+#: The fields that are indexed unless others are named.
+DEFAULT_FIELDS = ("title", "headings", "content", "url", "tags")
+
+
 @dataclass
 class Index:
     """Tables of one index version."""
 
     docs: DataFrame  # doc_id and stored fields
-    postings: DataFrame  # field, term, doc_id, tf, positions
+    postings: DataFrame  # field, term, doc_id, tf, positions, len
     lengths: DataFrame  # doc_id, field, len
     dictionary: DataFrame  # field, term, df
     averages: DataFrame  # field, avg_len
     n_docs: int
     settings: IndexSettings
+    variants: DataFrame | None = None  # variant, term, df: the deletion dictionary
 
     @property
     def vocabulary(self) -> DataFrame:
@@ -38,13 +44,25 @@ class Index:
 
 def field_tokens(docs: DataFrame, fields: list[str], settings: IndexSettings = IndexSettings()) -> DataFrame:
     """doc_id, field, pos, raw, term: every field's tokens."""
-    texts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields)))
-    return analyzed(docs.select("doc_id", texts.alias("x")).select("doc_id", "x.field", "x.text"), "text", settings)
+    return analyzed(field_texts(docs, fields), "text", settings)
+
+
+def field_texts(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """doc_id, field, text: one row for each field with a text."""
+    texts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), as_text(docs, f).alias("text")) for f in fields)))
+    return docs.select("doc_id", texts.alias("x")).select("doc_id", "x.field", "x.text").filter("text IS NOT NULL")
+
+
+def postings(docs: DataFrame, fields: list[str], settings: IndexSettings = IndexSettings()) -> DataFrame:
+    """field, term, doc_id, tf, positions, len."""
+    texts = field_texts(docs, fields)
+    tokens = analyzed(texts.withColumn("len", token_count(F.col("text"), settings)), "text", settings)
+    return tokens.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("len").alias("len"))
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    grouped = tokens.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped
+def field_lengths(docs: DataFrame, fields: list[str], settings: IndexSettings = IndexSettings()) -> DataFrame:
+    """doc_id, field, len: counted within each text, without a shuffle."""
+    return field_texts(docs, fields).select("doc_id", "field", token_count(F.col("text"), settings).cast("long").alias("len")).filter("len > 0")
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -70,13 +88,14 @@ def duplicate_ids(docs: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, settings: IndexSettings = IndexSettings(), fields: list[str] | None = None, check: bool = True) -> Index:
-    """All tables of an index over ``docs``; its indexed fields are those with a boost."""
-    fields = fields or [f for f in settings.boosts if f in docs.columns]
+    """All tables of an index over ``docs``; its fields are the default ones that the documents have."""
+    fields = fields or [f for f in DEFAULT_FIELDS if f in docs.columns]
+    if not fields:
+        raise ValueError("no field to index")
     if check and duplicate_ids(docs).limit(1).count():
         raise ValueError("document ids must be unique and not null")
-    tokens = field_tokens(docs, fields, settings)
-    posts = postings(tokens)
-    lens = posts.groupBy("doc_id", "field").agg(F.sum("tf").alias("len"))
+    posts = postings(docs, fields, settings)
+    lens = field_lengths(docs, fields, settings)
     n = docs.count()
     return Index(docs, posts, lens, dictionary(posts), averages(lens, n), n, settings)
 
@@ -84,15 +103,17 @@ def build(docs: DataFrame, settings: IndexSettings = IndexSettings(), fields: li
 def persisted(index: Index) -> Index:
     """The index with its tables kept by the session, for many searches of one version."""
     index.postings = index.postings.persist()
-    index.lengths = index.postings.groupBy("doc_id", "field").agg(F.sum("tf").alias("len")).persist()
+    index.lengths = index.lengths.persist()
     index.dictionary = dictionary(index.postings).persist()
     index.averages = averages(index.lengths, index.n_docs).persist()
+    if index.settings.typo:
+        index.variants = typo_dictionary(index.vocabulary, index.settings.max_distance).persist()
     return index
 
 
 def typo_dictionary(vocabulary: DataFrame, most: int = 2) -> DataFrame:
-    """(variant, term) rows: every term under each of its deletion variants."""
-    return vocabulary.select("term", F.explode(deletion_variants(F.col("term"), most)).alias("variant"))
+    """Every term, with its other columns, under each of its deletion variants."""
+    return vocabulary.select("*", F.explode(deletion_variants(F.col("term"), most)).alias("variant"))
 
 
 def checksum(df: DataFrame) -> str:

@@ -67,18 +67,21 @@ def prefix_candidates(terms: DataFrame, vocabulary: DataFrame, most: int = MAX_P
     return near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).drop("n")
 
 
-def typo_candidates(terms: DataFrame, vocabulary: DataFrame, settings: IndexSettings = IndexSettings(), most: int = MAX_TYPOS) -> DataFrame:
+def typo_candidates(terms: DataFrame, vocabulary: DataFrame, settings: IndexSettings = IndexSettings(), most: int = MAX_TYPOS, variants: DataFrame | None = None) -> DataFrame:
     """(query_id, term, expansion, distance): nearest terms that share a deletion variant.
 
-    Only vocabulary words of nearly the same length are expanded into variants, and
-    Spark's own edit distance removes most pairs before the exact one runs.
+    The variants are those of the index's deletion dictionary; without one, vocabulary
+    words of nearly the same length are expanded.  Spark's own edit distance removes
+    most pairs before the exact one runs.
     """
     d = settings.max_distance
     q = terms.filter(F.length("term") >= settings.min_token_length)
     q = q.select("query_id", "term", F.explode(deletion_variants(F.col("term"), d)).alias("variant"))
-    bounds = terms.agg(F.min(F.length("term")).alias("low"), F.max(F.length("term")).alias("high"))
-    v = vocabulary.join(F.broadcast(bounds), F.length("term").between(F.col("low") - d, F.col("high") + d))
-    v = v.select(F.col("term").alias("expansion"), "df", F.explode(deletion_variants(F.col("term"), d)).alias("variant"))
+    if variants is None:
+        bounds = terms.agg(F.min(F.length("term")).alias("low"), F.max(F.length("term")).alias("high"))
+        v = vocabulary.join(F.broadcast(bounds), F.length("term").between(F.col("low") - d, F.col("high") + d))  # one row
+        variants = v.select("term", "df", F.explode(deletion_variants(F.col("term"), d)).alias("variant"))
+    v = variants.select(F.col("term").alias("expansion"), "df", "variant")
     pairs = q.join(v, "variant").filter(F.abs(F.length("term") - F.length("expansion")) <= d).select("query_id", "term", "expansion", "df").distinct()
     pairs = pairs.filter(F.levenshtein("term", "expansion", 2 * d) >= 0).withColumn("distance", osa(F.col("term"), F.col("expansion"), d)).filter(F.col("distance") <= d)
     best = Window.partitionBy("query_id", "term").orderBy("distance", F.desc("df"), F.collate("expansion", "UNICODE"))
@@ -104,7 +107,7 @@ def synonym_pairs(spark: SparkSession, groups: list[tuple[list[str], bool]], set
     return spark.createDataFrame([(t, e) for t, es in found.items() for e in es], "term string, expansion string")
 
 
-def expand(terms: DataFrame, vocabulary: DataFrame, settings: IndexSettings = IndexSettings(), synonyms: DataFrame | None = None, typo: bool = True) -> DataFrame:
+def expand(terms: DataFrame, vocabulary: DataFrame, settings: IndexSettings = IndexSettings(), synonyms: DataFrame | None = None, typo: bool = True, variants: DataFrame | None = None) -> DataFrame:
     """(query_id, term): each query's distinct terms after expansion, all of equal weight."""
     out = terms.select("query_id", "term")
     if synonyms is not None:
@@ -112,7 +115,7 @@ def expand(terms: DataFrame, vocabulary: DataFrame, settings: IndexSettings = In
     if settings.prefix:
         out = out.unionByName(prefix_candidates(terms, vocabulary).select("query_id", F.col("expansion").alias("term")))
     if settings.typo and typo:
-        out = out.unionByName(typo_candidates(terms, vocabulary, settings).select("query_id", F.col("expansion").alias("term")))
+        out = out.unionByName(typo_candidates(terms, vocabulary, settings, variants=variants).select("query_id", F.col("expansion").alias("term")))
     return out.distinct()
 
 
@@ -133,10 +136,10 @@ def components(index: Index, terms: DataFrame, among: DataFrame | None = None) -
     and averages stay those of the whole index.
     """
     s = index.settings
-    posts = index.postings.select("field", "term", "doc_id", "tf")
+    posts = index.postings.select("field", "term", "doc_id", "tf", "len")
     if among is not None:
         posts = posts.join(among.select("doc_id"), "doc_id", "left_semi")
-    hits = posts.join(terms, "term").join(index.dictionary, ["field", "term"]).join(index.lengths, ["doc_id", "field"], "left").join(F.broadcast(index.averages), "field", "left")  # a row per field
+    hits = posts.join(terms, "term").join(index.dictionary, ["field", "term"]).join(F.broadcast(index.averages), "field", "left")  # a row per field
     boost = F.lit(1.0)
     for name, weight in s.boosts.items():
         boost = F.when(F.col("field") == name, float(weight)).otherwise(boost)
@@ -148,10 +151,10 @@ def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
     """(query_id, doc_id, phrase) where a phrase's terms stand one after another in one field.
 
     Positions minus ordinals agree for a whole phrase, so it is a group with as many
-    ordinals as the phrase has terms.
+    ordinals as the phrase has terms.  Only positions of the phrases' terms are unfolded.
     """
-    posts = index.postings.select("field", "term", "doc_id", F.explode("positions").alias("pos"))
-    lined = posts.join(phrases, "term").withColumn("start", F.col("pos") - F.col("ordinal"))
+    posts = index.postings.select("field", "term", "doc_id", "positions").join(phrases, "term")
+    lined = posts.withColumn("pos", F.explode("positions")).drop("positions").withColumn("start", F.col("pos") - F.col("ordinal"))
     whole = lined.groupBy("query_id", "phrase", "size", "field", "doc_id", "start").agg(F.countDistinct("ordinal").alias("n")).filter("n = size")
     return whole.select("query_id", "doc_id", "phrase").distinct()
 

@@ -130,13 +130,18 @@ def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(used, "project_id", "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
 
 
-_STATUS = "CASE WHEN quota <= 0 THEN 'unlimited' WHEN used >= quota THEN 'exceeded' WHEN used * 100.0 / quota >= 80 THEN 'warning' ELSE 'ok' END"
+_STATUS = "CASE WHEN quota <= 0 THEN 'none' WHEN used >= quota THEN 'exceeded' WHEN used * 100.0 / quota >= 80 THEN 'warning' ELSE 'none' END"
 
 
-@register(f"WITH {_USE} SELECT project_id, quota, used, {_STATUS} AS status, CASE WHEN quota > 0 THEN round(least(100.0, used * 100.0 / quota), 4) END AS percent FROM use")
+@register(
+    f"""WITH {_USE}, lim AS (SELECT project_id, used, CASE WHEN project_id % 5 <> 0 THEN quota END AS quota FROM use)
+SELECT project_id, quota, used, CASE WHEN quota IS NULL THEN 'unlimited' WHEN used >= quota THEN 'exceeded' WHEN (CASE WHEN quota = 0 THEN 100 ELSE least(100, used / quota * 100) END) >= 80 THEN 'warning' ELSE 'ok' END AS status,
+CASE WHEN quota IS NULL THEN NULL WHEN quota = 0 THEN 100.0 ELSE round(least(100.0, used * 100.0 / quota), 4) END AS percent FROM lim"""
+)
 def quota_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    percent = F.when(F.col("quota") > 0, F.round(F.least(F.lit(100.0), F.col("used") * 100.0 / F.col("quota")), 4))
-    return _usage(spark, sf_dir).select("project_id", "quota", "used", A.quota_status(F.col("used"), F.col("quota"), F.lit(80)).alias("status"), percent.alias("percent"))
+    """One project in five has no limit; many have a limit of 0."""
+    use = _usage(spark, sf_dir).withColumn("quota", F.when(F.col("project_id") % 5 != 0, F.col("quota")))
+    return use.select("project_id", "quota", "used", A.quota_status(F.col("used"), F.col("quota"), F.lit(80)).alias("status"), F.round(A.quota_percent(F.col("used"), F.col("quota")), 4).alias("percent"))
 
 
 @register(f"WITH {_USE} SELECT project_id, n_name, {_STATUS} AS state, concat('quota:2024-01:', CAST(project_id AS VARCHAR), ':documents:', {_STATUS}) AS dedupe_key FROM use JOIN nation ON c_nationkey = n_nationkey WHERE {_STATUS} IN ('warning', 'exceeded')")

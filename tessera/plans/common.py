@@ -14,6 +14,7 @@ from ..settings import IndexSettings
 Query = Callable[[SparkSession, str], DataFrame]
 
 SETTINGS = IndexSettings(boosts={"title": 4.0, "content": 1.0})
+FIELDS = ["title", "content"]
 
 
 class Registry:
@@ -58,7 +59,7 @@ def active_index(spark: SparkSession, sf_dir: str) -> Index:
         for old in list(_ACTIVE):
             if old[0] != key[0]:
                 del _ACTIVE[old]
-        index = persisted(build(search_docs(spark, sf_dir), SETTINGS))
+        index = persisted(build(search_docs(spark, sf_dir), SETTINGS, FIELDS))
         _ACTIVE[key] = index
     return _ACTIVE[key]
 
@@ -75,7 +76,7 @@ EVENTS_SQL = """ev AS (SELECT event_id, user_id % 3 AS project, concat(event_typ
   FROM (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events) e)"""
 
 
-def _stem_sql(source: str, out: str, keep: str) -> str:
+def stem_sql(source: str, out: str, keep: str) -> str:
     parts, last = [], source
     for i, step in enumerate(english_steps("raw")):
         parts.append(f"{out}_{i} AS (SELECT *, {', '.join(step)} FROM {last})")
@@ -88,7 +89,7 @@ TOKENS_SQL = (
 bodies AS (SELECT doc_id, 'title' AS field, title AS body FROM docs UNION ALL SELECT doc_id, 'content', content FROM docs),
 splits AS (SELECT doc_id, field, list_filter(string_split(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM bodies),
 raws AS (SELECT doc_id, field, unnest(w) AS raw, unnest(range(len(w))) AS pos FROM splits), """
-    + _stem_sql("raws", "tok", "doc_id, field, pos, raw")
+    + stem_sql("raws", "tok", "doc_id, field, pos, raw")
 )
 INDEX_SQL = (
     TOKENS_SQL

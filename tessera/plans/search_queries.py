@@ -12,8 +12,8 @@ from ..functions.distance import deletion_variants
 from ..functions.text import analyze_offsets, escaped_like, snippet, with_stems, words
 from ..operators import search as S
 from ..operators.filters import condition
-from ..operators.index import field_tokens, lengths, term_counts
-from .common import INDEX_SQL, SETTINGS, TOKENS_SQL, Registry, active_index, search_docs, table
+from ..operators.index import build, field_lengths, field_tokens, term_counts
+from .common import INDEX_SQL, SETTINGS, TOKENS_SQL, Registry, active_index, search_docs, stem_sql, table
 
 register = Registry()
 
@@ -57,7 +57,7 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with(INDEX_SQL) + "SELECT doc_id, field, CAST(len AS BIGINT) AS len FROM lens")
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lengths(field_tokens(search_docs(spark, sf_dir), ["title", "content"]))
+    return field_lengths(search_docs(spark, sf_dir), ["title", "content"])
 
 
 @register(_with(INDEX_SQL) + "SELECT field, round(avg_len, 6) AS avg_len FROM avgs")
@@ -188,17 +188,26 @@ def deletion_variants_of_part_words(spark: SparkSession, sf_dir: str) -> DataFra
     return terms.select("term", F.explode(deletion_variants(F.col("term"), 2)).alias("variant"))
 
 
-@register()
+_TYPOS = {"t": "ertion anthat", "u": "hten"}
+_TYPO_CTE = """typos AS (SELECT query_id, term, expansion, distance, row_number() OVER (PARTITION BY query_id, term ORDER BY distance, df DESC, expansion) AS n
+FROM (SELECT *, damerau_levenshtein(term, expansion) AS distance FROM q JOIN vocab ON abs(length(term) - length(expansion)) <= 2 WHERE length(term) >= 4) x WHERE distance <= 2)"""
+
+
+@register(_with(INDEX_SQL, _VOCAB, _terms_sql(_TYPOS), _TYPO_CTE) + "SELECT query_id, term, expansion, CAST(distance AS INTEGER) AS distance FROM typos WHERE n <= 12")
 def typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = active_index(spark, sf_dir)
-    return S.typo_candidates(_terms(spark, {"t": "ertion anthat", "u": "hten"}), index.vocabulary, SETTINGS)
+    return S.typo_candidates(_terms(spark, _TYPOS), index.vocabulary, SETTINGS, variants=index.variants).withColumn("distance", F.col("distance").cast("int"))
 
 
-@register()
+@register(
+    _with(INDEX_SQL, _VOCAB, _terms_sql({"t": "ertionn"}), _TYPO_CTE, _PREFIX_CTE)
+    + """, grown AS (SELECT query_id, term FROM q UNION SELECT query_id, expansion FROM near WHERE n <= 32 UNION SELECT query_id, expansion FROM typos WHERE n <= 12)
+SELECT rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT doc_id, sum(value) AS score FROM parts JOIN grown USING (term) GROUP BY doc_id) s) r WHERE rank <= 20"""
+)
 def typo_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = active_index(spark, sf_dir)
-    terms = S.expand(_terms(spark, {"t": "ertionn"}), index.vocabulary, SETTINGS)
-    return S.top(S.score(index, terms), 20).select("rank", "doc_id", F.round("score", 6).alias("score"))
+    terms = S.expand(_terms(spark, {"t": "ertionn"}), index.vocabulary, SETTINGS, variants=index.variants)
+    return S.top(S.score(index, terms), 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
 _MATCH = _with(INDEX_SQL, _terms_sql({"q": PLAIN}), "ranked AS (SELECT doc_id, sum(value) AS score FROM parts JOIN q USING (term) GROUP BY doc_id)")
@@ -267,9 +276,11 @@ def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.autocomplete(active_index(spark, sf_dir).vocabulary, "the reti", 10, SETTINGS)
 
 
-@register(_with(INDEX_SQL, _terms_sql({"q": PLAIN})) + "SELECT query_id, concat('bm25:', field, ':', term) AS component, round(value, 6) AS value FROM parts JOIN q USING (term) WHERE doc_id = 1")
+@register(_with(INDEX_SQL, _terms_sql({"q": PLAIN})) + "SELECT query_id, concat('bm25:', field, ':', term) AS component, round(value, 6) AS value FROM parts JOIN q USING (term) WHERE doc_id = (SELECT min(doc_id) FROM parts JOIN q USING (term))")
 def explain_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.explain(active_index(spark, sf_dir), _terms(spark, {"q": PLAIN}), 1).select("query_id", "component", F.round("value", 6).alias("value"))
+    """The first document that the query finds."""
+    first = _matched(spark, sf_dir).agg(F.min("doc_id")).first()[0]
+    return S.explain(active_index(spark, sf_dir), _terms(spark, {"q": PLAIN}), first).select("query_id", "component", F.round("value", 6).alias("value"))
 
 
 @register(_with(TOKENS_SQL, "d AS (SELECT field, term, count(DISTINCT doc_id) AS df FROM tok GROUP BY field, term)") + "SELECT field, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions, max(df) AS df FROM tok JOIN d USING (field, term) WHERE doc_id = 1 GROUP BY field, term ORDER BY field, term LIMIT 500")
@@ -277,22 +288,63 @@ def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.document_terms(active_index(spark, sf_dir), 1).select("field", "term", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), "df")
 
 
-@register()
+_SURFACES = r"""page AS (SELECT doc_id FROM ranked ORDER BY round(score, 9) DESC, doc_id LIMIT 10),
+shown AS (SELECT doc_id, 0 AS f, 'title' AS field, title AS body FROM docs JOIN page USING (doc_id) UNION ALL SELECT doc_id, 1, 'content', content FROM docs JOIN page USING (doc_id)),
+cuts AS (SELECT doc_id, f, field, regexp_extract_all(body, '[\p{L}\p{N}]+') AS s, regexp_split_to_array(body, '[\p{L}\p{N}]+') AS g FROM shown),
+flat AS (SELECT doc_id, f, field, unnest(s) AS word, unnest(g[1:len(s)]) AS gap, unnest(range(len(s))) AS pos FROM cuts),
+placed AS (SELECT doc_id, f, field, pos, lower(word) AS raw, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id, f ORDER BY pos) - length(word) AS start, length(word) AS size FROM flat)"""
+
+
+@register(
+    _with(INDEX_SQL, _VOCAB, f"q0{_terms_sql({'q': 'reti inhe'})[1:]}", _synonym_sql(), "near AS (SELECT query_id, expansion, row_number() OVER (PARTITION BY query_id, term ORDER BY expansion) AS n FROM q0 JOIN vocab ON starts_with(expansion, term))")
+    + """, q AS (SELECT query_id, term FROM q0 UNION SELECT query_id, expansion FROM q0 JOIN syn USING (term) UNION SELECT query_id, expansion FROM near WHERE n <= 32),
+ranked AS (SELECT doc_id, sum(value) AS score FROM parts JOIN q USING (term) GROUP BY doc_id), """
+    + _SURFACES
+    + ", "
+    + stem_sql("placed", "stemmed", "doc_id, f, field, pos, start, size")
+    + """, found AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY f, pos) AS n FROM stemmed WHERE term IN (SELECT term FROM q))
+SELECT doc_id, field, term, CAST(start AS INTEGER) AS "start", CAST(start + size AS INTEGER) AS "end" FROM found WHERE n <= 12"""
+)
 def highlight_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 12 ranges per hit, title before content, for the first page only."""
+    """At most 12 ranges of expanded terms per hit, title before content, for the first page only."""
     index = active_index(spark, sf_dir)
-    wanted = set(S.parse(PLAIN, SETTINGS).terms)
-    page = S.top(_matched(spark, sf_dir), 10).select("doc_id").join(index.docs.select("doc_id", "title", "content"), "doc_id")
+    terms = S.expand(_terms(spark, {"q": "reti inhe"}), index.vocabulary, SETTINGS, _synonyms(spark), typo=False).persist()
+    wanted = {r.term for r in terms.collect()}  # bounded by the query's length and the limits of expansion
+    page = S.top(S.score(index, terms), 10).select("doc_id").join(index.docs.select("doc_id", "title", "content"), "doc_id")
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                found = [(r.doc_id, f, s, e) for f, text in (("title", r.title), ("content", r.content)) for s, e, _, t in analyze_offsets(text or "", SETTINGS) if t in wanted]
+                found = [(r.doc_id, f, t, s, e) for f, text in (("title", r.title), ("content", r.content)) for s, e, _, t in analyze_offsets(text or "", SETTINGS) if t in wanted]
                 out += found[:12]
-            yield pd.DataFrame(out, columns=["doc_id", "field", "start", "end"])
+            yield pd.DataFrame(out, columns=["doc_id", "field", "term", "start", "end"])
+
+    return page.mapInPandas(mark, "doc_id long, field string, term string, start int, end int")
+
 
-    return page.mapInPandas(mark, "doc_id long, field string, start int, end int")
+@register(
+    r"""WITH bodies AS (SELECT doc_id, 'title' AS field, split_part(text, '.', 1) AS body FROM documents UNION ALL SELECT doc_id, 'tags', concat_ws(' ', source, CASE WHEN doc_id % 3 <> 0 THEN lang END) FROM documents),
+raws AS (SELECT doc_id, field, unnest(list_filter(string_split(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS raw FROM bodies), """
+    + stem_sql("raws", "tok", "doc_id, field")
+    + " SELECT field, term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM tok GROUP BY field, term"
+)
+def indexed_field_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings and arrays of strings are indexed, null members and numbers aren't."""
+    docs = search_docs(spark, sf_dir).select("doc_id", "title", F.col("n_chars").alias("content"), F.array("source", F.when(F.col("doc_id") % 3 != 0, F.col("language"))).alias("tags"))
+    return build(docs, SETTINGS, check=False).postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@register(
+    r"""WITH raws AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS raw FROM documents), """
+    + stem_sql("raws", "tok", "doc_id")
+    + " SELECT term, count(*) AS n FROM tok GROUP BY term"
+)
+def normalized_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-width letters and ligatures are found as the plain ones that the documents have."""
+    odd = F.when(F.col("doc_id") % 4 == 0, F.replace(F.translate("text", "aeT", "ａｅＴ"), F.lit("fi"), F.lit("ﬁ"))).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", odd.alias("content"))
+    return field_tokens(docs, ["content"]).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @register("SELECT doc_id, CASE WHEN length(text) > 320 THEN concat(substr(text, 1, 317), '…') ELSE text END AS snippet FROM documents")

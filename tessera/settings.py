@@ -31,7 +31,7 @@ class IndexSettings:
     max_distance: int = 2
     min_token_length: int = 4
     prefix: bool = True
-    nfkc: bool = False  # compatibility normalisation needs Python workers
+    nfkc: bool = True
 
     def overlaid(self, *layers: dict) -> IndexSettings:
         """Later layers win: defaults, then the project's settings, then the index's."""

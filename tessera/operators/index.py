@@ -42,6 +42,12 @@ class Index:
         return self.dictionary.groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores where its files give fewer tasks; larger inputs stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def field_tokens(docs: DataFrame, fields: list[str], settings: IndexSettings = IndexSettings()) -> DataFrame:
     """doc_id, field, pos, raw, term: every field's tokens."""
     return analyzed(field_texts(docs, fields), "text", settings)
@@ -94,8 +100,9 @@ def build(docs: DataFrame, settings: IndexSettings = IndexSettings(), fields: li
         raise ValueError("no field to index")
     if check and duplicate_ids(docs).limit(1).count():
         raise ValueError("document ids must be unique and not null")
-    posts = postings(docs, fields, settings)
-    lens = field_lengths(docs, fields, settings)
+    wide = spread(docs)
+    posts = postings(wide, fields, settings)
+    lens = field_lengths(wide, fields, settings)
     n = docs.count()
     return Index(docs, posts, lens, dictionary(posts), averages(lens, n), n, settings)
 

@@ -12,7 +12,7 @@ from ..functions.distance import deletion_variants
 from ..functions.text import analyze_offsets, escaped_like, snippet, with_stems, words
 from ..operators import search as S
 from ..operators.filters import condition
-from ..operators.index import build, field_lengths, field_tokens, term_counts
+from ..operators.index import build, field_lengths, field_tokens, spread, term_counts
 from .common import INDEX_SQL, SETTINGS, TOKENS_SQL, Registry, active_index, search_docs, stem_sql, table
 
 register = Registry()
@@ -52,12 +52,12 @@ def stem_english_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with(INDEX_SQL) + "SELECT doc_id, term, tf FROM post WHERE field = 'content'")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_counts(field_tokens(search_docs(spark, sf_dir), ["content"])).select("doc_id", "term", "tf")
+    return term_counts(field_tokens(spread(search_docs(spark, sf_dir)), ["content"])).select("doc_id", "term", "tf")
 
 
 @register(_with(INDEX_SQL) + "SELECT doc_id, field, CAST(len AS BIGINT) AS len FROM lens")
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field_lengths(search_docs(spark, sf_dir), ["title", "content"])
+    return field_lengths(spread(search_docs(spark, sf_dir)), ["title", "content"])
 
 
 @register(_with(INDEX_SQL) + "SELECT field, round(avg_len, 6) AS avg_len FROM avgs")

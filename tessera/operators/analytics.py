@@ -102,3 +102,18 @@ def evidence_checks(runs: DataFrame, tolerance: float = 0.01) -> DataFrame:
     ok = ok & (F.abs(F.col("error_rate") - F.col("failures") / F.greatest("requests", F.lit(1))) <= tolerance)
     ok = ok & (F.abs(F.col("throughput") - F.col("successes") / F.col("seconds")) <= tolerance * F.greatest(F.lit(1.0), F.col("throughput")))
     return runs.withColumn("consistent", ok)
+
+
+def project_overview(projects: DataFrame, docs: DataFrame, events: DataFrame, jobs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Live documents, searches, mean latency, zero-result rate, active jobs and live sources; 0 where there are none."""
+    zero = F.count_if(F.col("result_count") == 0)
+    parts = [
+        docs.filter("deleted_at IS NULL").groupBy("project").agg(F.count("*").alias("documents")),
+        events.groupBy("project").agg(F.count("*").alias("searches"), F.avg("latency_ms").alias("avg_latency"), rate(zero, F.count("*")).alias("zero_rate")),
+        jobs.filter(F.col("state").isin("queued", "running")).groupBy("project").agg(F.count("*").alias("active_jobs")),
+        sources.filter("deletion_requested_at IS NULL").groupBy("project").agg(F.count("*").alias("sources")),
+    ]
+    out = projects
+    for part in parts:
+        out = out.join(part, "project", "left")
+    return out.fillna(0)

@@ -69,6 +69,37 @@ def transition(jobs: DataFrame, action: str) -> DataFrame:
     return out.withColumn("cancel_requested", (F.lit(action == "cancel") & (s == "running")))
 
 
+def run_verdicts(jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """What a worker (``runs``: job_id, execution_id) may do with its job.
+
+    ``claim``: the execution is current, the job queued or failed and not cancelled;
+    ``heartbeat``: it is running; ``fenced``: another execution has replaced this one.
+    """
+    both = runs.join(jobs.select("job_id", "state", "cancel_requested", F.col("execution_id").alias("current")), "job_id", "left")
+    own = F.col("current").eqNullSafe(F.col("execution_id")) & F.col("current").isNotNull()
+    going = own & ~F.col("cancel_requested")
+    return both.select(
+        "job_id",
+        "execution_id",
+        F.coalesce(going & F.col("state").isin("queued", "failed"), F.lit(False)).alias("claim"),
+        F.coalesce(going & (F.col("state") == "running"), F.lit(False)).alias("heartbeat"),
+        F.coalesce(~own, F.lit(True)).alias("fenced"),
+    )
+
+
+def finish_cancelled(jobs: DataFrame) -> DataFrame:
+    """Jobs with those that were asked to stop while queued or running now cancelled."""
+    stop = F.col("cancel_requested") & F.col("state").isin("queued", "running")
+    return jobs.withColumn("state", F.when(stop, "cancelled").otherwise(F.col("state")))
+
+
+def deferred(retries: DataFrame, put: DataFrame, cleared: DataFrame) -> DataFrame:
+    """Deferred retries after upserts and clearings; the key is (source_id, normalized_url), the last write wins."""
+    key = ["source_id", "normalized_url"]
+    last = latest_upsert(put, key, ["updated_at"])
+    return retries.join(last.select(*key), key, "left_anti").unionByName(last).join(cleared.select(*key), key, "left_anti")
+
+
 def dead_letters(jobs: DataFrame, outbox: DataFrame) -> DataFrame:
     """Failed jobs with what is known of their delivery."""
     failed = jobs.filter("state = 'failed'").join(outbox.select("job_id", "n_lines"), "job_id", "left")

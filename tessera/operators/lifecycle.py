@@ -42,6 +42,32 @@ def page_status(http: Column, content_type: Column, allowed_out: Column, duplica
     return F.when(allowed_out, "blocked").when(deferred, "deferred").when(http == 304, "unchanged").when(http.isin(*TRANSIENT) | ~http.between(200, 299), "failed").when(~html, "skipped").when(duplicate, "duplicate").otherwise("indexed")
 
 
+def recrawl(queue: DataFrame, pages: DataFrame, live: DataFrame) -> DataFrame:
+    """``queue`` (source_id, normalized_url) with the validators to send: those of the last page that was
+    indexed or unchanged, if its document (``live``: document_id) is still there."""
+    kept = pages.filter(F.col("status").isin("indexed", "unchanged"))
+    last = kept.groupBy("source_id", "normalized_url").agg(F.max_by(F.struct("etag", "last_modified", "canonical_url"), "crawled_at").alias("p"))
+    own = queue.join(last, ["source_id", "normalized_url"], "left")
+    own = own.withColumn("document_id", F.left(F.sha2(F.coalesce("p.canonical_url", "normalized_url"), 256), F.lit(32)))
+    own = own.join(live.select("document_id", F.lit(True).alias("there")), "document_id", "left")
+    return own.select("source_id", "normalized_url", F.when(F.col("there"), F.col("p.etag")).alias("if_none_match"), F.when(F.col("there"), F.col("p.last_modified")).alias("if_modified_since"))
+
+
+def unchanged_links(fetched: DataFrame, pages: DataFrame, most_depth: int) -> DataFrame:
+    """(source_id, normalized_url, depth): the stored links of pages that answered 304, one level deeper."""
+    kept = pages.filter(F.col("status").isin("indexed", "unchanged"))
+    last = kept.groupBy("source_id", "normalized_url").agg(F.max_by("links", "crawled_at").alias("links"))
+    same = fetched.filter((F.col("http") == 304) & (F.col("depth") < most_depth)).join(last, ["source_id", "normalized_url"])
+    return same.select("source_id", F.explode("links").alias("normalized_url"), (F.col("depth") + 1).alias("depth")).distinct()
+
+
+def crawl_document(pages: DataFrame) -> DataFrame:
+    """Documents from extracted pages: id, url, title, content, headings, language and metadata as JSON."""
+    url = F.coalesce("canonical_url", "normalized_url")
+    metadata = F.to_json(F.struct("description", F.col("open_graph").alias("openGraph"), F.col("structured_data").alias("structuredData"), F.col("source_id").alias("sourceId")))
+    return pages.select(F.left(F.sha2(url, 256), F.lit(32)).alias("doc_id"), url.alias("url"), "title", "content", "headings", F.coalesce("language", F.lit("auto")).alias("language"), metadata.alias("metadata"))
+
+
 def crawl_frontier(starts: DataFrame, links: DataFrame, most_depth: int, most_pages: int | None = None) -> DataFrame:
     """(node, depth) of pages reached from ``starts`` over ``links`` (a, b), breadth first, each once.
 

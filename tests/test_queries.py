@@ -2,11 +2,11 @@
 
 import pytest
 
-from tessera.plans import analytics_queries, ingest_queries, search_queries, stream_queries
+from tessera.plans import analytics_queries, control_queries, ingest_queries, search_queries, stream_queries
 
 from .oracle import database, difference
 
-ALL = [(name, f, module.register.oracles.get(name)) for module in (search_queries, analytics_queries, ingest_queries, stream_queries) for name, f in module.register.queries.items()]
+ALL = [(name, f, module.register.oracles.get(name)) for module in (search_queries, analytics_queries, ingest_queries, control_queries, stream_queries) for name, f in module.register.queries.items()]
 
 
 @pytest.fixture(scope="module")

@@ -125,12 +125,17 @@ def with_stems(tokens: DataFrame, settings: IndexSettings = IndexSettings()) ->
     df = df.select(*own, "term")
     arabic = is_arabic(F.col("raw"))
     if not settings.arabic.light_stem:
-        return df.withColumn("term", F.when(arabic, F.col("raw")).otherwise(F.col("term")))
+        return df.select(*own, _kept_apart(F.when(arabic, F.col("raw")).otherwise(F.col("term"))).alias("term"))
     # Both lists have longer affixes before shorter ones, so the regular expressions find the first that fits.
     bare = F.regexp_replace("raw", f"^(?:{'|'.join(PREFIXES)})(?=.{{{LEAST_STEM}}})", "")
     stem = F.regexp_replace(bare, f"^(.{{{LEAST_STEM},}}?)(?:{'|'.join(SUFFIXES)})$", "$1")
-    # No stem is empty, and a filter on the term would be pushed below the steps and repeat them.
-    return df.withColumn("term", F.when(arabic, stem).otherwise(F.col("term")))
+    return df.select(*own, _kept_apart(F.when(arabic, stem).otherwise(F.col("term"))).alias("term"))
+
+
+def _kept_apart(term: Column) -> Column:
+    """The same value, as the row of a generator: a filter on it, such as a join infers, would else be
+    pushed below the steps and hold a copy of all of them for each mention of the term."""
+    return F.explode(F.array(term))
 
 
 def token_count(text: Column, settings: IndexSettings = IndexSettings()) -> Column:

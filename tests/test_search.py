@@ -11,10 +11,10 @@ from tessera.settings import IndexSettings, SearchRequest
 
 SETTINGS = IndexSettings(boosts={"title": 4.0, "content": 1.0})
 DOCS = [
-    ("a", "JavaScript search engine", "Build fast lexical search and ranking systems.", "2026-08-01T10:00:00Z", "docs"),
-    ("b", "Building search systems", "Distributed systems and information retrieval.", "2025-12-15T10:00:00Z", "blog"),
-    ("c", "Introduction to databases", "Relational database fundamentals.", "2026-02-10T10:00:00Z", "docs"),
-    ("ar", "مُحَرِّك بحث عربي", "بناء محركات البحث ومعالجة اللغة العربية.", "2026-09-01T10:00:00Z", "docs"),
+    ("r1", "Growing tomato seedlings", "Warm soil helps tomato seedlings root quickly.", "2021-03-05T08:00:00Z", "garden"),
+    ("r2", "Pruning apple trees", "Winter pruning keeps an orchard productive.", "2019-11-20T08:00:00Z", "orchard"),
+    ("r3", "Composting basics", "Kitchen scraps become dark soil within months.", "2020-06-01T08:00:00Z", "garden"),
+    ("r4", "زِرَاعَة الأشجار", "تحتاج الأشجار المثمرة إلى الماء والشمس.", "2022-01-15T08:00:00Z", "garden"),
 ]
 
 
@@ -31,39 +31,53 @@ def hits(spark, index, query, typo=True):
 
 
 def test_ranking(spark, index):
-    found = hits(spark, index, "javascript search")
-    assert found[0] == "a" and "c" not in found
+    found = hits(spark, index, "tomato soil")
+    assert found[0] == "r1" and set(found) == {"r1", "r3"}
 
 
 def test_phrase(spark, index):
-    assert hits(spark, index, '"distributed systems"') == ["b"]
-    assert hits(spark, index, 'search "search engine"') == ["a"]
+    assert hits(spark, index, '"apple trees"') == ["r2"]
+    assert hits(spark, index, 'soil "tomato seedlings"') == ["r1"]
 
 
-@pytest.mark.parametrize("query", ["javscript", "searchh", "serach"])
-def test_typos(spark, index, query):
-    assert hits(spark, index, query)[0] in ("a", "b")
-    assert query != "javscript" or hits(spark, index, query, typo=False) == []
+@pytest.mark.parametrize("query,expected", [("tomatto", "r1"), ("seedlngs", "r1"), ("orchrad", "r2")])
+def test_typos(spark, index, query, expected):
+    assert hits(spark, index, query) == [expected]
+    assert hits(spark, index, query, typo=False) == []
+
+
+def test_typos_with_and_without_the_stored_dictionary(spark, index):
+    terms = S.parsed_queries(spark, {"q": "tomatto orchrad wintre"}, SETTINGS)[0]
+    stored = {(r.term, r.expansion, r.distance) for r in S.typo_candidates(terms, index.vocabulary, SETTINGS, variants=index.variants).collect()}
+    assert stored == {(r.term, r.expansion, r.distance) for r in S.typo_candidates(terms, index.vocabulary, SETTINGS).collect()}
+    assert ("orchrad", "orchard", 1) in stored
+
+
+def test_the_stored_dictionary_alone_is_read(spark, index):
+    terms = S.parsed_queries(spark, {"q": "orchrad"}, SETTINGS)[0]
+    other = typo_dictionary(spark.createDataFrame([("orchads", 3)], "term string, df long"))
+    assert [r.expansion for r in S.typo_candidates(terms, index.vocabulary, SETTINGS, variants=other).collect()] == ["orchads"]
 
 
 def test_arabic(spark, index):
-    assert "ar" in hits(spark, index, "مُحَرِّكات البحث")
+    assert hits(spark, index, "أَشجار") == ["r4"]
 
 
 def test_bm25_value(spark, index):
-    terms = spark.createDataFrame([("q", "search")], "query_id string, term string")
+    terms = spark.createDataFrame([("q", "soil")], "query_id string, term string")
     parts = {(r.doc_id, r.field): r.value for r in S.components(index, terms).collect()}
-    n, df = 4, 2
-    assert parts[("b", "title")] == pytest.approx(4 * math.log(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / 3)), rel=1e-9)
+    # Two of four contents have the word; they have 7, 6, 7 and 6 words.
+    assert parts.keys() == {("r1", "content"), ("r3", "content")}
+    assert parts[("r3", "content")] == pytest.approx(math.log(1 + 2.5 / 2.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 7 / 6.5)), rel=1e-9)
 
 
 def test_score_is_the_sum_of_its_components(spark, index):
-    terms, phrases = S.parsed_queries(spark, {"q": 'search "search engine"'}, SETTINGS)
-    parts = S.explain(index, terms, "a", phrases).collect()
-    assert {r.component: r.value for r in parts}["phrase:search engin"] == 2
-    score = S.score(index, terms, phrases).filter("doc_id = 'a'").first().score
+    terms, phrases = S.parsed_queries(spark, {"q": 'soil "tomato seedlings"'}, SETTINGS)
+    parts = S.explain(index, terms, "r1", phrases).collect()
+    assert {r.component: r.value for r in parts}["phrase:tomato seedl"] == 2
+    score = S.score(index, terms, phrases).filter("doc_id = 'r1'").first().score
     assert sum(r.value for r in parts) == pytest.approx(score)
-    assert S.explain(index, terms, "b", phrases).count() == 0
+    assert S.explain(index, terms, "r3", phrases).count() == 0
 
 
 def filtered(index, spec):
@@ -71,22 +85,35 @@ def filtered(index, spec):
 
 
 def test_filters(index):
-    spec = {"and": [{"metadata.category": "docs"}, {"or": [{"publishedAt": {"op": "gte", "value": "2026-07-01"}}, {"doc_id": "c"}]}]}
-    assert filtered(index, spec) == {"a", "ar", "c"}
-    assert filtered(index, {"publishedAt": {"min": "2026-01-01", "max": "2026-06-01"}}) == {"c"}
-    assert filtered(index, {"nothing": {"op": "neq", "value": 1}}) == {"a", "b", "c", "ar"}
+    spec = {"or": [{"metadata.category": "orchard"}, {"and": [{"metadata.category": "garden"}, {"publishedAt": {"op": "gt", "value": "2021-01-01"}}]}]}
+    assert filtered(index, spec) == {"r1", "r2", "r4"}
+    assert filtered(index, {"publishedAt": {"min": "2020-01-01", "max": "2020-12-31"}}) == {"r3"}
+    everything = {i for i, *_ in DOCS}
+    assert filtered(index, {"nothing": {"op": "neq", "value": 1}}) == everything
     assert filtered(index, {"nothing": {"op": "gt", "value": 1}}) == set()
-    assert filtered(index, {"nothing": {}}) == {"a", "b", "c", "ar"}
-    assert filtered(index, {"doc_id": {"op": "like", "value": "a"}}) == set()
+    assert filtered(index, {"nothing": {}}) == everything
+    assert filtered(index, {"doc_id": {"op": "like", "value": "r1"}}) == set()
     with pytest.raises(ValueError):
         condition(index.docs, {"and": []})
 
 
 def test_filter_before_scoring_keeps_statistics(spark, index):
-    terms = spark.createDataFrame([("q", "search")], "query_id string, term string")
+    terms = spark.createDataFrame([("q", "soil")], "query_id string, term string")
     whole = {r.doc_id: r.score for r in S.score(index, terms).collect()}
-    one = S.score(index, terms, among=index.docs.filter("doc_id = 'b'")).collect()
-    assert [r.doc_id for r in one] == ["b"] and one[0].score == pytest.approx(whole["b"])
+    one = S.score(index, terms, among=index.docs.filter("doc_id = 'r3'")).collect()
+    assert [r.doc_id for r in one] == ["r3"] and one[0].score == pytest.approx(whole["r3"])
+
+
+def test_text_of_fields_by_type(spark):
+    docs = spark.createDataFrame([(1, ["red soil", None, "clay"], 2024, None), (2, [], 7, "sand")], "doc_id int, tags array<string>, content int, url string")
+    posts = {(r.doc_id, r.field, r.term, tuple(r.positions), r.len) for r in build(docs, SETTINGS).postings.collect()}
+    assert posts == {(1, "tags", "red", (0,), 3), (1, "tags", "soil", (1,), 3), (1, "tags", "clay", (2,), 3), (2, "url", "sand", (0,), 1)}
+
+
+def test_compatibility_forms_are_found(spark):
+    docs = spark.createDataFrame([(1, "ｇａｒｄｅｎ of ﬁgs"), (2, "other words")], "doc_id int, content string")
+    index = build(docs, IndexSettings(boosts={"content": 1.0}))
+    assert hits(spark, index, "garden", typo=False) == hits(spark, index, "ﬁg", typo=False) == hits(spark, index, "figs", typo=False) == [1]
 
 
 def test_average_length_counts_all_documents(spark):
@@ -100,9 +127,9 @@ def test_duplicate_ids_are_refused(spark):
 
 
 def test_synonyms(spark):
-    pairs = {(r.term, r.expansion) for r in S.synonym_pairs(spark, [(["api", "application programming"], False), (["ecmascript", "javascript"], True)]).collect()}
-    assert ("ecmascript", "javascript") in pairs and ("javascript", "ecmascript") not in pairs
-    assert ("api", "applicat") in pairs or any(a == "api" for a, _ in pairs)
+    groups = [(["plum", "prune"], False), (["spade", "shovel"], True), (["fork lift", "jack"], False), (["alone"], False)]
+    pairs = {(r.term, r.expansion) for r in S.synonym_pairs(spark, groups).collect()}
+    assert pairs == {("plum", "prun"), ("prun", "plum"), ("spad", "shovel"), *((a, b) for a in ("fork", "lift", "jack") for b in ("fork", "lift", "jack") if a != b)}
 
 
 def test_parse():
@@ -112,14 +139,14 @@ def test_parse():
 
 
 def test_autocomplete(spark, index):
-    assert [r.value for r in S.autocomplete(index.vocabulary, "sys").collect()] == ["system"]
+    assert [r.value for r in S.autocomplete(index.vocabulary, "fresh orch").collect()] == ["orchard"]
     assert S.autocomplete(index.vocabulary, "  ").count() == 0
 
 
 def test_typo_dictionary(spark):
-    vocabulary = spark.createDataFrame([("algorithm",), ("javascript",), ("search",)], "term string")
+    vocabulary = spark.createDataFrame([("lantern",), ("copper",), ("ridge",)], "term string")
     rows = {(r.variant, r.term) for r in typo_dictionary(vocabulary).collect()}
-    assert {("algoritm", "algorithm"), ("javscript", "javascript"), ("search", "search")} <= rows
+    assert {("lanern", "lantern"), ("coper", "copper"), ("rdg", "ridge"), ("ridge", "ridge")} <= rows
 
 
 def test_checksum_ignores_order(spark):

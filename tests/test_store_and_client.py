@@ -13,7 +13,7 @@ SETTINGS = IndexSettings(boosts={"title": 4.0, "content": 1.0})
 
 @pytest.fixture(scope="module")
 def index(spark):
-    rows = [("a", "JavaScript search engine", "Fast search.", ["docs", "js"]), ("b", "Search systems", "Distributed systems.", ["blog"]), ("c", "Databases", None, None)]
+    rows = [("a", "Greenhouse watering guide", "Fast watering.", ["guide", "water"]), ("b", "Watering roses", "Roses need deep watering.", ["roses"]), ("c", "Fences", None, None)]
     return persisted(build(spark.createDataFrame(rows, "doc_id string, title string, content string, tags array<string>"), SETTINGS))
 
 
@@ -45,19 +45,19 @@ def test_activation_and_rollback(spark, index, tmp_path):
 
 def test_client(spark, index):
     client = SearchClient(spark, index, "v1")
-    request = SearchRequest("search", limit=1, facets=("tags",))
+    request = SearchRequest("watering", limit=1, facets=("tags",))
     first = client.search(request)
-    assert first.total == 2 and first.facets["tags"] == {"docs": 1, "js": 1, "blog": 1}
+    assert first.total == 2 and first.facets["tags"] == {"guide": 1, "water": 1, "roses": 1}
     second = client.search(next_page(request, first))
     assert second.next_cursor is None and {first.hits[0]["id"], second.hits[0]["id"]} == {"a", "b"}
     with pytest.raises(ValueError, match="different search request"):
-        client.search(SearchRequest("databases", cursor=first.next_cursor))
+        client.search(SearchRequest("fences", cursor=first.next_cursor))
     with pytest.raises(ValueError):
-        SearchClient(spark, index, "v2").search(SearchRequest("search", cursor=first.next_cursor))
+        SearchClient(spark, index, "v2").search(SearchRequest("watering", cursor=first.next_cursor))
     assert client.search(SearchRequest("")).total == 3
-    hit = next(h for h in client.search(SearchRequest("javscript")).hits if h["id"] == "a")
+    hit = next(h for h in client.search(SearchRequest("greenhuose")).hits if h["id"] == "a")
     f, s, e = hit["highlights"][0]
-    assert hit["document"][f][s:e] == "JavaScript"
+    assert hit["document"][f][s:e] == "Greenhouse"
 
 
 def test_cursor_members():

@@ -13,7 +13,7 @@ STEMS = {
     "queries": "queri", "class": "class", "classes": "class", "running": "runn", "string": "string", "agreed": "agre", "need": "need",
     "optimization": "optimiz", "indexes": "index", "this": "thi", "bus": "bus", "creation": "creat", "nation": "nation", "operator": "operat",
 }
-ARABIC = {"العربية": "عرب", "محركات": "محرك", "البحث": "بحث", "والبحث": "بحث"}
+ARABIC = {"المعلمون": "معلم", "كتابها": "كتاب", "والقلم": "قلم", "سيارات": "سيار"}
 
 
 def test_english_stems(spark):
@@ -29,11 +29,11 @@ def test_arabic_stems(spark):
 
 
 def test_arabic_normalisation(spark):
-    assert T.normalize_arabic_text("إِختِبار آلِيّ على") == "اختبار الي علي"
-    assert T.normalize_arabic_text("مدرسة") == "مدرسة"
-    assert T.normalize_arabic_text("مدرسة", Arabic(taa_marbuta=True)) == "مدرسه"
-    df = spark.createDataFrame([("إِختِبار آلِيّ على",)], "t string")
-    assert df.select(T.normalized(F.col("t"))).first()[0] == "اختبار الي علي"
+    assert T.normalize_arabic_text("مُستشفى الأُمّ") == "مستشفي الام"
+    assert T.normalize_arabic_text("حديقة") == "حديقة"
+    assert T.normalize_arabic_text("حديقة", Arabic(taa_marbuta=True)) == "حديقه"
+    df = spark.createDataFrame([("مُستشفى الأُمّ",)], "t string")
+    assert df.select(T.normalized(F.col("t"))).first()[0] == "مستشفي الام"
 
 
 def test_stemmers_agree(spark):
@@ -49,8 +49,8 @@ def test_stemmers_agree(spark):
 
 
 def test_mixed_tokens_and_gaps(spark):
-    terms = [t for t, _, _ in T.analyze_text("Search محركات البحث JavaScript")]
-    assert terms[0] == "search" and "محرك" in terms and terms[-1] == "javascript"
+    terms = [t for t, _, _ in T.analyze_text("Garden الحدائق Tools")]
+    assert terms == ["garden", "حدائق", "tool"]
     settings = IndexSettings(stop_words={"en": ("of",)})
     assert [(t, p) for t, p, _ in T.analyze_text("state of art", settings)] == [("state"[:-1], 0), ("art", 2)]
     df = T.analyzed(spark.createDataFrame([(1, "state of art")], "doc_id int, text string"), "text", settings)
@@ -64,11 +64,11 @@ def test_empty_and_null_texts(spark):
 
 def test_offsets_count_utf16_units():
     assert T.analyze_offsets("🙂 engines")[0][:2] == (3, 10)
-    assert T.analyze_offsets("مُحَرِّك")[0][0] == 0
+    assert T.analyze_offsets("حَدِيقَة")[0][:2] == (0, 8)
 
 
 def test_distances():
-    assert osa_distance("serach", "search", 2) == 1
+    assert osa_distance("gadren", "garden", 2) == 1
     assert osa_distance("ca", "abc", 3) == 3
     assert osa_distance("abc", "xyz", 2) == 3
 
@@ -86,11 +86,11 @@ def test_close_words_share_a_variant(a, b):
 
 
 def test_deletion_variants(spark):
-    row = spark.createDataFrame([("search",), ("ab",), ("a",)], "t string").select("t", deletion_variants(F.col("t"), 2).alias("v")).collect()
+    row = spark.createDataFrame([("garden",), ("ab",), ("a",)], "t string").select("t", deletion_variants(F.col("t"), 2).alias("v")).collect()
     for r in row:
         assert len(r.v) == len(set(r.v))
         assert set(r.v) == deletion_variants_of(r.t, 2)
-    assert {"search", "searc", "sear"} <= set(row[0].v)
+    assert {"garden", "garde", "grdn"} <= set(row[0].v)
 
 
 def test_escaped_like_and_snippet(spark):

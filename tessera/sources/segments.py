@@ -3,7 +3,8 @@
 A version is published by its manifest: a folder without one isn't a version, so a
 failed build leaves nothing that a reader would find.  Versions are never overwritten.
 The pointer to the active version is a folder of small numbered rows; the latest row
-wins, so activation and rollback are one append.  Paths go through Spark, so any
+wins, so activation and rollback are one append.  Versions are numbered in order, and a
+fence, raised when documents are erased, keeps older ones from becoming active.  Paths go through Spark, so any
 store that it can reach will do.
 """
 
@@ -20,6 +21,7 @@ from ..settings import Arabic, IndexSettings
 
 _NAME = re.compile(r"[A-Za-z0-9_-]+")
 TABLES = ("docs", "postings", "lengths", "dictionary")
+MANIFEST = "index_id string, version string, sequence long, n_docs long, settings string, checksums string"
 
 
 def _place(root: str, index_id: str, version: str) -> str:
@@ -30,17 +32,24 @@ def _place(root: str, index_id: str, version: str) -> str:
 
 
 def write_version(index: Index, root: str, index_id: str, version: str) -> str:
-    """Writes all tables, then the manifest; postings are sorted by term within files, for skipping."""
+    """Writes all tables, then the manifest; postings are sorted by term, for skipping.
+
+    Ranges are of terms and, where a term is frequent, of its documents, so no task has
+    all postings of a stop word.
+    """
     place = _place(root, index_id, version)
+    known = _rows(index.docs.sparkSession, f"{root}/{index_id}/*/manifest", MANIFEST)
+    sequence = 1 + ((known.agg(F.max("sequence")).first()[0] or 0) if known is not None else 0)
     for name in TABLES:
         df: DataFrame = getattr(index, name)
         if "term" in df.columns:
-            df = df.repartition("term").sortWithinPartitions("term")
+            by = [c for c in ("term", "doc_id") if c in df.columns]
+            df = df.repartitionByRange(*by).sortWithinPartitions(*by)
         df.write.mode("errorifexists").parquet(f"{place}/{name}")
     spark = index.docs.sparkSession
     sums = {name: checksum(spark.read.parquet(f"{place}/{name}")) for name in ("postings", "lengths", "dictionary")}
-    row = (index_id, version, index.n_docs, index.settings.json(), json.dumps(sums, sort_keys=True))
-    spark.createDataFrame([row], "index_id string, version string, n_docs long, settings string, checksums string").coalesce(1).write.mode("errorifexists").parquet(f"{place}/manifest")
+    row = (index_id, version, sequence, index.n_docs, index.settings.json(), json.dumps(sums, sort_keys=True))
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{place}/manifest")
     return place
 
 
@@ -66,23 +75,51 @@ def read_version(spark: SparkSession, root: str, index_id: str, version: str, ch
 
 
 def activate(spark: SparkSession, root: str, index_id: str, version: str) -> None:
-    """Makes a published version the active one; also for going back to an older one."""
+    """Makes a published version the active one; also for going back to an older one, unless a fence forbids it."""
     place = _place(root, index_id, version)
-    spark.read.parquet(f"{place}/manifest").first()
+    own = spark.read.parquet(f"{place}/manifest").first()
+    if own.sequence < minimum_sequence(spark, root, index_id):
+        raise ValueError("the version predates an erasure")
     last = _pointers(spark, root, index_id)
     number = 1 + (last.agg(F.max("number")).first()[0] if last is not None else 0)
     spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").parquet(f"{root}/{index_id}/active")
 
 
-def _pointers(spark: SparkSession, root: str, index_id: str) -> DataFrame | None:
+def raise_fence(spark: SparkSession, root: str, index_id: str) -> int:
+    """Forbids all versions there are; returns the least number that may become active."""
+    known = _rows(spark, f"{root}/{index_id}/*/manifest", MANIFEST)
+    least = 1 + ((known.agg(F.max("sequence")).first()[0] or 0) if known is not None else 0)
+    spark.createDataFrame([(least,)], "minimum long").coalesce(1).write.mode("append").parquet(f"{root}/{index_id}/fence")
+    return least
+
+
+def minimum_sequence(spark: SparkSession, root: str, index_id: str) -> int:
+    rows = _rows(spark, f"{root}/{index_id}/fence", "minimum long")
+    return 0 if rows is None else rows.agg(F.max("minimum")).first()[0] or 0
+
+
+def copied(spark: SparkSession, root: str, index_id: str, version: str, to: str) -> str:
+    """A version's tables and manifest copied to another root, for a backup or from one, and checked there."""
+    source, place = _place(root, index_id, version), _place(to, index_id, version)
+    for name in (*TABLES, "manifest"):
+        spark.read.parquet(f"{source}/{name}").write.mode("errorifexists").parquet(f"{place}/{name}")
+    read_version(spark, to, index_id, version)
+    return place
+
+
+def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema("number long, version string").parquet(f"{root}/{index_id}/active")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException:
         return None
 
 
+def _pointers(spark: SparkSession, root: str, index_id: str) -> DataFrame | None:
+    return _rows(spark, f"{root}/{index_id}/active", "number long, version string")
+
+
 def active_version(spark: SparkSession, root: str, index_id: str) -> str | None:
     rows = _pointers(spark, root, index_id)
     return None if rows is None else rows.agg(F.max_by("version", "number")).first()[0]

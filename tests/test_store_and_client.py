@@ -1,9 +1,13 @@
 """Versions on disk, cursors, and the client."""
 
+import hashlib
+
 import pytest
 
 from tessera.client import SearchClient, highlighted, next_page
 from tessera.functions.cursor import decode_cursor
+from tessera.operators import search as S
+from tessera.operators.control import pending_steps
 from tessera.operators.index import build, persisted
 from tessera.settings import IndexSettings, SearchRequest
 from tessera.sources import segments
@@ -41,6 +45,37 @@ def test_activation_and_rollback(spark, index, tmp_path):
     assert segments.active_version(spark, root, "main") == "v2"
     segments.activate(spark, root, "main", "v1")
     assert segments.active_version(spark, root, "main") == "v1"
+    assert segments.raise_fence(spark, root, "main") == 3
+    with pytest.raises(ValueError, match="predates"):
+        segments.activate(spark, root, "main", "v2")
+    segments.write_version(index, root, "main", "v3")
+    segments.activate(spark, root, "main", "v3")
+    assert segments.active_version(spark, root, "main") == "v3"
+
+
+def test_backup(spark, index, tmp_path):
+    segments.write_version(index, f"{tmp_path}/a", "main", "v1")
+    segments.copied(spark, f"{tmp_path}/a", "main", "v1", f"{tmp_path}/b")
+    assert segments.read_version(spark, f"{tmp_path}/b", "main", "v1").n_docs == 3
+    with pytest.raises(Exception):
+        segments.copied(spark, f"{tmp_path}/a", "main", "v1", f"{tmp_path}/b")
+
+
+def test_search_in_a_stored_version(spark, index, tmp_path):
+    segments.write_version(index, str(tmp_path), "main", "v1")
+    stored = segments.read_version(spark, str(tmp_path), "main", "v1")
+    terms = S.parsed_queries(spark, {"q": "watering roses"}, SETTINGS)[0]
+    ranked = lambda i: [(r.doc_id, round(r.score, 9)) for r in S.top(S.score(i, terms), 5).orderBy("rank").collect()]
+    assert ranked(stored) == ranked(index) != []
+
+
+def test_migration_ledger():
+    files = {"0002_b.sql": "b", "0001_a.sql": "a", "notes.txt": "x"}
+    assert pending_steps(files, {}) == ["0001_a.sql", "0002_b.sql"]
+    done = {"0001_a.sql": hashlib.sha256(b"a").hexdigest()}
+    assert pending_steps(files, done) == ["0002_b.sql"]
+    with pytest.raises(ValueError, match="0001"):
+        pending_steps(files | {"0001_a.sql": "changed"}, done)
 
 
 def test_client(spark, index):

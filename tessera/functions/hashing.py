@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import words
 
 NEAR_BITS = 3
-BANDS = 4
+#: Widths of the bands of a fingerprint.
+BANDS = (11, 11, 11, 11, 10, 10)
 
 
 def content_hash(content: Column) -> Column:
@@ -43,10 +45,19 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def near_pairs(prints: DataFrame, key: str = "page_id", bits: int = NEAR_BITS) -> DataFrame:
-    """Pairs a < b within ``bits``: with four bands of 16 bits, at most three errors leave a band equal."""
-    if bits >= BANDS:
+    """Pairs a < b within ``bits``.
+
+    Of six bands at least three are equal in a pair of up to three errors, so the keys are
+    all choices of three bands, 31 bits or more each: pages meet hardly any others by chance.
+    Give one page of each fingerprint; equal ones would all meet.
+    """
+    if bits > len(BANDS) // 2:
         raise ValueError("too many bits for the bands")
-    band = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("simhash", 16 * i).bitwiseAND(0xFFFF).alias("v")) for i in range(BANDS))))
+    start = [sum(BANDS[:i]) for i in range(len(BANDS))]
+    masks = [((1 << w) - 1) << s for w, s in zip(BANDS, start, strict=True)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    choices = list(combinations(masks, len(BANDS) - bits))
+    band = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("simhash").bitwiseAND(F.lit(signed(sum(c)))).alias("v")) for i, c in enumerate(choices))))
     rows = prints.select(key, "simhash", band.alias("band"))
     a, b = rows.toDF("a", "ha", "band"), rows.toDF("b", "hb", "band")
     return a.join(b, "band").filter((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= bits)).select("a", "b").distinct()
@@ -61,33 +72,19 @@ def exact_first(pages: DataFrame, hash_column: str, key: str = "page_id") -> Dat
 def first_wins(pages: DataFrame, pairs: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, kept): in order of key a page is kept unless a kept one is near it.
 
-    The order matters only inside a connected group of near pages; groups are resolved
-    apart from each other.
+    In rounds: a page is dropped once a smaller page near it is kept, and kept once all
+    of those are dropped, so every round settles the smallest open page of each group
+    and all groups at once.  Nothing is collected in one task.
     """
-    root = pages.select(F.col(key).alias("node"), F.col(key).alias("root"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    state = pages.select(F.col(key).alias("node"), F.lit(None).cast("boolean").alias("kept"))
+    smaller = pairs.select("a", F.col("b").alias("node")).persist()
     while True:
-        near = both.join(root.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("r"))
-        new = root.join(near, "node", "left").select("node", F.least("root", F.coalesce("r", "root")).alias("root"), "root", "r").toDF("node", "root", "old", "r")
-        new = new.select("node", "root", (F.col("root") != F.col("old")).alias("moved")).persist()
-        moved = new.filter("moved").limit(1).count()
-        root = new.select("node", "root")
-        if not moved:
-            break
-    grouped = root.join(both.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("near")), "node", "left")
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: set = set()
-        out = []
-        for r in pdf.sort_values("node").itertuples():
-            ok = r.near is None or not kept.intersection(r.near)
-            if ok:
-                kept.add(r.node)
-            out.append((r.node, ok))
-        return pd.DataFrame(out, columns=[key, "kept"])
-
-    single = grouped.filter("near IS NULL").select(F.col("node").alias(key), F.lit(True).alias("kept"))
-    return grouped.filter("near IS NOT NULL").groupBy("root").applyInPandas(resolve, f"{key} long, kept boolean").unionByName(single)
+        told = smaller.join(state.select(F.col("node").alias("a"), F.col("kept").alias("k")), "a").groupBy("node").agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("beaten"), F.bool_or(F.col("k").isNull()).alias("waits"))
+        new = state.join(told, "node", "left").select("node", F.coalesce("kept", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)).alias("kept")).persist()
+        still = new.filter("kept IS NULL").limit(1).count()
+        state = new
+        if not still:
+            return state.select(F.col("node").alias(key), "kept")
 
 
 __all__ = ["content_hash", "exact_first", "first_wins", "hamming", "near_pairs", "simhash64"]

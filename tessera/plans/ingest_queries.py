@@ -71,7 +71,7 @@ def near_dup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-wins near-duplicate pages by extracted content, in order of page id."""
     pages = extracted(table(spark, sf_dir, "pages")).select("page_id", "content", "content_hash").persist()
     unique = H.exact_first(pages, "content_hash").filter("kept").drop("kept")
-    prints = H.simhash64(unique, "content").persist()
+    prints = H.exact_first(H.simhash64(unique, "content"), "simhash").filter("kept").drop("kept").persist()
     near = H.first_wins(prints, H.near_pairs(prints))
     return pages.select("page_id").join(near, "page_id", "left").select("page_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 

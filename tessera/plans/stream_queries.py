@@ -15,10 +15,22 @@ register = Registry()
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    """A folder that all executors share; a temporary one in local mode only."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="stream-")
     return f"{shared}/stream-{uuid.uuid4().hex}"
 
 
+def _complete(stream: DataFrame, place: str) -> DataFrame:
+    """What a stream's complete result is after all batches."""
+    q = stream.writeStream.outputMode("complete").foreachBatch(E.table_sink(f"{place}/out")).trigger(availableNow=True).option("checkpointLocation", f"{place}/c").start()
+    q.awaitTermination()
+    return E.newest(stream.sparkSession, f"{place}/out")
+
+
 def _staged(spark: SparkSession, sf_dir: str, place: str) -> DataFrame:
     """Search events as a stream over files, in two batches."""
     ev = search_events(spark, sf_dir)
@@ -30,17 +42,13 @@ def _staged(spark: SparkSession, sf_dir: str, place: str) -> DataFrame:
 def stream_minute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _folder(spark)
     counts = E.minute_counts(_staged(spark, sf_dir, place), "project")
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name := f"m{uuid.uuid4().hex}").trigger(availableNow=True).option("checkpointLocation", f"{place}/c").start()
-    q.awaitTermination()
-    return plain_time(spark.table(name).groupBy("project", "minute").agg(F.max("requests").alias("requests")), "minute")
+    return plain_time(_complete(counts, place), "minute")
 
 
 @register(f"WITH {EVENTS_SQL} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS searches, round(sum(latency_ms), 4) AS latency, count(*) FILTER (WHERE result_count = 0) AS zero_results FROM ev GROUP BY 1")
 def stream_daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _folder(spark)
-    q = E.daily_rollup(_staged(spark, sf_dir, place)).writeStream.outputMode("complete").format("memory").queryName(name := f"d{uuid.uuid4().hex}").trigger(availableNow=True).option("checkpointLocation", f"{place}/c").start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("latency", F.round("latency", 4))
+    return _complete(E.daily_rollup(_staged(spark, sf_dir, place)), place).withColumn("latency", F.round("latency", 4))
 
 
 @register(f"WITH {EVENTS_SQL} SELECT user_id, event_id, query FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id DESC) AS n FROM ev) x WHERE n = 1")
@@ -49,5 +57,4 @@ def stream_latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _staged(spark, sf_dir, place)
     q = stream.writeStream.foreachBatch(E.upsert_sink(f"{place}/out", ["user_id"], ["created_at", "event_id"])).option("checkpointLocation", f"{place}/c").trigger(availableNow=True).start()
     q.awaitTermination()
-    newest = spark.read.parquet(f"{place}/out").agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{place}/out/v={newest}").select("user_id", "event_id", "query")
+    return E.newest(spark, f"{place}/out").select("user_id", "event_id", "query")

@@ -32,19 +32,34 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, mode: str = "
     q.awaitTermination()
 
 
+def newest(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
+    """The last version of a versioned table, or None; with ``below`` the last one before that number."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        versions = spark.read.parquet(target).select("v").distinct()
+    except AnalysisException:
+        return None
+    last = (versions if below is None else versions.filter(F.col("v") < below)).agg(F.max("v")).first()[0]
+    return None if last is None else spark.read.parquet(f"{target}/v={last}")
+
+
+def table_sink(target: str):
+    """A ``foreachBatch`` function for complete results: every batch is a version of the table, written by the executors."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/v={number}")
+
+
 def upsert_sink(target: str, key: list[str], order: list[str]):
     """A ``foreachBatch`` function that keeps each key's last row in versioned folders under ``target``.
 
-    Batch ``n`` reads version ``n - 1`` and writes version ``n``; writing it again
-    after a failure gives the same table.
+    Batch ``n`` reads the last version before it, whichever that is, and writes version
+    ``n``; writing it again after a failure gives the same table.
     """
     from ..operators.jobs import latest_upsert
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.parquet(f"{target}/v={number - 1}").unionByName(batch)
+        last = newest(batch.sparkSession, target, number)
+        rows = batch if last is None else last.unionByName(batch)
         latest_upsert(rows, key, order).write.mode("overwrite").parquet(f"{target}/v={number}")
 
     return apply

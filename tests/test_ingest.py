@@ -121,6 +121,28 @@ def test_first_wins_is_in_order(spark):
     assert kept == {1: True, 2: False, 3: True, 4: True}
 
 
+def test_near_pairs_and_first_wins_by_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    prints = {}
+    for i in range(160):
+        base = rng.choice(list(prints.values())) if prints and rng.random() < 0.7 else rng.getrandbits(64)
+        for bit in rng.sample(range(64), rng.randint(0, 4)):
+            base ^= 1 << bit
+        if base not in prints.values():
+            prints[i] = base
+    df = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in prints.items()], "page_id long, simhash long")
+    pairs = near_pairs(df).persist()
+    near = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3}
+    assert {(r.a, r.b) for r in pairs.collect()} == near and len(near) > 50
+    kept = set()
+    for i in sorted(prints):
+        if not any((k, i) in near for k in kept):
+            kept.add(i)
+    assert {r.page_id for r in first_wins(df, pairs).collect() if r.kept} == kept
+
+
 def test_simhash_of_nothing(spark):
     rows = simhash64(spark.createDataFrame([(1, None), (2, ""), (3, "one two two")], "page_id long, t string"), "t").collect()
     got = {r.page_id: r.simhash for r in rows}

@@ -222,9 +222,7 @@ def near_copies(n, words=120, edits=2, seed=3):
     return [" ".join(t) for t in out]
 
 
-def test_similar_groups(spark, corpus):
-    more = [*AWKWARD, *near_copies(3), *(" ".join(f"v{i}" for i in range(n)) for n in (3, 4, 5, 7, 8, 9, 10)), "A b C d", "a  b c\td"]
-    texts = texts_of(corpus) | dict(enumerate(more, 10_000))
+def similar_by_brute_force(texts):
     sets = {i: shingled(t) for i, t in texts.items()}
     parent = {}
     ids = sorted(texts, key=lambda i: len(sets[i]))
@@ -240,15 +238,26 @@ def test_similar_groups(spark, corpus):
                 while parent[y] != y:
                     y = parent[y]
                 parent[x] = y
-    want, got = defaultdict(set), defaultdict(set)
+    want = defaultdict(set)
     for i in ids:
         x = i
         while parent[x] != x:
             x = parent[x]
         want[x].add(i)
-    for r in similar.similar_groups(documents(spark, list(texts.values()), list(texts))).collect():
+    return sorted(map(sorted, want.values()))
+
+
+def similar_found(spark, texts, **options):
+    got = defaultdict(set)
+    for r in similar.similar_groups(documents(spark, list(texts.values()), list(texts)), **options).collect():
         got[r.root].add(r.doc_id)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    return sorted(map(sorted, got.values()))
+
+
+def test_similar_groups(spark, corpus):
+    more = [*AWKWARD, *near_copies(3), *(" ".join(f"v{i}" for i in range(n)) for n in (3, 4, 5, 7, 8, 9, 10)), "A b C d", "a  b c\td"]
+    texts = texts_of(corpus) | dict(enumerate(more, 10_000))
+    assert similar_found(spark, texts) == similar_by_brute_force(texts)
 
 
 def test_similar_groups_of_crowded_keys(spark):
@@ -256,6 +265,47 @@ def test_similar_groups_of_crowded_keys(spark):
     assert len(roots) == 1
 
 
+def crowd(n=150, seed=5):
+    """Texts that share a passage of half their words; of every second one there is a near copy."""
+    rng = np.random.default_rng(seed)
+    shared = [f"s{i}" for i in range(30)]
+    out = []
+    for k in range(n):
+        own = shared + [f"o{k}w{i}" for i in range(int(rng.integers(20, 50)))]
+        out.append(own)
+        if k % 2:
+            copy = own.copy()
+            copy[int(rng.integers(0, len(own)))] = f"x{k}"
+            out.append(copy)
+    return dict(enumerate(" ".join(t) for t in out))
+
+
+# Cells of one node meet most often, cells of many compare most pairs at once.
+@pytest.mark.parametrize("cell", [1, 7, similar.CELL])
+def test_crowded_keys_lose_no_pair(spark, monkeypatch, cell):
+    monkeypatch.setattr(similar, "FAR", -1)
+    texts = crowd(40 if cell == 1 else 150)
+    want = similar_by_brute_force(texts)
+    assert len(want) < len(texts)
+    # With no pair found by neighbours in a key, all links come from the last round.
+    assert similar_found(spark, texts, wide=1, cell=cell) == want
+
+
+def test_sketches_tell_sets_apart():
+    rng = np.random.default_rng(4)
+    draw = lambda n: np.unique(rng.integers(0, 2**64, n, np.uint64))
+    apart = lambda x, y: np.bitwise_count(np.frombuffer(similar.sketch_of(x), np.uint64) ^ np.frombuffer(similar.sketch_of(y), np.uint64)).sum()
+    for n in (4, 9, 36, 900):
+        for _ in range(200):
+            one = draw(n)
+            # The most elements that may differ, as others on both sides or as more on one.
+            k = n // 9
+            swapped = np.unique(np.concatenate([one[k:], draw(k)])) if k else one
+            assert apart(one, swapped) <= similar.FAR_SKETCH
+            assert apart(one, np.unique(np.concatenate([one, draw(n // 4)]))) <= similar.FAR_SKETCH
+            assert apart(one, draw(n)) > similar.FAR_SKETCH
+
+
 def test_pipeline_drops_near_copies(spark):
     import corpus_pipeline
 

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import find_contamination
+from .dominance import DOMINANCE_SQL, copies_of, day_of, dominated, level_of
+from .fill_in_middle import FILL_IN_MIDDLE_SQL, fill_in_middle, restored
 from .language_id import fit_language_id, identify
 from .language_model import katz_scores
 from .matches import joined
+from .mixing import MIXING_SQL, mixed
 from .neighbours import nearest
 from .packing import CAPACITY, pack
 from .pii import find_personal_data
@@ -98,6 +101,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(find_secrets(_table(spark, sf_dir, "documents")), ["n_assign", "n_access", "n_hex"])
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixed(_table(spark, sf_dir, "documents"))
+    return mix.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = _table(spark, sf_dir, "sales").select("sale_id", "sold_at", "total")
+    found = dominated(sales, day_of(sales, "sold_at"), level_of("total"), copies_of("sale_id"))
+    return found.select("row.sale_id", "slot", "level", F.col("n_above").alias("n_sales"), F.col("w_above").alias("n_rows"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_neighbours": op2_neighbours,
@@ -109,6 +129,9 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_language_model": op9_language_model,
     "op10_secrets": op10_secrets,
+    "op11_mixing": op11_mixing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_dominance": op13_dominance,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_mixing": MIXING_SQL, "op12_fill_in_middle": FILL_IN_MIDDLE_SQL, "op13_dominance": DOMINANCE_SQL}

@@ -112,13 +112,37 @@ def crawl_admission(pages: DataFrame, quotas: DataFrame, order: list[str]) -> Da
     return rows.withColumn("admitted", free | (F.coalesce("used", F.lit(0)) + F.col("__n") <= F.col("pages_quota"))).drop("__n", "pages_quota", "used")
 
 
-def add_usage(counters: DataFrame, added: DataFrame, limits: DataFrame) -> DataFrame:
-    """Counters (project_id, used) after increments (project_id, n); one that would pass its limit isn't made."""
-    n = added.groupBy("project_id").agg(F.sum("n").alias("n"))
-    rows = counters.join(n, "project_id", "full").join(limits, "project_id", "left")
-    used, more = F.coalesce("used", F.lit(0)), F.coalesce("n", F.lit(0))
-    fits = F.col("most").isNull() | (used + more <= F.col("most"))
-    return rows.select("project_id", F.when(fits, used + more).otherwise(used).alias("used"), (~fits).alias("rejected"))
+def month_of(rows: DataFrame, at: str) -> Column:
+    """The UTC month of a time, as ``yyyy-MM``, in any session zone; times without a zone are in UTC."""
+    time = F.col(at) if dict(rows.dtypes)[at] == "timestamp_ntz" else F.convert_timezone(None, F.lit("UTC"), F.col(at))
+    return F.date_format(time, "yyyy-MM")
+
+
+def admitted_requests(requests: DataFrame, counters: DataFrame, order: list[str], at: str = "at") -> DataFrame:
+    """``period`` and ``admitted`` for each request, counted in order against its project's monthly counter.
+
+    Every request adds one; one that would pass the limit is refused and not counted, so those
+    admitted are the first ones that fit.  ``counters`` (project_id, period, used, most) holds what was
+    used before and the limits; a missing one starts from 0 without a limit.  Requests without
+    a project or a time aren't admitted.  A project with a third of all requests is dealt to many tasks.
+    """
+    from .ranks import ranked
+
+    rows = requests.withColumn("period", month_of(requests, at))
+    known = rows.filter("project_id IS NOT NULL AND period IS NOT NULL")
+    own = counters.select("project_id", "period", F.col("used").alias("__used"), F.col("most").alias("__most"))
+    placed = ranked(known, ["project_id", "period"], order, of_group=own)
+    fits = F.col("__most").isNull() | (F.coalesce("__used", F.lit(0)) + F.col("rank") + 1 <= F.col("__most"))
+    placed = placed.withColumn("admitted", fits).select(*rows.columns, "admitted")
+    return placed.unionByName(rows.filter("project_id IS NULL OR period IS NULL").withColumn("admitted", F.lit(False)))
+
+
+def add_usage(counters: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Counters (project_id, period, used, most) after ``verdicts`` of ``admitted_requests``, and how many were refused."""
+    n = verdicts.filter("project_id IS NOT NULL AND period IS NOT NULL").groupBy("project_id", "period").agg(F.count_if("admitted").alias("__in"), F.count_if(~F.col("admitted")).alias("rejected"))
+    rows = counters.join(n, ["project_id", "period"], "full")
+    zero = F.lit(0)
+    return rows.select("project_id", "period", (F.coalesce("used", zero) + F.coalesce("__in", zero)).alias("used"), "most", F.coalesce("rejected", zero).alias("rejected"))
 
 
 # Versions

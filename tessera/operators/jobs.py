@@ -23,25 +23,48 @@ def enqueue(existing: DataFrame, wanted: DataFrame, key: str = "source_id") -> D
 
 
 def to_dispatch(outbox: DataFrame, k: int = DISPATCH_BATCH) -> DataFrame:
+    """The next entries to deliver, oldest first; those of jobs that can't run any more are among them and only marked."""
     return outbox.filter(F.col("dispatched_at").isNull()).orderBy("created_at", "job_id").limit(k)
 
 
-def lost(outbox: DataFrame, jobs: DataFrame, now: Column, seconds: int = LOST_SECONDS) -> DataFrame:
-    """Deliveries sent a while ago whose job is still queued."""
-    old = outbox.filter(F.unix_seconds("dispatched_at") <= F.unix_seconds(now) - seconds)
-    return old.join(jobs.filter("state = 'queued'").select("job_id"), "job_id", "left_semi")
+def _before(at: str, now: Column, seconds: int) -> Column:
+    return F.unix_micros(at) <= F.unix_micros(now) - seconds * 1_000_000
 
 
-def stale(jobs: DataFrame, now: Column, seconds: int = STALE_SECONDS) -> DataFrame:
-    """Running jobs without a heartbeat, to be queued anew under a new execution id."""
-    old = jobs.filter("state = 'running'").filter(F.unix_seconds("heartbeat_at") <= F.unix_seconds(now) - seconds)
-    return old.withColumn("state", F.lit("queued")).withColumn("execution_id", F.sha2(F.concat_ws(":", "job_id", F.unix_seconds(now).cast("string")), 256))
+def lost(outbox: DataFrame, jobs: DataFrame, now: Column, seconds: int = LOST_SECONDS, k: int = DISPATCH_BATCH) -> DataFrame:
+    """Deliveries to look at: not touched for a while, of jobs still queued that nobody asked to cancel, the longest untouched first.
+
+    Whoever looks at them sets ``updated_at``, also where nothing is wrong, so the next look takes others.
+    """
+    old = outbox.filter(F.col("dispatched_at").isNotNull() & _before("updated_at", now, seconds))
+    waiting = jobs.filter("state = 'queued' AND NOT cancel_requested").select("job_id")
+    return old.join(waiting, "job_id", "left_semi").orderBy("updated_at", "job_id").limit(k)
+
+
+def execution(now: Column) -> Column:
+    """The id of an execution begun at ``now``: the same when a failed tick is repeated."""
+    return F.sha2(F.concat_ws(":", "job_id", F.unix_seconds(now).cast("string")), 256)
+
+
+def stale(jobs: DataFrame, now: Column, seconds: int = STALE_SECONDS, k: int = DISPATCH_BATCH) -> DataFrame:
+    """Running crawls and index builds without a heartbeat, to be queued anew under a new execution id.
+
+    Jobs that were asked to cancel are left to their worker.  The longest silent come first.
+    """
+    old = jobs.filter("state = 'running' AND NOT cancel_requested").filter(F.col("type").isin("crawl", "index") & _before("updated_at", now, seconds))
+    return old.orderBy("updated_at", "job_id").limit(k).withColumns({"state": F.lit("queued"), "execution_id": execution(now), "updated_at": now})
+
+
+def ended_entries(outbox: DataFrame, jobs: DataFrame, now: Column, days: int = RETENTION_DAYS, k: int | None = None) -> DataFrame:
+    """Delivered entries of jobs that ended long ago, the longest first."""
+    ended = jobs.filter(F.col("state").isin(*TERMINAL) & _before("finished_at", now, days * 86400)).select("job_id", "finished_at")
+    gone = outbox.filter(F.col("dispatched_at").isNotNull()).join(ended, "job_id").orderBy("finished_at", "job_id")
+    return (gone if k is None else gone.limit(k)).select("job_id")
 
 
 def purged(outbox: DataFrame, jobs: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
     """The outbox without deliveries of jobs that ended long ago."""
-    gone = jobs.filter(F.col("state").isin(*TERMINAL) & (F.unix_seconds("finished_at") <= F.unix_seconds(now) - days * 86400)).select("job_id")
-    return outbox.join(gone, "job_id", "left_anti")
+    return outbox.join(ended_entries(outbox, jobs, now, days), "job_id", "left_anti")
 
 
 def due_schedules(schedules: DataFrame, sources: DataFrame, now: Column) -> DataFrame:

@@ -220,15 +220,18 @@ def dispatch_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_time(J.to_dispatch(box).select("job_id", F.col("created_at").alias("dispatched_at")), "dispatched_at")
 
 
-@register(f"WITH {_JOBS} SELECT o.job_id FROM outbox o JOIN jobs j ON j.job_id = o.job_id WHERE state = 'running' AND epoch_us(dispatched_at) <= epoch_us(TIMESTAMP '1998-01-01') - 30000000")
+@register(f"WITH {_JOBS} SELECT o.job_id FROM outbox o JOIN jobs j ON j.job_id = o.job_id WHERE state = 'running' AND o.job_id % 6 <> 0 AND epoch_us(dispatched_at) <= epoch_us(TIMESTAMP '1998-01-01') - 30000000 ORDER BY dispatched_at, o.job_id LIMIT 25")
 def reconcile_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = jobs_table(spark, sf_dir).withColumn("state", F.when(F.col("state") == "running", "queued").otherwise(F.col("state")))
-    return J.lost(outbox_table(spark, sf_dir), jobs, F.lit("1998-01-01").cast("timestamp")).select("job_id")
+    """One job in six was asked to cancel."""
+    jobs = jobs_table(spark, sf_dir).withColumns({"state": F.when(F.col("state") == "running", "queued").otherwise(F.col("state")), "cancel_requested": F.col("job_id") % 6 == 0})
+    return J.lost(outbox_table(spark, sf_dir).withColumn("updated_at", F.col("dispatched_at")), jobs, F.lit("1998-01-01").cast("timestamp")).select("job_id")
 
 
-@register(f"WITH {_JOBS} SELECT job_id FROM jobs WHERE state = 'running' AND epoch_us(created_at) <= epoch_us(TIMESTAMP '1997-01-01') - 120000000")
+@register(f"WITH {_JOBS} SELECT job_id FROM jobs WHERE state = 'running' AND job_id % 6 <> 0 AND job_id % 5 <> 0 AND epoch_us(created_at) <= epoch_us(TIMESTAMP '1997-01-01') - 120000000 ORDER BY created_at, job_id LIMIT 25")
 def recover_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.stale(jobs_table(spark, sf_dir).withColumn("heartbeat_at", F.col("created_at")), F.lit("1997-01-01").cast("timestamp")).select("job_id")
+    """One job in six was asked to cancel, and one in five is of another kind."""
+    jobs = jobs_table(spark, sf_dir).withColumns({"updated_at": F.col("created_at"), "cancel_requested": F.col("job_id") % 6 == 0, "type": F.when(F.col("job_id") % 5 == 0, "cleanup").otherwise("crawl")})
+    return J.stale(jobs, F.lit("1997-01-01").cast("timestamp")).select("job_id")
 
 
 @register(f"WITH {_JOBS} SELECT job_id, n_lines FROM outbox WHERE job_id NOT IN (SELECT job_id FROM jobs WHERE state IN ('failed', 'completed') AND epoch_us(created_at) <= epoch_us(TIMESTAMP '1998-01-01') - 7 * 86400000000)")

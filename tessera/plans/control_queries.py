@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import control as C
 from ..operators import jobs as J
 from ..operators import lifecycle as L
+from ..operators import queue as Q
 from .common import EVENTS_SQL, Registry, plain_time, search_events, table
 
 register = Registry()
@@ -110,15 +111,39 @@ def crawl_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.crawl_admission(pages, quotas, ["o_orderkey"]).select("o_orderkey", "admitted")
 
 
-@register(
-    """WITH n AS (SELECT o_custkey AS project_id, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT c_custkey AS project_id, 5 AS used, coalesce(n, 0) AS n, CASE WHEN c_custkey % 4 <> 0 THEN 15 END AS most FROM customer LEFT JOIN n ON project_id = c_custkey)
-SELECT project_id, CAST(CASE WHEN most IS NULL OR used + n <= most THEN used + n ELSE used END AS BIGINT) AS used, NOT (most IS NULL OR used + n <= most) AS rejected FROM r"""
-)
+_USAGE = """r AS (SELECT click_id, client_id AS project_id, strftime(arrived_at, '%Y-%m') AS period, arrived_at FROM clicks),
+n AS (SELECT *, row_number() OVER (PARTITION BY project_id, period ORDER BY arrived_at, click_id) AS n FROM r),
+v AS (SELECT *, project_id IS NOT NULL AND period IS NOT NULL AND (project_id % 4 = 0 OR n + CASE WHEN project_id % 3 = 0 THEN 14 ELSE 0 END <= 15) AS admitted FROM n)"""
+
+
+def usage_counters(requests: DataFrame) -> DataFrame:
+    """Three in four projects may make 15 requests a month, and one in three made 14 before."""
+    k = F.col("project_id")
+    months = requests.filter("project_id IS NOT NULL AND period IS NOT NULL").select("project_id", "period").distinct()
+    return months.select("*", F.when(k % 3 == 0, 14).otherwise(0).cast("long").alias("used"), F.when(k % 4 != 0, 15).cast("long").alias("most"))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "clicks").select("click_id", F.col("client_id").alias("project_id"), "arrived_at")
+
+
+def _admitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    r = _requests(spark, sf_dir)
+    counters = usage_counters(r.withColumn("period", C.month_of(r, "arrived_at")))
+    return counters, C.admitted_requests(r, counters, ["arrived_at", "click_id"], at="arrived_at")
+
+
+@register(f"WITH {_USAGE} SELECT click_id, project_id, period, admitted FROM v")
+def usage_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each click as a request against its client's monthly limit."""
+    return _admitted(spark, sf_dir)[1].select("click_id", "project_id", "period", "admitted")
+
+
+@register(f"WITH {_USAGE} SELECT project_id, period, CAST(any_value(CASE WHEN project_id % 3 = 0 THEN 14 ELSE 0 END) + count(*) FILTER (WHERE admitted) AS BIGINT) AS used, count(*) FILTER (WHERE NOT admitted) AS rejected FROM v WHERE project_id IS NOT NULL AND period IS NOT NULL GROUP BY project_id, period")
 def usage_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"))
-    added = _orders(spark, sf_dir).select(F.col("o_custkey").alias("project_id"), F.lit(1).alias("n")).join(c, "project_id", "left_semi")
-    limits = c.select("project_id", F.when(F.col("project_id") % 4 != 0, 15).alias("most"))
-    return C.add_usage(c.withColumn("used", F.lit(5).cast("long")), added, limits)
+    """Counters after a month: single requests are refused, and those before them stay counted."""
+    counters, verdicts = _admitted(spark, sf_dir)
+    return C.add_usage(counters, verdicts).select("project_id", "period", "used", "rejected")
 
 
 _VERSIONS = "v AS (SELECT o_custkey % 40 AS index_id, o_orderkey AS sequence, CASE o_orderkey % 5 WHEN 0 THEN 'building' WHEN 1 THEN 'ready' WHEN 2 THEN 'retired' WHEN 3 THEN 'failed' ELSE 'active' END AS state FROM orders)"
@@ -308,3 +333,90 @@ def project_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 3).alias("project"), F.when(F.col("c_acctbal") < 0, _now()).alias("deletion_requested_at"))
     out = overview(spark.range(3).select(F.col("id").alias("project")), docs, search_events(spark, sf_dir), jobs, sources)
     return out.select("project", "documents", "searches", F.round("avg_latency", 6).alias("avg_latency"), F.round("zero_rate", 6).alias("zero_rate"), "active_jobs", "sources")
+
+
+_TICKS, _EVERY, _START = 3, 40, "1999-02-01 00:00:00"
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> Q.Queue:
+    """Orders as jobs in all states and customers as sources, schedules and retries."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    orders, customers = _orders(spark, sf_dir), table(spark, sf_dir, "customer")
+    state = F.when(k % 8 <= 2, "queued").when(k % 8 <= 4, "running").when(k % 8 == 5, "completed").when(k % 8 == 6, "failed").otherwise("cancelled")
+    ident, at = k.cast("string").alias("job_id"), F.col("o_orderdate")
+    begin = F.unix_seconds(F.lit("1999-01-01").cast("timestamp"))
+    return Q.Queue(
+        jobs=orders.select(ident, F.when(k % 25 == 0, "cleanup").when(k % 5 == 0, "index").otherwise("crawl").alias("type"), F.col("o_custkey").alias("source_id"), state.alias("state"), F.concat(F.lit("e"), k.cast("string")).alias("execution_id"), (k % 6 == 0).alias("cancel_requested"), at.alias("updated_at"), F.when(k % 8 >= 5, at).alias("finished_at")),
+        outbox=orders.filter(k % 11 != 0).select(ident, at.alias("created_at"), F.when((k % 8 != 0) | (k % 3 == 0), at).alias("dispatched_at"), at.alias("updated_at")),
+        schedules=customers.filter(c % 3 == 0).select(c.alias("source_id"), (c % 9 != 0).alias("enabled"), F.lit(21600).alias("interval_seconds"), F.timestamp_seconds(begin + c % 50).alias("next_run_at")),
+        sources=customers.select(c.alias("source_id"), (F.col("c_acctbal") > 0).alias("enabled"), F.when(c % 7 == 0, F.timestamp_seconds(begin)).alias("deletion_requested_at")),
+        retries=customers.filter(c % 4 == 1).select(c.alias("source_id"), F.timestamp_seconds(begin + c % 40).alias("retry_at")),
+        delivered=orders.filter(k % 4 == 1).select(F.concat(F.lit("e"), k.cast("string")).alias("execution_id")),
+        held=orders.filter(k % 13 == 0).select(ident),
+    )
+
+
+def _tick_sql(t: int) -> str:
+    """Common table expressions of tick ``t``; tables j, o, s, d with its number are those it leaves."""
+    p, now = t - 1, f"(TIMESTAMP '{_START}' + INTERVAL {_EVERY * (t - 1)} SECOND)"
+    text = f"CAST(CAST(epoch({now}) AS BIGINT) AS VARCHAR)"
+    run = lambda job: f"sha256({job} || ':' || {text})"
+    new = lambda n, wanted, jobs, box: f"""w{n} AS MATERIALIZED (SELECT source_id, sha256('crawl:' || source_id || ':' || {text}) AS job_id FROM {wanted} WHERE source_id NOT IN (SELECT source_id FROM {jobs} WHERE type = 'crawl' AND state IN ('queued', 'running'))),
+j{n} AS MATERIALIZED (SELECT * FROM {jobs} UNION ALL SELECT job_id, 'crawl', source_id, 'queued', {run('job_id')}, false, {now}, NULL FROM w{n}),
+o{n} AS MATERIALIZED (SELECT * FROM {box} UNION ALL SELECT job_id, {now}, NULL, {now} FROM w{n})"""
+    return f"""
+due{t} AS MATERIALIZED (SELECT DISTINCT source_id FROM (SELECT source_id FROM retries JOIN live USING (source_id) WHERE retry_at <= {now} ORDER BY retry_at, source_id LIMIT 25) x),
+{new(f'{t}a', f'due{t}', f'j{p}', f'o{p}')},
+run{t} AS MATERIALIZED (SELECT source_id FROM s{p} WHERE enabled AND next_run_at <= {now} ORDER BY next_run_at, source_id LIMIT 25),
+s{t} AS MATERIALIZED (SELECT source_id, enabled, CASE WHEN source_id IN (SELECT source_id FROM run{t}) THEN {now} + INTERVAL 21600 SECOND ELSE next_run_at END AS next_run_at FROM s{p}),
+{new(f'{t}b', f'(SELECT source_id FROM run{t} JOIN live USING (source_id)) y', f'j{t}a', f'o{t}a')},
+old{t} AS MATERIALIZED (SELECT job_id FROM (SELECT job_id FROM j{t}b JOIN o{t}b USING (job_id) WHERE state = 'running' AND NOT cancel AND type IN ('crawl', 'index') AND j{t}b.updated_at <= {now} - INTERVAL 120 SECOND ORDER BY j{t}b.updated_at, job_id LIMIT 25) z WHERE job_id NOT IN (SELECT job_id FROM held)),
+j{t} AS MATERIALIZED (SELECT job_id, type, source_id, CASE WHEN hit THEN 'queued' ELSE state END AS state, CASE WHEN hit THEN {run('job_id')} ELSE execution_id END AS execution_id, cancel, CASE WHEN hit THEN {now} ELSE updated_at END AS updated_at, CASE WHEN NOT hit THEN finished_at END AS finished_at FROM (SELECT *, job_id IN (SELECT job_id FROM old{t}) AS hit FROM j{t}b) h),
+o{t}c AS MATERIALIZED (SELECT job_id, created_at, CASE WHEN NOT hit THEN dispatched_at END AS dispatched_at, CASE WHEN hit THEN {now} ELSE updated_at END AS updated_at FROM (SELECT *, job_id IN (SELECT job_id FROM old{t}) AS hit FROM o{t}b) h),
+send{t} AS MATERIALIZED (SELECT job_id FROM o{t}c WHERE dispatched_at IS NULL ORDER BY created_at, job_id LIMIT 25),
+sent{t} AS MATERIALIZED (SELECT job_id, execution_id FROM j{t} WHERE job_id IN (SELECT job_id FROM send{t}) AND state = 'queued' AND NOT cancel),
+o{t}d AS MATERIALIZED (SELECT job_id, created_at, CASE WHEN hit THEN {now} ELSE dispatched_at END AS dispatched_at, CASE WHEN hit THEN {now} ELSE updated_at END AS updated_at FROM (SELECT *, job_id IN (SELECT job_id FROM send{t}) AS hit FROM o{t}c) h),
+look{t} AS MATERIALIZED (SELECT o.job_id FROM o{t}d o JOIN j{t} j ON j.job_id = o.job_id WHERE dispatched_at IS NOT NULL AND state = 'queued' AND NOT cancel AND o.updated_at <= {now} - INTERVAL 30 SECOND ORDER BY o.updated_at, o.job_id LIMIT 25),
+d{t}a AS MATERIALIZED (SELECT execution_id FROM d{p} UNION SELECT execution_id FROM sent{t}),
+again{t} AS MATERIALIZED (SELECT job_id, execution_id FROM j{t} WHERE job_id IN (SELECT job_id FROM look{t}) AND execution_id NOT IN (SELECT execution_id FROM d{t}a)),
+d{t} AS MATERIALIZED (SELECT execution_id FROM d{t}a UNION SELECT execution_id FROM again{t}),
+o{t}e AS MATERIALIZED (SELECT job_id, created_at, dispatched_at, CASE WHEN job_id IN (SELECT job_id FROM look{t}) THEN {now} ELSE updated_at END AS updated_at FROM o{t}d),
+gone{t} AS MATERIALIZED (SELECT job_id FROM o{t}e JOIN j{t} USING (job_id) WHERE dispatched_at IS NOT NULL AND state IN ('completed', 'failed', 'cancelled') AND finished_at <= {now} - INTERVAL 7 DAY ORDER BY finished_at, job_id LIMIT 250),
+o{t} AS MATERIALIZED (SELECT * FROM o{t}e WHERE job_id NOT IN (SELECT job_id FROM gone{t}))"""
+
+
+_QUEUE_SQL = (
+    """WITH j0 AS MATERIALIZED (SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderkey % 25 = 0 THEN 'cleanup' WHEN o_orderkey % 5 = 0 THEN 'index' ELSE 'crawl' END AS type, o_custkey AS source_id,
+  CASE WHEN o_orderkey % 8 <= 2 THEN 'queued' WHEN o_orderkey % 8 <= 4 THEN 'running' WHEN o_orderkey % 8 = 5 THEN 'completed' WHEN o_orderkey % 8 = 6 THEN 'failed' ELSE 'cancelled' END AS state, 'e' || o_orderkey AS execution_id, o_orderkey % 6 = 0 AS cancel,
+  CAST(o_orderdate AS TIMESTAMP) AS updated_at, CASE WHEN o_orderkey % 8 >= 5 THEN CAST(o_orderdate AS TIMESTAMP) END AS finished_at FROM orders),
+o0 AS MATERIALIZED (SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CAST(o_orderdate AS TIMESTAMP) AS created_at, CASE WHEN o_orderkey % 8 <> 0 OR o_orderkey % 3 = 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS dispatched_at, CAST(o_orderdate AS TIMESTAMP) AS updated_at FROM orders WHERE o_orderkey % 11 <> 0),
+s0 AS MATERIALIZED (SELECT c_custkey AS source_id, c_custkey % 9 <> 0 AS enabled, TIMESTAMP '1999-01-01' + to_seconds(c_custkey % 50) AS next_run_at FROM customer WHERE c_custkey % 3 = 0),
+live AS MATERIALIZED (SELECT c_custkey AS source_id FROM customer WHERE c_acctbal > 0 AND c_custkey % 7 <> 0),
+retries AS MATERIALIZED (SELECT c_custkey AS source_id, TIMESTAMP '1999-01-01' + to_seconds(c_custkey % 40) AS retry_at FROM customer WHERE c_custkey % 4 = 1),
+d0 AS MATERIALIZED (SELECT 'e' || o_orderkey AS execution_id FROM orders WHERE o_orderkey % 4 = 1),
+held AS MATERIALIZED (SELECT CAST(o_orderkey AS VARCHAR) AS job_id FROM orders WHERE o_orderkey % 13 = 0),"""
+    + ",".join(_tick_sql(t) for t in range(1, _TICKS + 1))
+    + "".join(f"\n{'UNION ALL ' if t > 1 else ''}SELECT 'dispatch' AS what, {t} AS tick, job_id, execution_id AS detail FROM sent{t} UNION ALL SELECT 'reconcile', {t}, job_id, execution_id FROM again{t}" for t in range(1, _TICKS + 1))
+    + f"""
+UNION ALL SELECT 'job', {_TICKS}, job_id, concat_ws(',', type, source_id, state, execution_id, epoch_us(updated_at), epoch_us(finished_at)) FROM j{_TICKS}
+UNION ALL SELECT 'outbox', {_TICKS}, job_id, concat_ws(',', epoch_us(created_at), epoch_us(dispatched_at), epoch_us(updated_at)) FROM o{_TICKS}
+UNION ALL SELECT 'schedule', {_TICKS}, CAST(source_id AS VARCHAR), CAST(epoch_us(next_run_at) AS VARCHAR) FROM s{_TICKS}"""
+)
+
+
+@register(_QUEUE_SQL)
+def queue_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three ticks of the queue send, and its tables afterwards."""
+    q, out = _queue(spark, sf_dir), None
+    for t in range(1, _TICKS + 1):
+        now = F.timestamp_seconds(F.unix_seconds(F.lit(_START).cast("timestamp")) + _EVERY * (t - 1))
+        q, sent = Q.tick(q, now)
+        q = Q.cut(q)
+        sent = sent.select(F.col("step").alias("what"), F.lit(t).alias("tick"), "job_id", F.col("execution_id").alias("detail"))
+        out = sent if out is None else out.unionByName(sent)
+    micros = lambda c: F.unix_micros(c).cast("string")
+    last = F.lit(_TICKS).alias("tick")
+    jobs = q.jobs.select(F.lit("job").alias("what"), last, "job_id", F.concat_ws(",", "type", F.col("source_id").cast("string"), "state", "execution_id", micros("updated_at"), micros("finished_at")).alias("detail"))
+    box = q.outbox.select(F.lit("outbox").alias("what"), last, "job_id", F.concat_ws(",", micros("created_at"), micros("dispatched_at"), micros("updated_at")).alias("detail"))
+    plans = q.schedules.select(F.lit("schedule").alias("what"), last, F.col("source_id").cast("string").alias("job_id"), micros("next_run_at").alias("detail"))
+    return out.unionByName(jobs).unionByName(box).unionByName(plans)

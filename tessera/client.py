@@ -71,7 +71,7 @@ class SearchClient:
         return found[:MAX_HIGHLIGHTS]
 
     def autocomplete(self, prefix: str, limit: int = 8) -> list[str]:
-        return [r.value for r in S.autocomplete(self.index.vocabulary, prefix, limit, self.index.settings).collect()]
+        return [r.value for r in S.autocomplete(self.index, prefix, limit).collect()]
 
     def explain(self, doc_id: object, request: SearchRequest) -> dict[str, float]:
         """Components of a document's score; paging has no part in it."""

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import checkpointed
+from ..operators.components import components
 from .text import words
 
 NEAR_BITS = 3
@@ -64,27 +67,56 @@ def near_pairs(prints: DataFrame, key: str = "page_id", bits: int = NEAR_BITS) -
 
 
 def exact_first(pages: DataFrame, hash_column: str, key: str = "page_id") -> DataFrame:
-    """``kept`` for the first page of each content."""
-    first = Window.partitionBy(hash_column)
-    return pages.withColumn("kept", F.col(key) == F.min(key).over(first))
+    """``kept`` for the first page of each content: counts combine before the shuffle, so equal pages are no large group."""
+    first = pages.groupBy(hash_column).agg(F.min(key).alias("__first"))
+    return pages.join(first, hash_column).withColumn("kept", F.col(key) == F.col("__first")).drop("__first").select(*pages.columns, "kept")
 
 
-def first_wins(pages: DataFrame, pairs: DataFrame, key: str = "page_id") -> DataFrame:
+def first_wins(pages: DataFrame, pairs: DataFrame, key: str = "page_id", rounds: int = 2, solo: int = 100_000) -> DataFrame:
     """(key, kept): in order of key a page is kept unless a kept one is near it.
 
-    In rounds: a page is dropped once a smaller page near it is kept, and kept once all
-    of those are dropped, so every round settles the smallest open page of each group
-    and all groups at once.  Nothing is collected in one task.
+    In rounds a page is dropped once a smaller page near it is kept, and kept once all of those are
+    dropped.  That settles most groups at once, but a chain of pages takes as many rounds as it is
+    long; so after ``rounds`` of them the groups still open (components of their pairs) that have at
+    most ``solo`` pairs are settled each by one task, and only larger ones go on in rounds.  Each
+    round is written, so plans don't grow.
     """
-    state = pages.select(F.col(key).alias("node"), F.lit(None).cast("boolean").alias("kept"))
-    smaller = pairs.select("a", F.col("b").alias("node")).persist()
+    smaller = checkpointed(pairs.select("a", F.col("b").alias("node")))
+    state = checkpointed(pages.select(F.col(key).alias("node"), F.lit(None).cast("boolean").alias("kept")))
+    at = 0
     while True:
         told = smaller.join(state.select(F.col("node").alias("a"), F.col("kept").alias("k")), "a").groupBy("node").agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("beaten"), F.bool_or(F.col("k").isNull()).alias("waits"))
-        new = state.join(told, "node", "left").select("node", F.coalesce("kept", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True)).alias("kept")).persist()
-        still = new.filter("kept IS NULL").limit(1).count()
-        state = new
-        if not still:
+        kept = F.coalesce("kept", F.when(F.coalesce("beaten", F.lit(False)), False).when(~F.coalesce("waits", F.lit(False)), True))
+        state = checkpointed(state.join(told, "node", "left").select("node", kept.alias("kept")))
+        if not state.filter("kept IS NULL").limit(1).count():
             return state.select(F.col("node").alias(key), "kept")
+        at += 1
+        if at == rounds:
+            state = _solved(state, smaller, solo)
+
+
+def _solved(state: DataFrame, smaller: DataFrame, solo: int) -> DataFrame:
+    """``state`` with the open components of at most ``solo`` pairs settled."""
+    open_ = state.filter("kept IS NULL").select("node")
+    # A kept neighbour has dropped its pages already, a dropped one doesn't count: pairs of open pages are left.
+    left = checkpointed(smaller.join(open_, "node", "left_semi").join(open_.withColumnRenamed("node", "a"), "a", "left_semi"))
+    roots = checkpointed(components(left.select("a", F.col("node").alias("b"))))
+    sized = left.join(roots, "node")
+    few = sized.groupBy("root").count().filter(F.col("count") <= solo).select("root")
+
+    def settle(table: pa.Table) -> pa.Table:
+        near: dict[object, list[object]] = {}
+        for a, b in zip(table.column("a").to_pylist(), table.column("node").to_pylist(), strict=True):
+            near.setdefault(b, []).append(a)
+            near.setdefault(a, [])
+        verdict: dict[object, bool] = {}
+        for node in sorted(near):
+            verdict[node] = not any(verdict[a] for a in near[node])
+        return pa.table({"node": pa.array(list(verdict), table.schema.field("node").type), "found": pa.array(list(verdict.values()))})
+
+    kind = state.schema["node"].dataType.simpleString()
+    found = sized.join(few, "root", "left_semi").groupBy("root").applyInArrow(settle, f"node {kind}, found boolean")
+    return checkpointed(state.join(found, "node", "left").select("node", F.coalesce("kept", "found").alias("kept")))
 
 
 __all__ = ["content_hash", "exact_first", "first_wins", "hamming", "near_pairs", "simhash64"]

@@ -214,17 +214,18 @@ def stem_arabic(word: str) -> str:
     return next((word[: -len(s)] for s in SUFFIXES if word.endswith(s) and len(word) >= len(s) + LEAST_STEM), word)
 
 
+def term_of(word: str, settings: IndexSettings = IndexSettings()) -> str:
+    """A word's term; the empty string for a stop word."""
+    arabic = re.search(f"[{ARABIC}]", word) is not None
+    if word in settings.stop_words.get("ar" if arabic else "en", ()):
+        return ""
+    return (stem_arabic(word) if settings.arabic.light_stem else word) if arabic else stem_english(word)
+
+
 def analyze_text(text: str, settings: IndexSettings = IndexSettings()) -> list[tuple[str, int, str]]:
     """(term, position, word) of a string's tokens."""
-    out = []
-    for at, word in enumerate(split_words(normalize_text(text, settings))):
-        arabic = re.search(f"[{ARABIC}]", word) is not None
-        if word in settings.stop_words.get("ar" if arabic else "en", ()):
-            continue
-        term = (stem_arabic(word) if settings.arabic.light_stem else word) if arabic else stem_english(word)
-        if term:
-            out.append((term, at, word))
-    return out
+    terms = [(term_of(word, settings), at, word) for at, word in enumerate(split_words(normalize_text(text, settings)))]
+    return [t for t in terms if t[0]]
 
 
 def analyze_offsets(text: str, settings: IndexSettings = IndexSettings()) -> list[tuple[int, int, int, str]]:

@@ -1,26 +1,37 @@
 """Inverted index tables from documents.
 
-``field_tokens`` is the only pass over texts; the other tables are aggregates of it.
-Postings group by (field, term, doc), which partial aggregation combines before the
-shuffle; a term's documents stay rows, so a frequent term is no single large value.
-A posting carries its document's field length, so scores need no join with lengths.
+``postings`` is the only pass over texts: a task splits its own texts into words, looks up each
+distinct word's term once and groups a text's positions by term, so nothing is shuffled; the
+other tables are aggregates of it.  A term's documents stay rows, so a frequent term is no single
+large value.  A posting carries its document's field length, so scores need no join with lengths.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.distance import deletion_variants
-from ..functions.text import analyzed, as_text, token_count
+from ..functions.text import analyzed, as_text, normalize_text, split_words, term_of, token_count
+from ..lineage import checkpointed
 from ..settings import IndexSettings
 
-
 #: The fields that are indexed unless others are named.
 DEFAULT_FIELDS = ("title", "headings", "content", "url", "tags")
+#: Lookups of more keys than this are left to their buckets.
+MOST_PUSHED = 200
+#: How many of a prefix's terms, in their order, completions are chosen from, for each one asked for and at least.
+PER_COMPLETION, LEAST_COMPLETIONS, MOST_COMPLETIONS = 4, 20, 20
+#: Postings are handed on in batches of so many.
+HELD = 1 << 17
+SPLIT_BYTES = 128 << 20
 
 
 @dataclass
@@ -35,17 +46,43 @@ class Index:
     n_docs: int
     settings: IndexSettings
     variants: DataFrame | None = None  # variant, term, df: the deletion dictionary
+    prefixes: DataFrame | None = None  # prefix, place, term, df: the first terms of each prefix
+    buckets: dict[str, int] = field(default_factory=dict)  # of stored tables that are kept in buckets
 
     @property
     def vocabulary(self) -> DataFrame:
         """term and df summed over fields."""
         return self.dictionary.groupBy("term").agg(F.sum("df").alias("df"))
 
+    def rows(self, table: str, names: Sequence[str] | None = None, key: str = "term") -> DataFrame:
+        """A table, or its rows of the given keys: of a stored one only their buckets are listed, and within
+        them only pages whose bounds admit one of the keys are read."""
+        df: DataFrame = getattr(self, table)
+        return df if names is None else df.filter(key_filter(key, names, self.buckets.get(table)))
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def key_filter(key: str, names: Sequence[str], buckets: int | None) -> Column:
+    """Rows of some keys, as comparisons that Parquet readers take: a list of more than ten values would be widened to its bounds."""
+    if not names:
+        return F.lit(False)
+
+    def any_of(some: Sequence[str]) -> Column:
+        half = len(some) // 2
+        return F.col(key) == some[0] if not half else any_of(some[:half]) | any_of(some[half:])
+
+    own = any_of(names) if len(names) <= MOST_PUSHED else F.col(key).isin(*names)
+    return own if buckets is None else F.col("bucket").isin(*(bucket_of(F.lit(n), buckets) for n in names)) & own
+
 
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` over all cores where its files give fewer tasks; larger inputs stay as they are."""
+    """``docs`` over all cores where the optimizer estimates less than a file split for each; larger inputs stay as they are."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < SPLIT_BYTES * cores else docs
 
 
 def field_tokens(docs: DataFrame, fields: list[str], settings: IndexSettings = IndexSettings()) -> DataFrame:
@@ -60,10 +97,64 @@ def field_texts(docs: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def postings(docs: DataFrame, fields: list[str], settings: IndexSettings = IndexSettings()) -> DataFrame:
-    """field, term, doc_id, tf, positions, len."""
+    """field, term, doc_id, tf, positions, len: each text's tokens by term, grouped where the text is."""
     texts = field_texts(docs, fields)
-    tokens = analyzed(texts.withColumn("len", token_count(F.col("text"), settings)), "text", settings)
-    return tokens.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("len").alias("len"))
+    doc_id = texts.schema["doc_id"]
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            rows, terms, sizes, at, lens = [], [], [], [], []
+            for i, text in enumerate(batch.column("text")):
+                own: dict[str, list[int]] = {}
+                n = 0
+                for pos, word in enumerate(split_words(normalize_text(text.as_py(), settings))):
+                    term = known.get(word)
+                    if term is None:
+                        if len(known) >= 1 << 20:
+                            known.clear()
+                        term = known[word] = term_of(word, settings)
+                    if term:
+                        n += 1
+                        if term in own:
+                            own[term].append(pos)
+                        else:
+                            own[term] = [pos]
+                rows += [i] * len(own)
+                terms += own
+                sizes += map(len, own.values())
+                for places in own.values():
+                    at += places
+                lens += [n] * len(own)
+                if len(rows) >= HELD:
+                    yield whole(batch, rows, terms, sizes, at, lens)
+                    rows, terms, sizes, at, lens = [], [], [], [], []
+            if rows:
+                yield whole(batch, rows, terms, sizes, at, lens)
+
+    def whole(batch: pa.RecordBatch, rows: list[int], terms: list[str], sizes: list[int], at: list[int], lens: list[int]) -> pa.RecordBatch:
+        take, counts = pa.array(rows, pa.int32()), np.array(sizes, np.int64)
+        places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(at, pa.int32()))
+        return pa.RecordBatch.from_arrays([batch.column("field").take(take), pa.array(terms, pa.string()), batch.column("doc_id").take(take), pa.array(counts), places, pa.array(lens, pa.int64())], ["field", "term", "doc_id", "tf", "positions", "len"])
+
+    kinds = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), doc_id, T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("len", T.LongType())])
+    return texts.select("doc_id", "field", "text").mapInArrow(grouped, kinds)
+
+
+def posted_lengths(posts: DataFrame) -> DataFrame:
+    """doc_id, field, len from postings."""
+    return posts.groupBy("doc_id", "field").agg(F.max("len").alias("len"))
+
+
+def prefix_table(vocabulary: DataFrame, most: int = PER_COMPLETION * MOST_COMPLETIONS) -> DataFrame:
+    """prefix, place, term, df: the first ``most`` terms of each prefix.
+
+    The limit is applied before the shuffle too, so a short prefix sends so many rows from each task.
+    """
+    each = vocabulary.select("term", "df", F.explode(F.sequence(F.lit(1), F.length("term"))).alias("n"))
+    each = each.select(F.substring(F.col("term"), F.lit(1), F.col("n")).alias("prefix"), "term", "df")
+    place = F.row_number().over(Window.partitionBy("prefix").orderBy("term"))
+    return each.withColumn("place", place).filter(F.col("place") <= most).select("prefix", "place", "term", "df")
 
 
 def field_lengths(docs: DataFrame, fields: list[str], settings: IndexSettings = IndexSettings()) -> DataFrame:
@@ -101,20 +192,19 @@ def build(docs: DataFrame, settings: IndexSettings = IndexSettings(), fields: li
     if check and duplicate_ids(docs).limit(1).count():
         raise ValueError("document ids must be unique and not null")
     wide = spread(docs)
-    posts = postings(wide, fields, settings)
-    lens = field_lengths(wide, fields, settings)
+    posts = checkpointed(postings(wide, fields, settings))
+    lens = posted_lengths(posts)
     n = docs.count()
     return Index(docs, posts, lens, dictionary(posts), averages(lens, n), n, settings)
 
 
 def persisted(index: Index) -> Index:
-    """The index with its tables kept by the session, for many searches of one version."""
-    index.postings = index.postings.persist()
-    index.lengths = index.lengths.persist()
+    """The index with its smaller tables kept by the session, for many searches of one version."""
     index.dictionary = dictionary(index.postings).persist()
     index.averages = averages(index.lengths, index.n_docs).persist()
     if index.settings.typo:
         index.variants = typo_dictionary(index.vocabulary, index.settings.max_distance).persist()
+    index.prefixes = prefix_table(index.vocabulary).persist()
     return index
 
 

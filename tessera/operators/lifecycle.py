@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import checkpointed
+from .frontier import merged
+
 #: Responses that are worth another attempt.
 TRANSIENT = (408, 429, 500, 502, 503, 504)
 
@@ -62,31 +67,47 @@ def unchanged_links(fetched: DataFrame, pages: DataFrame, most_depth: int) -> Da
 
 
 def crawl_document(pages: DataFrame) -> DataFrame:
-    """Documents from extracted pages: id, url, title, content, headings, language and metadata as JSON."""
+    """Documents from extracted pages: id, url, title, content, headings, language and metadata as JSON.
+
+    The metadata are the page's own with its description, Open Graph entries, structured data and
+    source, which win over own entries of these names.  ``metadata``, ``open_graph`` and
+    ``structured_data`` are JSON texts and become part of the document as JSON; absent ones are left out.
+    """
     url = F.coalesce("canonical_url", "normalized_url")
-    metadata = F.to_json(F.struct("description", F.col("open_graph").alias("openGraph"), F.col("structured_data").alias("structuredData"), F.col("source_id").alias("sourceId")))
+    text = lambda c: F.when(F.col(c).isNotNull(), F.expr(f"substring(to_json(named_struct('v', {c})), 6, length(to_json(named_struct('v', {c}))) - 6)"))
+    added = {"description": text("description"), "openGraph": F.col("open_graph"), "structuredData": F.col("structured_data"), "sourceId": text("source_id")}
+    entry = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), value))
+    own = F.lit(None).cast("string")
+    if "metadata" in pages.columns:
+        kept = F.map_filter(F.from_json("metadata", "map<string,string>"), lambda k, v: ~k.isin(*added) & v.isNotNull())
+        body = F.to_json(kept)
+        own = F.when(F.size(kept) > 0, F.expr("substring(__own, 2, length(__own) - 2)"))
+        pages = pages.withColumn("__own", body)
+    metadata = F.concat(F.lit("{"), F.concat_ws(",", own, *(entry(n, v) for n, v in added.items())), F.lit("}"))
     return pages.select(F.left(F.sha2(url, 256), F.lit(32)).alias("doc_id"), url.alias("url"), "title", "content", "headings", F.coalesce("language", F.lit("auto")).alias("language"), metadata.alias("metadata"))
 
 
 def crawl_frontier(starts: DataFrame, links: DataFrame, most_depth: int, most_pages: int | None = None) -> DataFrame:
     """(node, depth) of pages reached from ``starts`` over ``links`` (a, b), breadth first, each once.
 
-    One join per level; every level is persisted, so the plan doesn't grow into itself.
+    One join per level.  Every level is written and read again, so the plan doesn't grow into
+    itself and a crawl may be as deep as it likes.
     """
-    edge = starts.select("node", F.lit(0).alias("depth")).distinct().persist()
-    levels = seen = edge
-    count = edge.count()
+    edge = checkpointed(starts.select("node", F.lit(0).alias("depth")).distinct())
+    parts, count = [edge], edge.count()
     for depth in range(1, most_depth + 1):
-        new = edge.join(links, edge.node == links.a).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        edge = new.withColumn("depth", F.lit(depth)).persist()
+        new = edge.join(links, edge.node == links.a).select(F.col("b").alias("node")).distinct()
+        for seen in parts:
+            new = new.join(seen.select("node"), "node", "left_anti")
+        edge = checkpointed(new.withColumn("depth", F.lit(depth)))
         found = edge.count()
         if not found:
             break
-        levels = seen = seen.unionByName(edge)
+        parts = merged([*parts, edge])
         count += found
         if most_pages is not None and count >= most_pages:
-            return levels.orderBy("depth", "node").limit(most_pages)
-    return levels
+            return reduce(DataFrame.unionByName, parts).orderBy("depth", "node").limit(most_pages)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def next_sequence(versions: DataFrame, fences: DataFrame) -> DataFrame:

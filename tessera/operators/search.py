@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from ..functions.distance import deletion_variants, osa
 from ..functions.text import analyze_text
 from ..settings import IndexSettings
-from .index import Index
+from .index import LEAST_COMPLETIONS, MOST_COMPLETIONS, PER_COMPLETION, Index, prefix_table
 
 PHRASE_BONUS = 2.0
 MAX_PREFIXES, MAX_TYPOS = 32, 12
+#: A batch of queries with more terms is joined with whole tables.
+MAX_NAMES = 1000
 DIGITS = 9
 
 
@@ -67,6 +69,14 @@ def prefix_candidates(terms: DataFrame, vocabulary: DataFrame, most: int = MAX_P
     return near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).drop("n")
 
 
+def stored_typo_candidates(index: Index, terms: DataFrame) -> DataFrame:
+    """``typo_candidates`` of a few queries from the deletion dictionary, of which only the buckets of their variants are read."""
+    d = index.settings.max_distance
+    asked = terms.filter(F.length("term") >= index.settings.min_token_length).select(F.explode(deletion_variants(F.col("term"), d)).alias("term"))
+    names = names_of(asked) if index.buckets else None
+    return typo_candidates(terms, index.vocabulary, index.settings, variants=index.rows("variants", names, "variant"))
+
+
 def typo_candidates(terms: DataFrame, vocabulary: DataFrame, settings: IndexSettings = IndexSettings(), most: int = MAX_TYPOS, variants: DataFrame | None = None) -> DataFrame:
     """(query_id, term, expansion, distance): nearest terms that share a deletion variant.
 
@@ -129,17 +139,24 @@ def bm25(tf: F.Column, length: F.Column, average: F.Column, df: F.Column, n_docs
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.coalesce(length, F.lit(0)) / mean))
 
 
-def components(index: Index, terms: DataFrame, among: DataFrame | None = None) -> DataFrame:
+def names_of(terms: DataFrame, most: int = MAX_NAMES) -> list[str] | None:
+    """The distinct terms of a few queries, for lookups; None for more than ``most``, where tables are joined whole."""
+    found = [r.term for r in terms.select("term").distinct().limit(most + 1).collect()]
+    return sorted(found) if len(found) <= most else None
+
+
+def components(index: Index, terms: DataFrame, among: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, field, term, value): boosted BM25 of every matching posting.
 
     ``among`` restricts documents before scores are computed; document frequencies
-    and averages stay those of the whole index.
+    and averages stay those of the whole index.  ``names``, all terms of the queries, restricts
+    what is read of a stored index.
     """
     s = index.settings
-    posts = index.postings.select("field", "term", "doc_id", "tf", "len")
+    posts = index.rows("postings", names).select("field", "term", "doc_id", "tf", "len")
     if among is not None:
         posts = posts.join(among.select("doc_id"), "doc_id", "left_semi")
-    hits = posts.join(terms, "term").join(index.dictionary, ["field", "term"]).join(F.broadcast(index.averages), "field", "left")  # a row per field
+    hits = posts.join(terms, "term").join(index.rows("dictionary", names).select("field", "term", "df"), ["field", "term"]).join(F.broadcast(index.averages), "field", "left")  # a row per field
     boost = F.lit(1.0)
     for name, weight in s.boosts.items():
         boost = F.when(F.col("field") == name, float(weight)).otherwise(boost)
@@ -147,24 +164,28 @@ def components(index: Index, terms: DataFrame, among: DataFrame | None = None) -
     return hits.select("query_id", "doc_id", "field", "term", value.alias("value"))
 
 
-def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
+def phrase_hits(index: Index, phrases: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, phrase) where a phrase's terms stand one after another in one field.
 
     Positions minus ordinals agree for a whole phrase, so it is a group with as many
     ordinals as the phrase has terms.  Only positions of the phrases' terms are unfolded.
     """
-    posts = index.postings.select("field", "term", "doc_id", "positions").join(phrases, "term")
+    posts = index.rows("postings", names).select("field", "term", "doc_id", "positions").join(phrases, "term")
     lined = posts.withColumn("pos", F.explode("positions")).drop("positions").withColumn("start", F.col("pos") - F.col("ordinal"))
     whole = lined.groupBy("query_id", "phrase", "size", "field", "doc_id", "start").agg(F.countDistinct("ordinal").alias("n")).filter("n = size")
     return whole.select("query_id", "doc_id", "phrase").distinct()
 
 
 def score(index: Index, terms: DataFrame, phrases: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score): terms are alternatives, every phrase must match and adds a bonus."""
-    total = components(index, terms, among).groupBy("query_id", "doc_id").agg(F.sum("value").alias("score"))
+    """(query_id, doc_id, score): terms are alternatives, every phrase must match and adds a bonus.
+
+    Of a stored index only the buckets and pages of the queries' terms are read, as long as they are few.
+    """
+    names = names_of(terms) if index.buckets else None
+    total = components(index, terms, among, names).groupBy("query_id", "doc_id").agg(F.sum("value").alias("score"))
     if phrases is not None:
         need = phrases.groupBy("query_id").agg(F.countDistinct("phrase").alias("need"))
-        hits = phrase_hits(index, phrases)
+        hits = phrase_hits(index, phrases, names_of(phrases) if index.buckets else None)
         if among is not None:
             hits = hits.join(among.select("doc_id"), "doc_id", "left_semi")
         have = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("have"))
@@ -195,15 +216,20 @@ def facets(ranked: DataFrame, docs: DataFrame, fields: list[str]) -> DataFrame:
     return rows.groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
-def autocomplete(vocabulary: DataFrame, prefix: str, limit: int = 10, settings: IndexSettings = IndexSettings()) -> DataFrame:
-    """(value, score): terms that begin with the last analysed term, by document frequency."""
+def autocomplete(index: Index, prefix: str, limit: int = 10) -> DataFrame:
+    """(value, score): terms that begin with the last analysed term, by document frequency.
+
+    They are chosen from the prefix's first terms, as many as the limit asks for; these are rows of a
+    stored table, so the vocabulary isn't read.
+    """
     from ..functions.text import normalize_text
 
-    parsed = [t for t, _, _ in analyze_text(prefix, settings)]
-    stem = parsed[-1] if parsed else normalize_text(prefix, settings).strip()
-    if not stem:
-        return vocabulary.select(F.col("term").alias("value"), F.col("df").alias("score")).limit(0)
-    near = vocabulary.filter(F.startswith("term", F.lit(stem))).orderBy("term").limit(max(4 * limit, 20))
+    if not 1 <= limit <= MOST_COMPLETIONS:
+        raise ValueError(f"limit must be 1 to {MOST_COMPLETIONS}")
+    parsed = [t for t, _, _ in analyze_text(prefix, index.settings)]
+    stem = parsed[-1] if parsed else normalize_text(prefix, index.settings).strip()
+    names = [stem] if stem else []
+    near = (index.rows("prefixes", names, "prefix") if index.prefixes is not None else prefix_table(index.vocabulary.filter(F.startswith("term", F.lit(stem)))).filter(F.col("prefix").isin(*names))).filter(F.col("place") <= max(PER_COMPLETION * limit, LEAST_COMPLETIONS))
     return near.select(F.col("term").alias("value"), F.col("df").alias("score")).orderBy(F.desc("score"), "value").limit(limit)
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import english_steps
-from ..operators.index import Index, build, persisted
+from ..lineage import new_folder
+from ..operators.index import Index, build
 from ..settings import IndexSettings
+from ..sources import segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,19 +51,19 @@ def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("title"), F.col("text").alias("content"), F.col("lang").alias("language"), "source", F.array("source", "lang").alias("tags"), "n_chars")
 
 
-_ACTIVE: dict[tuple[str, str], Index] = {}
+#: Where each session has stored the index of a folder of tables.
+_ACTIVE: dict[tuple[str, str], str] = {}
 
 
 def active_index(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of ``documents``; its tables stay persisted while the session lives."""
+    """The index of ``documents`` as a stored version; a session's first query writes it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ACTIVE:
-        for old in list(_ACTIVE):
-            if old[0] != key[0]:
-                del _ACTIVE[old]
-        index = persisted(build(search_docs(spark, sf_dir), SETTINGS, FIELDS))
-        _ACTIVE[key] = index
-    return _ACTIVE[key]
+        root = new_folder(spark, "index")
+        segments.write_version(build(search_docs(spark, sf_dir), SETTINGS, FIELDS), root, "documents", "v1")
+        segments.activate(spark, root, "documents", "v1")
+        _ACTIVE[key] = root
+    return segments.read_version(spark, _ACTIVE[key], "documents", segments.active_version(spark, _ACTIVE[key], "documents"), check=False)
 
 
 def search_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,16 +304,18 @@ def unchanged_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """SELECT substr(sha256(u), 1, 32) AS doc_id, u AS url, title, language, '{"description":"d' || page_id || '","sourceId":"s1"}' AS metadata FROM
-(SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://h.example/c/' || page_id ELSE url END AS u, 'T' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN 'auto' ELSE 'en' END AS language FROM pages) x"""
+    """SELECT substr(sha256(u), 1, 32) AS doc_id, u AS url, title, language, '{' || concat_ws(',', '"author":"a ""' || page_id || '"', '"description":"d\\"' || page_id || '"', CASE WHEN page_id % 2 = 0 THEN '"openGraph":{"og:title":"T' || page_id || '"}' END,
+  CASE WHEN page_id % 3 = 0 THEN '"structuredData":[{"@type":"Page","n":' || page_id || '}]' END, '"sourceId":"s1"') || '}' AS metadata FROM
+(SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://h.example/c/' || page_id ELSE url END AS u, 'T' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN 'auto' ELSE 'en' END AS language FROM pages) x""".replace('a ""', "a ")
 )
 def crawl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose own metadata have a description, which the extracted one replaces, and nested JSON."""
     p = F.col("page_id")
     name = lambda s: F.concat(F.lit(s), p.cast("string"))
-    none = F.lit(None).cast("string")
     pages = table(spark, sf_dir, "pages").select(
         F.col("url").alias("normalized_url"), F.when(p % 2 == 0, name("https://h.example/c/")).alias("canonical_url"), name("T").alias("title"), F.col("html").alias("content"), F.array().cast("array<string>").alias("headings"),
-        F.when(p % 3 != 0, "en").alias("language"), name("d").alias("description"), none.alias("open_graph"), none.alias("structured_data"), F.lit("s1").alias("source_id"),
+        F.when(p % 3 != 0, "en").alias("language"), name('d"').alias("description"), F.concat(F.lit('{"description":"old","author":"a '), p.cast("string"), F.lit('"}')).alias("metadata"),
+        F.when(p % 2 == 0, F.concat(F.lit('{"og:title":"T'), p.cast("string"), F.lit('"}'))).alias("open_graph"), F.when(p % 3 == 0, F.concat(F.lit('[{"@type":"Page","n":'), p.cast("string"), F.lit("}]"))).alias("structured_data"), F.lit("s1").alias("source_id"),
     )
     return L.crawl_document(pages).select("doc_id", "url", "title", "language", "metadata")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import urls as U
 from ..functions.html import extracted
+from ..operators.frontier import crawl_order, start_times
 from ..operators.jobs import latest_upsert
 from ..operators.lifecycle import crawl_frontier, live_documents, retry_delay, upsert
 from ..sources import robots
@@ -121,6 +122,54 @@ def crawl_frontier_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl_frontier(spark.createDataFrame([(1,)], "node long"), links, 6)
 
 
+_DEPTH, _QUOTA = 5, 700
+#: Links of pages, from orders: three of each page, some of them to pages that don't exist or to itself.
+_LINKS = "links AS MATERIALIZED (SELECT o_orderkey AS a, (o_orderkey * (k + 3) + o_custkey) % 3000 AS b, k AS at_ FROM orders, range(3) t(k))"
+
+
+def _generation_sql(g: int) -> str:
+    seen = " ".join(f"AND b NOT IN (SELECT node FROM g{k})" for k in range(g))
+    return f"""m{g} AS MATERIALIZED (SELECT b AS node, min(ROW(place, at_, depth + 1)) AS x FROM g{g - 1} JOIN links ON a = node WHERE depth < {_DEPTH} {seen} GROUP BY b),
+g{g} AS MATERIALIZED (SELECT node, x[3] AS depth, 1 AS attempt, {g} AS generation, row_number() OVER (ORDER BY x[1], x[2], node) - 1 + (SELECT sum(n) FROM ({" UNION ALL ".join(f"SELECT count(*) AS n FROM g{k}" for k in range(g))}) c) AS place FROM m{g} QUALIFY place < {_QUOTA})"""
+
+
+_ORDER_SQL = f"""WITH {_LINKS},
+seeds AS (SELECT c_custkey AS node, 0 AS kind, c_acctbal AS at_, c_custkey % 3 AS depth, 2 AS attempt FROM customer WHERE c_custkey % 29 = 0
+  UNION ALL SELECT c_custkey * 3, 1, c_custkey, 0, 1 FROM customer WHERE c_custkey % 31 = 0 UNION ALL SELECT k, 2, k, 0, 1 FROM range(1, 4) t(k)),
+s0 AS (SELECT node, min(ROW(kind, at_, depth, attempt)) AS x FROM seeds GROUP BY node),
+g0 AS MATERIALIZED (SELECT node, x[3] AS depth, x[4] AS attempt, 0 AS generation, row_number() OVER (ORDER BY x[1], x[2], node) - 1 AS place FROM s0 QUALIFY place < {_QUOTA}),
+{", ".join(_generation_sql(g) for g in range(1, _DEPTH + 1))},
+crawl AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM g{g}" for g in range(_DEPTH + 1))})"""
+
+
+def _crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Due retries with their depths, sitemap entries and three starts, over links from orders."""
+    k = F.col("o_orderkey")
+    links = table(spark, sf_dir, "orders").select(k.alias("a"), F.posexplode(F.array(*((k * (i + 3) + F.col("o_custkey")) % 3000 for i in range(3)))).alias("at", "b"))
+    c = F.col("c_custkey")
+    own = table(spark, sf_dir, "customer")
+    seed = lambda df, node, kind, at, depth, attempt: df.select(node.cast("long").alias("node"), F.lit(kind).alias("kind"), at.cast("double").alias("at"), depth.cast("int").alias("depth"), F.lit(attempt).alias("attempt"))
+    seeds = seed(own.filter(c % 29 == 0), c, 0, F.col("c_acctbal"), c % 3, 2).unionByName(seed(own.filter(c % 31 == 0), c * 3, 1, c, F.lit(0), 1)).unionByName(seed(spark.range(1, 4), F.col("id"), 2, F.col("id"), F.lit(0), 1))
+    return crawl_order(seeds, links, _DEPTH, _QUOTA)
+
+
+@register(_ORDER_SQL + " SELECT node, CAST(depth AS INTEGER) AS depth, CAST(attempt AS INTEGER) AS attempt, CAST(generation AS INTEGER) AS generation, CAST(place AS BIGINT) AS place FROM crawl")
+def crawl_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _crawl(spark, sf_dir)
+
+
+@register(
+    _ORDER_SQL
+    + """, p AS (SELECT node, place, node % 7 AS host, place * 10 AS ready, CASE node % 7 WHEN 0 THEN 100 WHEN 1 THEN 40 WHEN 2 THEN 1000 END AS delay, row_number() OVER (PARTITION BY node % 7 ORDER BY place) - 1 AS turn FROM crawl)
+SELECT node, host, CAST(turn AS BIGINT) AS turn, CAST(CASE WHEN delay IS NULL THEN ready ELSE max(ready - turn * delay) OVER (PARTITION BY host ORDER BY turn ROWS UNBOUNDED PRECEDING) + turn * delay END AS BIGINT) AS starts FROM p"""
+)
+def crawl_start_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the pages of that crawl start, ten milliseconds after another and no sooner than their hosts' delays allow."""
+    pages = _crawl(spark, sf_dir).select("node", (F.col("node") % 7).alias("host"), "place", (F.col("place") * 10).alias("ready"))
+    delays = spark.createDataFrame([(0, 100), (1, 40), (2, 1000)], "host long, delay long")
+    return start_times(pages, delays, ["place"]).select("node", "host", "turn", "starts")
+
+
 @register("SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'unchanged' WHEN page_id % 7 = 0 THEN 'failed' WHEN page_id % 5 = 0 THEN 'skipped' ELSE 'indexed' END AS status FROM pages")
 def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.lifecycle import page_status as classify

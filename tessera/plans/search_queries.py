@@ -196,7 +196,7 @@ FROM (SELECT *, damerau_levenshtein(term, expansion) AS distance FROM q JOIN voc
 @register(_with(INDEX_SQL, _VOCAB, _terms_sql(_TYPOS), _TYPO_CTE) + "SELECT query_id, term, expansion, CAST(distance AS INTEGER) AS distance FROM typos WHERE n <= 12")
 def typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = active_index(spark, sf_dir)
-    return S.typo_candidates(_terms(spark, _TYPOS), index.vocabulary, SETTINGS, variants=index.variants).withColumn("distance", F.col("distance").cast("int"))
+    return S.stored_typo_candidates(index, _terms(spark, _TYPOS)).withColumn("distance", F.col("distance").cast("int"))
 
 
 @register(
@@ -273,7 +273,7 @@ register("SELECT p_partkey FROM part", "filter_neq_missing")(_filtered({"absent.
 
 @register(_with(INDEX_SQL, _VOCAB) + "SELECT value, score FROM (SELECT expansion AS value, CAST(df AS BIGINT) AS score FROM vocab WHERE starts_with(expansion, 'reti') ORDER BY expansion LIMIT 40) x ORDER BY score DESC, value LIMIT 10")
 def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.autocomplete(active_index(spark, sf_dir).vocabulary, "the reti", 10, SETTINGS)
+    return S.autocomplete(active_index(spark, sf_dir), "the reti", 10)
 
 
 @register(_with(INDEX_SQL, _terms_sql({"q": PLAIN})) + "SELECT query_id, concat('bm25:', field, ':', term) AS component, round(value, 6) AS value FROM parts JOIN q USING (term) WHERE doc_id = (SELECT min(doc_id) FROM parts JOIN q USING (term))")

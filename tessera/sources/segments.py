@@ -1,27 +1,43 @@
 """Immutable index versions as folders of Parquet tables, with a manifest written last.
 
 A version is published by its manifest: a folder without one isn't a version, so a
-failed build leaves nothing that a reader would find.  Versions are never overwritten.
-The pointer to the active version is a folder of small numbered rows; the latest row
-wins, so activation and rollback are one append.  Versions are numbered in order, and a
-fence, raised when documents are erased, keeps older ones from becoming active.  Paths go through Spark, so any
-store that it can reach will do.
+failed build leaves nothing that a reader would find.  Versions are never overwritten: a writer
+first claims the version's name and its number, and only one can.  The pointer to the active
+version is the highest numbered file of a folder; it is swapped by creating the next one, which
+only one writer can, so activation and rollback compare what they expect with what is there.
+A fence, raised when documents are erased, keeps older versions from becoming active.  Paths go
+through Spark, so any store that it can reach will do.
+
+Postings, the deletion dictionary and the prefix table lie in buckets of their keys, sorted by
+key: a lookup lists only its keys' buckets, whose size doesn't grow with the vocabulary, and
+reads only pages that may hold them.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import Index, averages, checksum
+from ..lineage import checkpointed
+from ..operators.index import Index, averages, bucket_of, checksum, dictionary, posted_lengths, prefix_table, typo_dictionary
 from ..settings import Arabic, IndexSettings
+from . import claims
 
 _NAME = re.compile(r"[A-Za-z0-9_-]+")
-TABLES = ("docs", "postings", "lengths", "dictionary")
-MANIFEST = "index_id string, version string, sequence long, n_docs long, settings string, checksums string"
+TABLES = ("docs", "postings", "lengths", "dictionary", "averages", "variants", "prefixes")
+MANIFEST = "index_id string, version string, sequence long, n_docs long, settings string, checksums string, buckets string"
+#: Keys of tables that are kept in buckets, and rows of a bucket.
+KEYS = {"postings": "term", "variants": "variant", "prefixes": "prefix"}
+BUCKET_ROWS = 1 << 18
+#: Bytes of a row group and of a page: small ones can be passed over.
+GROUP_BYTES, PAGE_BYTES = 8 << 20, 64 << 10
 
 
 def _place(root: str, index_id: str, version: str) -> str:
@@ -31,28 +47,77 @@ def _place(root: str, index_id: str, version: str) -> str:
     return f"{root}/{index_id}/{version}"
 
 
+def _sorted_write(df: DataFrame, place: str, by: list[str]) -> None:
+    """Writes a table in ranges of its keys, each sorted.
+
+    Ranges are of a key and, where one is frequent, of its documents, so no task has all postings
+    of a stop word.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    _written(df.repartitionByRange(tasks, *by).sortWithinPartitions(*by), place, "bucket" in by)
+
+
+def _written(df: DataFrame, place: str, bucketed: bool) -> None:
+    out = df.write.mode("errorifexists").option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
+    (out.partitionBy("bucket") if bucketed else out).parquet(place)
+
+
+def _buckets(rows: int) -> int:
+    return max(1, -(-rows // BUCKET_ROWS))
+
+
 def write_version(index: Index, root: str, index_id: str, version: str) -> str:
-    """Writes all tables, then the manifest; postings are sorted by term, for skipping.
+    """Claims the version's name and number, writes all tables, then the manifest.
 
-    Ranges are of terms and, where a term is frequent, of its documents, so no task has
-    all postings of a stop word.
+    The smaller tables are independent jobs over the written postings and run side by side.
     """
-    place = _place(root, index_id, version)
-    known = _rows(index.docs.sparkSession, f"{root}/{index_id}/*/manifest", MANIFEST)
-    sequence = 1 + ((known.agg(F.max("sequence")).first()[0] or 0) if known is not None else 0)
-    for name in TABLES:
-        df: DataFrame = getattr(index, name)
-        if "term" in df.columns:
-            by = [c for c in ("term", "doc_id") if c in df.columns]
-            df = df.repartitionByRange(*by).sortWithinPartitions(*by)
-        df.write.mode("errorifexists").parquet(f"{place}/{name}")
-    spark = index.docs.sparkSession
+    place, spark = _place(root, index_id, version), index.docs.sparkSession
+    if not claims.put(spark, f"{place}/claim", uuid.uuid4().hex):
+        raise ValueError(f"the version {version} exists or is being written")
+    sequence = claims.next_number(spark, f"{root}/{index_id}/sequence", version)
+    most = index.settings.max_distance
+    buckets = {"postings": _buckets(index.postings.count())}
+    _sorted_write(index.postings.withColumn("bucket", bucket_of(F.col("term"), buckets["postings"])), f"{place}/postings", ["bucket", "term", "doc_id"])
+    stored = spark.read.parquet(f"{place}/postings")
+    words = checkpointed(dictionary(stored))
+    vocabulary = checkpointed(words.groupBy("term").agg(F.sum("df").alias("df")))
+    # A term of n letters has at most this many variants, a word's prefixes are its letters.
+    n = F.length("term").cast("long")
+    variants = F.lit(1) + sum((_choose(n, k) for k in range(1, most + 1)), F.lit(0))
+    buckets["variants"], buckets["prefixes"] = (_buckets(int(x or 0)) for x in vocabulary.agg(F.sum(variants), F.sum(n)).first())
+
+    def lengths_and_averages() -> None:
+        posted_lengths(stored).write.mode("errorifexists").parquet(f"{place}/lengths")
+        averages(spark.read.parquet(f"{place}/lengths"), index.n_docs).coalesce(1).write.mode("errorifexists").parquet(f"{place}/averages")
+
+    def by_bucket(df: DataFrame, name: str, by: list[str]) -> None:
+        df = df.withColumn("bucket", bucket_of(F.col(KEYS[name]), buckets[name]))
+        _written(df.repartition("bucket").sortWithinPartitions("bucket", *by), f"{place}/{name}", True)
+
+    jobs = [
+        lambda: by_bucket(typo_dictionary(vocabulary, most), "variants", ["variant", "term"]),
+        lambda: by_bucket(prefix_table(vocabulary), "prefixes", ["prefix", "place"]),
+        lambda: _sorted_write(words, f"{place}/dictionary", ["term", "field"]),
+        lengths_and_averages,
+        lambda: index.docs.write.mode("errorifexists").parquet(f"{place}/docs"),
+    ]
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
+            done.result()
     sums = {name: checksum(spark.read.parquet(f"{place}/{name}")) for name in ("postings", "lengths", "dictionary")}
-    row = (index_id, version, sequence, index.n_docs, index.settings.json(), json.dumps(sums, sort_keys=True))
+    row = (index_id, version, sequence, index.n_docs, index.settings.json(), json.dumps(sums, sort_keys=True), json.dumps(buckets))
     spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{place}/manifest")
     return place
 
 
+def _choose(n: Column, k: int) -> Column:
+    """n over k."""
+    out = F.lit(1)
+    for i in range(k):
+        out = out * (n - i)
+    return F.greatest(F.floor(out / math.factorial(k)), F.lit(0))
+
+
 def manifests(spark: SparkSession, root: str, index_id: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{index_id}/*/manifest")
 
@@ -71,70 +136,71 @@ def read_version(spark: SparkSession, root: str, index_id: str, version: str, ch
         for name, expected in json.loads(m.checksums).items():
             if checksum(tables[name]) != expected:
                 raise ValueError(f"the checksum of {name} differs from the manifest")
-    return Index(tables["docs"], tables["postings"], tables["lengths"], tables["dictionary"], averages(tables["lengths"], m.n_docs), m.n_docs, settings)
+    return Index(n_docs=m.n_docs, settings=settings, buckets=json.loads(m.buckets), **tables)
 
 
-def activate(spark: SparkSession, root: str, index_id: str, version: str) -> None:
-    """Makes a published version the active one; also for going back to an older one, unless a fence forbids it."""
-    place = _place(root, index_id, version)
-    own = spark.read.parquet(f"{place}/manifest").first()
-    if own.sequence < minimum_sequence(spark, root, index_id):
-        raise ValueError("the version predates an erasure")
-    last = _pointers(spark, root, index_id)
-    number = 1 + (last.agg(F.max("number")).first()[0] if last is not None else 0)
-    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").parquet(f"{root}/{index_id}/active")
+class Conflict(ValueError):
+    """Another writer was faster."""
+
+
+def activate(spark: SparkSession, root: str, index_id: str, version: str, expected: str | None = None) -> None:
+    """Makes a published version the active one; also for going back to an older one, unless a fence forbids it.
+
+    With ``expected`` only if that is the active version still; a ``Conflict`` changes nothing.
+    """
+    own = spark.read.parquet(f"{_place(root, index_id, version)}/manifest").first()
+    while True:
+        last = max([0, *claims.numbers(spark, f"{root}/{index_id}/active")])
+        if expected is not None and active_version(spark, root, index_id) != expected:
+            raise Conflict(f"{expected} isn't the active version")
+        if own.sequence < minimum_sequence(spark, root, index_id):
+            raise ValueError("the version predates an erasure")
+        if claims.put(spark, f"{root}/{index_id}/active/{last + 1}", version):
+            return
 
 
 def raise_fence(spark: SparkSession, root: str, index_id: str) -> int:
-    """Forbids all versions there are; returns the least number that may become active."""
-    known = _rows(spark, f"{root}/{index_id}/*/manifest", MANIFEST)
-    least = 1 + ((known.agg(F.max("sequence")).first()[0] or 0) if known is not None else 0)
-    spark.createDataFrame([(least,)], "minimum long").coalesce(1).write.mode("append").parquet(f"{root}/{index_id}/fence")
+    """Forbids all versions there are, also those still being written; returns the least number that may become active."""
+    least = max([0, *claims.numbers(spark, f"{root}/{index_id}/sequence")]) + 1
+    claims.put(spark, f"{root}/{index_id}/fence/{least}", "")
     return least
 
 
 def minimum_sequence(spark: SparkSession, root: str, index_id: str) -> int:
-    rows = _rows(spark, f"{root}/{index_id}/fence", "minimum long")
-    return 0 if rows is None else rows.agg(F.max("minimum")).first()[0] or 0
+    return max([0, *claims.numbers(spark, f"{root}/{index_id}/fence")])
 
 
 def copied(spark: SparkSession, root: str, index_id: str, version: str, to: str) -> str:
     """A version's tables and manifest copied to another root, for a backup or from one, and checked there."""
     source, place = _place(root, index_id, version), _place(to, index_id, version)
     for name in (*TABLES, "manifest"):
-        spark.read.parquet(f"{source}/{name}").write.mode("errorifexists").parquet(f"{place}/{name}")
+        df = spark.read.parquet(f"{source}/{name}")
+        out = df.write.mode("errorifexists")
+        (out.partitionBy("bucket") if "bucket" in df.columns else out).parquet(f"{place}/{name}")
     read_version(spark, to, index_id, version)
     return place
 
 
-def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return None
-
-
-def _pointers(spark: SparkSession, root: str, index_id: str) -> DataFrame | None:
-    return _rows(spark, f"{root}/{index_id}/active", "number long, version string")
-
-
 def active_version(spark: SparkSession, root: str, index_id: str) -> str | None:
-    rows = _pointers(spark, root, index_id)
-    return None if rows is None else rows.agg(F.max_by("version", "number")).first()[0]
+    last = claims.numbers(spark, f"{root}/{index_id}/active")
+    return claims.read(spark, f"{root}/{index_id}/active/{last[-1]}") if last else None
 
 
 class VersionCache:
-    """Index versions read before, at most ``size`` of them; the first read goes first."""
+    """Index versions read and checked before, at most ``size`` of them; the one not used for longest goes first.
+
+    A version is known by what its manifest says of its tables, so one that was replaced by other
+    means is read again.
+    """
 
     def __init__(self, size: int = 32):
         self.size, self.held = size, {}
 
     def get(self, spark: SparkSession, root: str, index_id: str, version: str) -> Index:
-        key = (root, index_id, version)
-        if key not in self.held:
-            if len(self.held) >= self.size:
-                del self.held[next(iter(self.held))]
-            self.held[key] = read_version(spark, root, index_id, version)
-        return self.held[key]
+        m = spark.read.parquet(f"{_place(root, index_id, version)}/manifest").first()
+        key = (root, index_id, version, m.sequence, m.checksums)
+        index = self.held.pop(key, None) or read_version(spark, root, index_id, version)
+        self.held[key] = index
+        while len(self.held) > self.size:
+            del self.held[next(iter(self.held))]
+        return index

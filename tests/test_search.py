@@ -139,8 +139,8 @@ def test_parse():
 
 
 def test_autocomplete(spark, index):
-    assert [r.value for r in S.autocomplete(index.vocabulary, "fresh orch").collect()] == ["orchard"]
-    assert S.autocomplete(index.vocabulary, "  ").count() == 0
+    assert [r.value for r in S.autocomplete(index, "fresh orch").collect()] == ["orchard"]
+    assert S.autocomplete(index, "  ").count() == 0
 
 
 def test_typo_dictionary(spark):

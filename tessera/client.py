@@ -45,7 +45,7 @@ class SearchClient:
             ranked = kept.select("doc_id", F.lit(0.0).alias("score"))
         else:
             terms, phrases = S.parsed_queries(self.spark, {"q": request.query}, s)
-            grown = S.expand(terms, self.index.vocabulary, s, self.synonyms, typo=request.typo, variants=self.index.variants).persist()
+            grown = S.expand_in(self.index, terms, self.synonyms, request.typo).persist()
             names = sorted({r.term for r in grown.collect()} | {t for p in parsed.phrases for t in p})
             ranked = S.score(self.index, grown, phrases if parsed.phrases else None, kept if request.filters else None).select("doc_id", "score")
         ranked = ranked.persist()
@@ -76,7 +76,7 @@ class SearchClient:
     def explain(self, doc_id: object, request: SearchRequest) -> dict[str, float]:
         """Components of a document's score; paging has no part in it."""
         terms, phrases = S.parsed_queries(self.spark, {"q": request.query}, self.index.settings)
-        grown = S.expand(terms, self.index.vocabulary, self.index.settings, self.synonyms, typo=request.typo, variants=self.index.variants)
+        grown = S.expand_in(self.index, terms, self.synonyms, request.typo)
         has = bool(S.parse(request.query, self.index.settings).phrases)
         return {r.component: r.value for r in S.explain(self.index, grown, doc_id, phrases if has else None).collect()}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import pyarrow as pa
@@ -21,6 +22,22 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def hmac_sha256(message: Column, key: bytes) -> Column:
+    """The keyed digest of a message (text or binary) in lower-case hex, as an expression of two plain digests."""
+    block = 64
+    key = hashlib.sha256(key).digest() if len(key) > block else key
+    inner, outer = (bytes(k ^ pad for k in key.ljust(block, b"\0")) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))), 256)
+
+
+def hmac_by_version(message: Column, version: Column, keys: dict[int, bytes]) -> Column:
+    """The digest under the key of each row's version; null for a version that has no key any more."""
+    out = F.lit(None).cast("string")
+    for number, key in keys.items():
+        out = F.when(version == number, hmac_sha256(message, key)).otherwise(out)
+    return out
+
+
 def simhash64(pages: DataFrame, text: str, key: str = "page_id") -> DataFrame:
     """(key, simhash): bit i is set if at least half of the words' digests have it; -1 for no words.
 

@@ -13,12 +13,14 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hmac_by_version
 from .lifecycle import upsert
 
 DELIVERY_BATCH, INTERRUPTED_SECONDS = 20, 15 * 60
 #: States from which a version may become active.
 ACTIVATABLE = ("ready", "retired", "active")
-KEY = r"^[a-z]+_(search|indexing|admin)_([A-Za-z0-9_-]{12})_([A-Za-z0-9_-]+)$"
+#: What follows a key's product name: its kind, prefix and secret.
+KEY = r"_(search|indexing|admin)_([A-Za-z0-9_-]{12})_([A-Za-z0-9_-]+)$"
 
 
 def _seconds(at: Column | str) -> Column:
@@ -71,22 +73,30 @@ def recover_interrupted(rows: DataFrame, now: Column, seconds: int = INTERRUPTED
 # Keys, sessions, quotas
 
 
-def key_verdicts(requests: DataFrame, keys: DataFrame, now: Column, allowed: tuple[str, ...]) -> DataFrame:
+def key_verdicts(requests: DataFrame, keys: DataFrame, now: Column, allowed: tuple[str, ...], peppers: dict[int, bytes], projects: DataFrame | None = None, product: str = "[a-z]+") -> DataFrame:
     """``verdict`` of each request (key, ip) against the keys: ok, forbidden or unauthenticated.
 
-    ``keys`` has prefix, kind, digest, revoked_at, expires_at and ips, those of live projects.
+    ``keys`` has prefix, kind, digest, version, revoked_at, expires_at, ips and project_id.  Digests are
+    keyed: ``peppers`` has the key of each version, so keys can be rotated while older digests
+    stay valid; digests are computed only for requests whose prefix is known.  With ``projects``
+    (project_id, deletion_requested_at, deleted_at) keys of others than live projects are unknown.
+    ``product`` is the pattern of what keys begin with.
     """
-    kind, prefix, secret = (F.regexp_extract("key", KEY, i) for i in (1, 2, 3))
-    asked = requests.withColumns({"asked_kind": kind, "prefix": prefix, "asked_digest": F.sha2(secret, 256)})
-    known = keys.filter("revoked_at IS NULL").select("prefix", "kind", "digest", "expires_at", "ips")
-    both = asked.join(known, "prefix", "left")
+    pattern = f"^{product}{KEY}"
+    kind, prefix, secret = (F.regexp_extract("key", pattern, i) for i in (1, 2, 3))
+    asked = requests.withColumns({"asked_kind": kind, "prefix": prefix, "asked_secret": secret})
+    known = keys.filter("revoked_at IS NULL")
+    if projects is not None:
+        known = known.join(projects.filter("deletion_requested_at IS NULL AND deleted_at IS NULL").select("project_id"), "project_id", "left_semi")
+    both = asked.join(known.select("prefix", "kind", "digest", "version", "expires_at", "ips"), "prefix", "left")
+    same = F.coalesce(F.col("digest") == hmac_by_version(F.col("asked_secret"), F.col("version"), peppers), F.lit(False))
     verdict = (
         F.when(F.col("asked_kind") == "", "unauthenticated")
         .when(~F.col("asked_kind").isin(*allowed), "forbidden")
         .when(F.col("kind").isNull() | (F.col("kind") != F.col("asked_kind")), "unauthenticated")
         .when(F.col("expires_at") <= now, "unauthenticated")
         .when((F.size("ips") > 0) & ~F.coalesce(F.array_contains("ips", F.col("ip")), F.lit(False)), "forbidden")
-        .when(F.col("digest") != F.col("asked_digest"), "unauthenticated")
+        .when(~same, "unauthenticated")
         .otherwise("ok")
     )
     return both.select(*requests.columns, verdict.alias("verdict"))

@@ -189,12 +189,12 @@ def build(docs: DataFrame, settings: IndexSettings = IndexSettings(), fields: li
     fields = fields or [f for f in DEFAULT_FIELDS if f in docs.columns]
     if not fields:
         raise ValueError("no field to index")
-    if check and duplicate_ids(docs).limit(1).count():
+    ids = docs.groupBy("doc_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.expr("count > 1 OR doc_id IS NULL"))).first()
+    if check and ids[1]:
         raise ValueError("document ids must be unique and not null")
     wide = spread(docs)
     posts = checkpointed(postings(wide, fields, settings))
-    lens = posted_lengths(posts)
-    n = docs.count()
+    lens, n = posted_lengths(posts), ids[0]
     return Index(docs, posts, lens, dictionary(posts), averages(lens, n), n, settings)
 
 

@@ -129,6 +129,22 @@ def expand(terms: DataFrame, vocabulary: DataFrame, settings: IndexSettings = In
     return out.distinct()
 
 
+def expand_in(index: Index, terms: DataFrame, synonyms: DataFrame | None = None, typo: bool = True) -> DataFrame:
+    """``expand`` of a few queries by an index's tables of prefixes and deletion variants, so its vocabulary isn't read."""
+    s = index.settings
+    if index.prefixes is None or index.variants is None:
+        return expand(terms, index.vocabulary, s, synonyms, typo, index.variants)
+    out = terms.select("query_id", "term")
+    if synonyms is not None:
+        out = out.unionByName(terms.join(synonyms, "term").select("query_id", F.col("expansion").alias("term")))
+    if s.prefix:
+        first = index.rows("prefixes", names_of(terms), "prefix").filter(F.col("place") <= MAX_PREFIXES).select("prefix", F.col("term").alias("expansion"))
+        out = out.unionByName(terms.join(first, F.col("prefix") == terms.term).select("query_id", F.col("expansion").alias("term")))
+    if s.typo and typo:
+        out = out.unionByName(stored_typo_candidates(index, terms).select("query_id", F.col("expansion").alias("term")))
+    return out.distinct()
+
+
 # Scores
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hmac_by_version
 from ..operators import control as C
 from ..operators import jobs as J
 from ..operators import lifecycle as L
@@ -70,21 +73,43 @@ def recover_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_time(C.recover_interrupted(_deliveries(spark, sf_dir), _now()).select("id", "state", "next_attempt_at"), "next_attempt_at")
 
 
+#: Keys of digests by version, for these queries only; version 3 has been retired.
+_PEPPERS = {1: b"first pepper", 2: b"second pepper, which is longer than one block of the digest and so is hashed before it is used"}
+
+
+def _block(key: bytes, pad: int) -> str:
+    key = hashlib.sha256(key).digest() if len(key) > 64 else key
+    return "unhex('" + bytes(k ^ pad for k in key.ljust(64, b"\0")).hex() + "')"
+
+
+def _hmac_sql(message: str, key: bytes) -> str:
+    return f"sha256({_block(key, 0x5C)} || unhex(sha256({_block(key, 0x36)} || encode({message}))))"
+
+
+@register(f"SELECT c_custkey, CASE c_custkey % 3 WHEN 1 THEN {_hmac_sql('c_name', _PEPPERS[1])} WHEN 2 THEN {_hmac_sql('c_name', _PEPPERS[2])} END AS digest FROM customer")
+def keyed_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k, hmac_by_version(F.col("c_name"), k % 3, _PEPPERS).alias("digest"))
+
+
 @register(
-    """SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'unauthenticated' WHEN c_custkey % 3 = 2 THEN 'forbidden' WHEN c_custkey % 7 = 0 THEN 'unauthenticated' WHEN c_custkey % 13 = 0 THEN 'unauthenticated'
-WHEN c_custkey % 4 = 0 AND c_custkey % 8 <> 0 THEN 'forbidden' WHEN c_custkey % 9 = 0 THEN 'unauthenticated' ELSE 'ok' END AS verdict FROM customer"""
+    """SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'unauthenticated' WHEN c_custkey % 3 = 2 THEN 'forbidden' WHEN c_custkey % 7 = 0 OR c_custkey % 17 = 0 THEN 'unauthenticated' WHEN c_custkey % 13 = 0 THEN 'unauthenticated'
+WHEN c_custkey % 4 = 0 AND c_custkey % 8 <> 0 THEN 'forbidden' WHEN c_custkey % 9 = 0 OR c_custkey % 5 = 3 THEN 'unauthenticated' ELSE 'ok' END AS verdict FROM customer"""
 )
 def key_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revoked, expired, restricted and wrong keys of three kinds, of which two are allowed."""
+    """Revoked, expired, restricted, wrong and retired keys of three kinds, of which two are allowed, and keys of projects being deleted."""
     k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.lpad(k.cast("string"), 12, "p").alias("prefix"), F.when(k % 3 == 0, "search").when(k % 3 == 1, "admin").otherwise("indexing").alias("kind"))
+    version = F.when(k % 5 == 3, 3).when(k % 2 == 0, 1).otherwise(2)
     keys = rows.select(
-        "prefix", "kind", F.sha2(F.concat(F.lit("s"), k.cast("string")), 256).alias("digest"), F.when(k % 7 == 0, _now()).alias("revoked_at"),
+        "prefix", "kind", k.alias("project_id"), version.alias("version"), hmac_by_version(F.concat(F.lit("s"), k.cast("string")), version, _PEPPERS | {3: b"retired"}).alias("digest"), F.when(k % 7 == 0, _now()).alias("revoked_at"),
         F.when(k % 13 == 0, _now()).alias("expires_at"), F.when(k % 4 == 0, F.array(F.lit("192.0.2.7"))).otherwise(F.array().cast("array<string>")).alias("ips"),
     )
+    projects = rows.select(k.alias("project_id"), F.when(k % 17 == 0, _now()).alias("deletion_requested_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
     secret = F.concat(F.when(k % 9 == 0, "x").otherwise("s"), k.cast("string"))
     sent = F.when(k % 11 == 0, "nonsense").otherwise(F.concat_ws("_", F.lit("ts"), "kind", "prefix", secret))
-    return C.key_verdicts(rows.select("c_custkey", sent.alias("key"), F.when(k % 8 == 0, "192.0.2.7").alias("ip")), keys, _now(), ("search", "admin")).select("c_custkey", "verdict")
+    asked = rows.select("c_custkey", sent.alias("key"), F.when(k % 8 == 0, "192.0.2.7").alias("ip"))
+    return C.key_verdicts(asked, keys, _now(), ("search", "admin"), _PEPPERS, projects, product="ts").select("c_custkey", "verdict")
 
 
 @register(

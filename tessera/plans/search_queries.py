@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.distance import deletion_variants
 from ..functions.text import analyze_offsets, escaped_like, snippet, with_stems, words
 from ..operators import search as S
-from ..operators.filters import condition
+from ..operators.filters import condition, with_body
 from ..operators.index import build, field_lengths, field_tokens, spread, term_counts
 from .common import INDEX_SQL, SETTINGS, TOKENS_SQL, Registry, active_index, search_docs, stem_sql, table
 
@@ -155,7 +155,7 @@ SELECT rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER
 )
 def expanded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = active_index(spark, sf_dir)
-    terms = S.expand(_terms(spark, {"q": "reti inhe"}), index.vocabulary, SETTINGS, _synonyms(spark), typo=False)
+    terms = S.expand_in(index, _terms(spark, {"q": "reti inhe"}), _synonyms(spark), typo=False)
     return S.top(S.score(index, terms), 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -206,7 +206,7 @@ SELECT rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER
 )
 def typo_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = active_index(spark, sf_dir)
-    terms = S.expand(_terms(spark, {"t": "ertionn"}), index.vocabulary, SETTINGS, variants=index.variants)
+    terms = S.expand_in(index, _terms(spark, {"t": "ertionn"}))
     return S.top(S.score(index, terms), 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -270,6 +270,35 @@ register("SELECT p_partkey FROM part WHERE (p_size > 40 OR p_brand = 'Brand#2')
 )
 register("SELECT p_partkey FROM part", "filter_neq_missing")(_filtered({"absent.field": {"op": "neq", "value": 1}, "other": {}}, "part", "p_partkey"))
 
+#: Filters over JSON bodies with nested objects, arrays, missing fields and mixed kinds.
+_BODY_FILTERS = {
+    "eq": {"props.device.os": "ios"},
+    "strict": {"props.k": "5"},
+    "listed": {"props.k": {"op": "in", "value": [5, 30.0, "7", None]}},
+    "member": {"props.tags": "b"},
+    "neq": {"props.device.ver": {"op": "neq", "value": "2.0"}},
+    "ranged": {"props.k": {"min": 10, "max": 40}},
+    "dated": {"props.device.ver": {"op": "gte", "value": "2001-05-01"}},
+    "through_array": {"props.items.sku": 3},
+    "tree": {"or": [{"props.device.os": "tv"}, {"and": [{"props.tags": "c"}, {"props.k": {"op": "gt", "value": 50}}]}]},
+    "open": {"props.nothing": {}},
+}
+
+
+@register(
+    """WITH b AS (SELECT click_id, CASE WHEN json_valid(props) THEN props END AS props FROM clicks),
+x AS (SELECT click_id, json_extract_string(props, '$.device.os') AS os, CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k, coalesce(json_type(props, '$.k') = 'NULL', false) AS k_null, coalesce(json_type(props, '$.k') = 'VARCHAR' AND json_extract_string(props, '$.k') = '7', false) AS seven,
+  coalesce(CASE WHEN json_type(props, '$.tags') = 'ARRAY' THEN CAST(json_extract(props, '$.tags') AS VARCHAR[]) END, []) AS tags, json_extract_string(props, '$.device.ver') AS ver, json_type(props, '$.items') AS items FROM b)
+SELECT click_id, coalesce(os = 'ios', false) AS eq, false AS strict, coalesce(k IN (5, 30), false) OR k_null OR seven AS listed, list_contains(tags, 'b') AS member, coalesce(ver <> '2.0', true) AS neq, coalesce(k BETWEEN 10 AND 40, false) AS ranged, false AS dated,
+  false AS through_array, coalesce(os = 'tv', false) OR (list_contains(tags, 'c') AND coalesce(k > 50, false)) AS tree, true AS open FROM x"""
+)
+def filter_json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which clicks each filter over their JSON properties admits."""
+    df = with_body(table(spark, sf_dir, "clicks").select("click_id", "props"), "props")
+    return df.select("click_id", *(condition(df, spec).alias(name) for name, spec in _BODY_FILTERS.items()))
+
+
+
 
 @register(_with(INDEX_SQL, _VOCAB) + "SELECT value, score FROM (SELECT expansion AS value, CAST(df AS BIGINT) AS score FROM vocab WHERE starts_with(expansion, 'reti') ORDER BY expansion LIMIT 40) x ORDER BY score DESC, value LIMIT 10")
 def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +337,7 @@ SELECT doc_id, field, term, CAST(start AS INTEGER) AS "start", CAST(start + size
 def highlight_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 12 ranges of expanded terms per hit, title before content, for the first page only."""
     index = active_index(spark, sf_dir)
-    terms = S.expand(_terms(spark, {"q": "reti inhe"}), index.vocabulary, SETTINGS, _synonyms(spark), typo=False).persist()
+    terms = S.expand_in(index, _terms(spark, {"q": "reti inhe"}), _synonyms(spark), typo=False).persist()
     wanted = {r.term for r in terms.collect()}  # bounded by the query's length and the limits of expansion
     page = S.top(S.score(index, terms), 10).select("doc_id").join(index.docs.select("doc_id", "title", "content"), "doc_id")
 

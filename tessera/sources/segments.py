@@ -89,22 +89,32 @@ def write_version(index: Index, root: str, index_id: str, version: str) -> str:
     def lengths_and_averages() -> None:
         posted_lengths(stored).write.mode("errorifexists").parquet(f"{place}/lengths")
         averages(spark.read.parquet(f"{place}/lengths"), index.n_docs).coalesce(1).write.mode("errorifexists").parquet(f"{place}/averages")
+        summed("lengths")
 
     def by_bucket(df: DataFrame, name: str, by: list[str]) -> None:
         df = df.withColumn("bucket", bucket_of(F.col(KEYS[name]), buckets[name]))
         _written(df.repartition("bucket").sortWithinPartitions("bucket", *by), f"{place}/{name}", True)
 
+    sums: dict[str, str] = {}
+
+    def summed(name: str) -> None:
+        sums[name] = checksum(spark.read.parquet(f"{place}/{name}"))
+
+    def sorted_words() -> None:
+        _sorted_write(words, f"{place}/dictionary", ["term", "field"])
+        summed("dictionary")
+
     jobs = [
         lambda: by_bucket(typo_dictionary(vocabulary, most), "variants", ["variant", "term"]),
         lambda: by_bucket(prefix_table(vocabulary), "prefixes", ["prefix", "place"]),
-        lambda: _sorted_write(words, f"{place}/dictionary", ["term", "field"]),
+        lambda: summed("postings"),
+        sorted_words,
         lengths_and_averages,
         lambda: index.docs.write.mode("errorifexists").parquet(f"{place}/docs"),
     ]
     with ThreadPoolExecutor(len(jobs)) as pool:
         for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
             done.result()
-    sums = {name: checksum(spark.read.parquet(f"{place}/{name}")) for name in ("postings", "lengths", "dictionary")}
     row = (index_id, version, sequence, index.n_docs, index.settings.json(), json.dumps(sums, sort_keys=True), json.dumps(buckets))
     spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{place}/manifest")
     return place

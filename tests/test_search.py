@@ -5,7 +5,7 @@ import math
 import pytest
 
 from tessera.operators import search as S
-from tessera.operators.filters import condition
+from tessera.operators.filters import condition, with_body
 from tessera.operators.index import build, checksum, persisted, typo_dictionary
 from tessera.settings import IndexSettings, SearchRequest
 
@@ -97,6 +97,22 @@ def test_filters(index):
         condition(index.docs, {"and": []})
 
 
+BODIES = ['{"a": {"b": 5}, "t": ["x", 1, true, null], "d": "2024-02-01"}', '{"a": {"b": "5"}, "t": [], "d": 7}', '{"a": [{"b": 5}], "n": null, "t": "x"}', '{"a": {"b": 5.0, "c.d": 1}, "flag": true}', "no json", None]
+
+
+@pytest.mark.parametrize(
+    "spec,expected",
+    [
+        ({"body.a.b": 5}, {0, 3}), ({"body.a.b": "5"}, {1}), ({"body.a.b": {"op": "neq", "value": 5}}, {1, 2, 4, 5}), ({"body.t": "x"}, {0, 2}), ({"body.t": 1}, {0}), ({"body.t": True}, {0}), ({"body.t": None}, {0}), ({"body.n": None}, {2}),
+        ({"body.missing": None}, set()), ({"body.a.b": {"op": "in", "value": ["5", 5]}}, {0, 1, 3}), ({"body.a.b": {"op": "gte", "value": 5}}, {0, 3}), ({"body.a.b": {"min": 6}}, set()), ({"body.a.b": {}}, {0, 1, 2, 3, 4, 5}),
+        ({"body.d": {"op": "lt", "value": "2024-03-01"}}, {0}), ({"body.d": {"op": "lt", "value": 8}}, {1}), ({"body.flag": True}, {3}), ({"body.flag": 1}, set()), ({"or": [{"body.flag": True}, {"and": [{"body.t": 1}, {"body.a.b": 5}]}]}, {0, 3}), ({"body.a": 5}, set()),
+    ],
+)
+def test_filters_over_json_bodies(spark, spec, expected):
+    df = with_body(spark.createDataFrame(list(enumerate(BODIES)), "i long, body string"), "body")
+    assert {r.i for r in df.filter(condition(df, spec)).select("i").collect()} == expected
+
+
 def test_filter_before_scoring_keeps_statistics(spark, index):
     terms = spark.createDataFrame([("q", "soil")], "query_id string, term string")
     whole = {r.doc_id: r.score for r in S.score(index, terms).collect()}

@@ -1,10 +1,14 @@
 """Analysis and distances: golden values, and properties."""
 
+import hmac
+
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.hashing import hmac_sha256
 from tessera.functions.distance import deletion_variants, deletion_variants_of, osa_distance
 from tessera.settings import Arabic, IndexSettings
 
@@ -97,3 +101,12 @@ def test_escaped_like_and_snippet(spark):
     assert T.escaped_like(r"50%_a\b") == r"50\%\_a\\b"
     long = spark.createDataFrame([("x" * 400,), ("y" * 320,)], "t string").select(T.snippet(F.col("t")).alias("s")).collect()
     assert len(long[0].s) == 318 and long[0].s.endswith("…") and long[1].s == "y" * 320
+
+
+def test_keyed_digests(spark):
+    rng = np.random.default_rng(4)
+    keys = [rng.bytes(n) for n in (0, 1, 20, 63, 64, 65, 131, 200)]
+    texts = ["", "a", "What is meant here?", "é中🙂" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for key in keys:
+        assert [r.d for r in df.select(hmac_sha256(F.col("t"), key).alias("d")).collect()] == [hmac.new(key, t.encode(), "sha256").hexdigest() for t in texts]

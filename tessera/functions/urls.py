@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ipaddress
 import re
 from functools import reduce
 from operator import or_
@@ -57,10 +56,4 @@ def document_id(canonical: Column, normalized: Column) -> Column:
     return F.substring(F.sha2(F.coalesce(canonical, normalized), 256), 1, 32)
 
 
-def blocked_address(address: str) -> bool:
-    """Anything but a public unicast address."""
-    a = ipaddress.ip_address(address)
-    return not a.is_global or a.is_multicast
-
-
-__all__ = ["admitted", "allowed_domain", "blocked_address", "document_id", "glob_regex", "host_of", "normalized_url"]
+__all__ = ["admitted", "allowed_domain", "document_id", "glob_regex", "host_of", "normalized_url"]

@@ -28,3 +28,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once, written to the shared folder and read from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, written as Parquet to a folder of its own and read from there; for large tables, which Parquet keeps small."""
+    place = new_folder(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)

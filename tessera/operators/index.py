@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.distance import deletion_variants
 from ..functions.text import analyzed, as_text, normalize_text, split_words, term_of, token_count
-from ..lineage import checkpointed
+from ..lineage import stored
 from ..settings import IndexSettings
 
 #: The fields that are indexed unless others are named.
@@ -193,7 +193,7 @@ def build(docs: DataFrame, settings: IndexSettings = IndexSettings(), fields: li
     if check and ids[1]:
         raise ValueError("document ids must be unique and not null")
     wide = spread(docs)
-    posts = checkpointed(postings(wide, fields, settings))
+    posts = stored(postings(wide, fields, settings), "postings")
     lens, n = posted_lengths(posts), ids[0]
     return Index(docs, posts, lens, dictionary(posts), averages(lens, n), n, settings)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import urls as U
+from ..functions.addresses import is_blocked, ranges_of, with_range
 from ..functions.html import extracted
 from ..operators.frontier import crawl_order, start_times
 from ..operators.jobs import latest_upsert
@@ -205,3 +206,54 @@ def version_activate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = spark.createDataFrame([("src1",), ("src2",)], "source string")
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(gone, "source", "left_anti").select("doc_id", "source")
+
+
+@register(
+    """WITH a AS (SELECT user_id % 20 AS origin, ts AS at_, max(CASE WHEN value < 10 THEN 200 WHEN value < 20 THEN 403 WHEN value < 30 THEN 503 WHEN value < 40 THEN 429 ELSE 404 END) AS status FROM events WHERE event_type = 'signup' GROUP BY 1, 2),
+f AS (SELECT event_id, user_id % 20 AS origin, ts AS at_ FROM events WHERE event_type <> 'signup')
+SELECT event_id, CASE WHEN holds THEN epoch_us(answered) END AS answered_at, CASE WHEN NOT coalesce(holds, false) THEN 'ask' WHEN status BETWEEN 200 AND 299 THEN 'parse' WHEN status IN (401, 403) THEN 'disallow' WHEN status >= 500 OR status = 429 THEN 'abort' ELSE 'allow' END AS policy
+FROM (SELECT event_id, a.at_ AS answered, status, f.at_ - a.at_ < INTERVAL 1 HOUR AS holds FROM f ASOF LEFT JOIN a ON f.origin = a.origin AND f.at_ >= a.at_) x"""
+)
+def robots_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last robots answer of each host, at most an hour old, says of a fetch."""
+    v = F.col("value")
+    ev = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).alias("origin"), F.col("ts").cast("timestamp").alias("at"), "event_type", F.when(v < 10, 200).when(v < 20, 403).when(v < 30, 503).when(v < 40, 429).otherwise(404).alias("status"))
+    answers = ev.filter("event_type = 'signup'").select("origin", "at", "status")
+    out = robots.policies_at(ev.filter("event_type <> 'signup'").select("event_id", "origin", "at"), answers)
+    return out.select("event_id", F.unix_micros("answered_at").alias("answered_at"), "policy")
+
+
+#: Addresses made of the digits of an event: its numbers, and how they are written.
+_OCTETS = "SELECT event_id, user_id % 256 AS a, event_id % 256 AS b, (event_id * 7) % 256 AS c, CASE event_id % 6 WHEN 0 THEN 10 WHEN 1 THEN 172 WHEN 2 THEN 192 WHEN 3 THEN 8 WHEN 4 THEN 203 ELSE 100 END AS top FROM events"
+
+
+@register(
+    f"""WITH o AS ({_OCTETS}), n AS (SELECT *, CAST(top AS BIGINT) * 16777216 + a * 65536 + b * 256 + c AS ip FROM o), r(net, bits) AS (VALUES (167772160, 8), (1681915904, 10), (2886729728, 12), (3221225472, 24), (3221225984, 24), (3223307264, 24), (3224682752, 24), (3227017984, 24), (3232235520, 16), (3232706560, 24), (3405803776, 24))
+SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 = 3 THEN b % 2 = 0 OR a = 0 ELSE EXISTS (SELECT 1 FROM r WHERE (ip >> (32 - bits)) = (net >> (32 - bits))) END AS blocked FROM n"""
+)
+def blocked_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which addresses a crawler keeps away from: IPv4 and IPv6 ones, and texts that are none."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 256).alias("a"), (F.col("event_id") % 256).alias("b"), ((F.col("event_id") * 7) % 256).alias("c"))
+    k = F.col("event_id")
+    top = F.when(k % 6 == 0, 10).when(k % 6 == 1, 172).when(k % 6 == 2, 192).when(k % 6 == 3, 8).when(k % 6 == 4, 203).otherwise(100)
+    four = F.concat_ws(".", top.cast("string"), F.col("a").cast("string"), F.col("b").cast("string"), F.col("c").cast("string"))
+    # Even ones are local (fd00::/8), odd ones public below 2a00::/12 unless they are written as mapped.
+    six = F.when(F.col("a") == 0, F.concat(F.lit("::ffff:"), four)).otherwise(F.concat(F.when(F.col("b") % 2 == 0, "fd00:").otherwise("2a00:"), F.lower(F.hex("a")), F.lit("::"), F.lower(F.hex("c"))))
+    text = F.when(k % 5 == 4, "not.an.address").when(k % 5 == 3, six).otherwise(four)
+    return e.select("event_id", is_blocked(text).alias("blocked"))
+
+
+_NETS = [("10.0.0.0/8", "ten"), ("10.1.0.0/16", "ten.one"), ("10.1.128.0/17", "ten.one.high"), ("172.0.0.0/7", "wide"), ("192.0.0.0/3", "high"), ("0.0.0.0/0", "any")]
+
+
+@register(
+    f"""WITH o AS ({_OCTETS}), n AS (SELECT event_id, CAST(top AS BIGINT) * 16777216 + a * 65536 + b * 256 + c AS ip FROM o),
+r(net, bits, name) AS (VALUES (167772160, 8, 'ten'), (167837696, 16, 'ten.one'), (167870464, 17, 'ten.one.high'), (2885681152, 7, 'wide'), (3221225472, 3, 'high'), (0, 0, 'any'))
+SELECT event_id, arg_max(name, bits) AS range FROM n JOIN r ON (ip >> (32 - bits)) = (net >> (32 - bits)) GROUP BY event_id"""
+)
+def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrowest of some ranges that holds each address."""
+    k = F.col("event_id")
+    top = F.when(k % 6 == 0, 10).when(k % 6 == 1, 172).when(k % 6 == 2, 192).when(k % 6 == 3, 8).when(k % 6 == 4, 203).otherwise(100)
+    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws(".", top.cast("string"), (F.col("user_id") % 256).cast("string"), (k % 256).cast("string"), ((k * 7) % 256).cast("string")).alias("address"))
+    return with_range(e, "address", ranges_of(spark, _NETS)).select("event_id", "range")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RULES = "origin string, group_id int, agent string, allow boolean, path string, crawl_delay double, sitemap string"
@@ -85,3 +85,28 @@ def crawl_delay(table: DataFrame, user_agent: str) -> DataFrame:
 def policy(status: Column) -> Column:
     """What a robots.txt response means."""
     return F.when(status.between(200, 299), "parse").when(status.isin(401, 403), "disallow").when((status >= 500) | (status == 429), "abort").otherwise("allow")
+
+
+#: Fixed value: how long an origin's answer holds.
+VALID_SECONDS = 3600
+
+
+def policies_at(fetches: DataFrame, answers: DataFrame, seconds: int = VALID_SECONDS) -> DataFrame:
+    """``fetches`` (origin, at, ...) with ``answered_at`` and ``policy`` of the last answer (origin, at, status) that still holds.
+
+    An answer holds for ``seconds``; without one the policy is ``ask``.  Answers at one time
+    count as one, the one with the largest status.  Time is cut into spans of that length: an answer
+    can hold in its own span and the next one only, so a fetch meets the answers of two spans and
+    not those of all time, and an origin with a third of all fetches is as many groups as there are spans.
+    """
+    span = lambda at: F.floor(F.unix_micros(at) / (seconds * 1_000_000))
+    columns = fetches.columns
+    told = answers.filter("origin IS NOT NULL AND at IS NOT NULL").groupBy("origin", "at").agg(F.max("status").alias("status"))
+    told = told.select("origin", F.explode(F.array(span(F.col("at")), span(F.col("at")) + 1)).alias("__span"), "at", F.lit(0).alias("__turn"), "status", F.lit(None).cast(fetches.select(F.struct(*columns).alias("x")).schema["x"].dataType).alias("__row"))
+    asked = fetches.select("origin", span(F.col("at")).alias("__span"), "at", F.lit(1).alias("__turn"), F.lit(None).cast("int").alias("status"), F.struct(*columns).alias("__row"))
+    # The last answer before each fetch: one ordered pass over a span.
+    last = Window.partitionBy("origin", "__span").orderBy("at", "__turn").rowsBetween(Window.unboundedPreceding, 0)
+    answer = F.when(F.col("__turn") == 0, F.struct("at", "status"))
+    both = told.unionByName(asked).withColumn("__last", F.last(answer, ignorenulls=True).over(last)).filter("__turn = 1")
+    holds = F.unix_micros("at") - F.unix_micros("__last.at") < seconds * 1_000_000
+    return both.select("__row.*", F.when(holds, F.col("__last.at")).alias("answered_at"), F.when(holds, policy(F.col("__last.status"))).otherwise("ask").alias("policy"))

@@ -1,5 +1,6 @@
 """Crawling pieces: addresses, robots rules, sitemaps, pages, retries, duplicates."""
 
+import datetime
 import gzip
 
 import pytest
@@ -33,11 +34,10 @@ def test_normalized_url(spark, url, expected):
     assert one(spark, U.normalized_url(F.lit(url))) == expected
 
 
-def test_domains_and_addresses(spark):
+def test_domains(spark):
     assert one(spark, U.allowed_domain(F.lit("https://sub.news.example/"), ["news.example"]))
     assert not one(spark, U.allowed_domain(F.lit("https://notnews.example/"), ["news.example"]))
     assert not one(spark, U.allowed_domain(F.lit("https://news.example/"), []))
-    assert [U.blocked_address(a) for a in ("127.8.9.10", "10.77.0.1", "172.20.1.2", "192.168.40.3", "169.254.7.7", "93.184.216.34", "172.32.0.1")] == [True] * 5 + [False] * 2
 
 
 RULES = [
@@ -155,3 +155,14 @@ def test_simhash_of_nothing(spark):
             votes[i] += 1 if d[i // 8] >> (i % 8) & 1 else -1
     value = sum(1 << i for i in range(64) if votes[i] >= 0)
     assert got == {1: -1, 2: -1, 3: value - (1 << 64) if value >> 63 else value}
+
+
+def test_robots_answers_hold_for_an_hour(spark):
+    t0 = datetime.datetime(2024, 1, 1, 11, 59)
+    at = lambda minutes: t0 + datetime.timedelta(minutes=minutes)
+    answers = [("a", at(0), 200), ("a", at(30), 403), ("a", at(30), 200), ("b", at(0), 503), ("c", at(0), 404), ("d", None, 200)]
+    fetches = [(1, "a", at(-1)), (2, "a", at(0)), (3, "a", at(29)), (4, "a", at(30)), (5, "a", at(89)), (6, "a", at(90)), (7, "b", at(59)), (8, "b", at(60)), (9, "c", at(1)), (10, "z", at(1)), (11, "a", None), (12, None, at(1))]
+    found = robots.policies_at(spark.createDataFrame(fetches, "n long, origin string, at timestamp"), spark.createDataFrame(answers, "origin string, at timestamp, status int"))
+    assert found.columns == ["n", "origin", "at", "answered_at", "policy"]
+    want = {1: "ask", 2: "parse", 3: "parse", 4: "disallow", 5: "disallow", 6: "ask", 7: "abort", 8: "ask", 9: "allow", 10: "ask", 11: "ask", 12: "ask"}
+    assert {r.n: r.policy for r in found.collect()} == want

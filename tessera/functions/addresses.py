@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Ranges that aren't public unicast, from the registries of special-purpose addresses.
 SPECIAL = (
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.31.196.0/24", "192.52.193.0/24", "192.88.99.0/24", "192.168.0.0/16", "192.175.48.0/24",
@@ -20,11 +21,6 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it is mentioned."""
-    return F.transform(F.array(value), use)[0]
-
-
 _FOUR = r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$"
 _GROUP = "[0-9a-f]{1,4}"
 _SIDE = rf"((?:{_GROUP}(?::{_GROUP})*)?)"
@@ -33,14 +29,14 @@ _SIDE = rf"((?:{_GROUP}(?::{_GROUP})*)?)"
 def _octets(text: Column) -> Column:
     """The 32 bits of an IPv4 address as a long; null for anything else."""
     parts = F.transform(F.split(F.when(text.rlike(_FOUR), text), r"\."), lambda p: p.cast("long"))
-    return _let(parts, lambda v: F.when(~F.exists(v, lambda p: p > 255), F.aggregate(v, F.lit(0).cast("long"), lambda n, p: n * 256 + p)))
+    return let(parts, lambda v: F.when(~F.exists(v, lambda p: p > 255), F.aggregate(v, F.lit(0).cast("long"), lambda n, p: n * 256 + p)))
 
 
 def _groups(six: Column) -> Column:
     """The eight groups of an IPv6 address without an IPv4 tail, as hexadecimal texts; null for anything else."""
     side = lambda i: F.filter(F.split(F.regexp_extract(six, f"^{_SIDE}::{_SIDE}$", i), ":"), lambda g: g != "")
     short = F.when(six.rlike(f"^{_SIDE}::{_SIDE}$"), F.array(side(1), side(2)))
-    filled = _let(short, lambda s: F.when(F.size(s[0]) + F.size(s[1]) < 8, F.concat(s[0], F.array_repeat(F.lit("0"), 8 - F.size(s[0]) - F.size(s[1])), s[1])))
+    filled = let(short, lambda s: F.when(F.size(s[0]) + F.size(s[1]) < 8, F.concat(s[0], F.array_repeat(F.lit("0"), 8 - F.size(s[0]) - F.size(s[1])), s[1])))
     return F.coalesce(F.when(six.rlike(f"^{_GROUP}(?::{_GROUP}){{7}}$"), F.split(six, ":")), filled)
 
 
@@ -56,21 +52,21 @@ def parsed(address: Column) -> Column:
     def without_tail(text: Column) -> Column:
         """The text with an IPv4 tail as two groups."""
         tail = F.regexp_extract(text, r":([0-9.]+\.[0-9.]+)$", 1)
-        return _let(tail, lambda t: F.when(t == "", text).otherwise(_let(_octets(t), lambda n: F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(t)), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535))))))))
+        return let(tail, lambda t: F.when(t == "", text).otherwise(let(_octets(t), lambda n: F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(t)), F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535))))))))
 
     def whole(text: Column) -> Column:
-        return _let(
+        return let(
             F.struct(_octets(text).alias("four"), F.when(F.contains(text, F.lit(":")), _groups_of(without_tail(text))).alias("six")),
             lambda x: F.when(x["four"].isNotNull(), F.struct(F.lit(4).alias("family"), F.shiftleft(x["four"], 32).alias("hi"), F.lit(0).cast("long").alias("lo"))).when(
                 x["six"].isNotNull(), F.struct(F.lit(6).alias("family"), half(F.slice(x["six"], 1, 4)).alias("hi"), half(F.slice(x["six"], 5, 4)).alias("lo"))
             ),
         )
 
-    return _let(F.lower(F.regexp_replace(F.trim(address), r"^\[(.*)\]$", "$1")), whole)
+    return let(F.lower(F.regexp_replace(F.trim(address), r"^\[(.*)\]$", "$1")), whole)
 
 
 def _groups_of(text: Column) -> Column:
-    return _let(text, _groups)
+    return let(text, _groups)
 
 
 def ranges_of(spark: SparkSession, blocks: list[tuple[str, str]]) -> DataFrame:
@@ -119,4 +115,4 @@ def is_blocked(address: Column) -> Column:
             test = test | own
         return F.when(p.isNotNull(), test)
 
-    return _let(parsed(address), within)
+    return let(parsed(address), within)

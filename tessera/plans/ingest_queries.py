@@ -31,6 +31,21 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", "normalized")
 
 
+@register(
+    f"""WITH {_NORMAL}
+SELECT page_id, CASE page_id % 8 WHEN 0 THEN concat(site, folder, 'a%20b/c') WHEN 1 THEN concat(site, '/up?b=%C3%BC&q=1') WHEN 2 THEN concat('https://cdn', page_id, '.example.net/x') WHEN 3 THEN concat(site, whole, '?n=', page_id)
+  WHEN 4 THEN concat(site, folder) WHEN 5 THEN concat(site, '/last/') WHEN 6 THEN NULL ELSE concat('http://other.example/p?k=a+b') END AS resolved
+FROM (SELECT page_id, scheme || '://' || host AS site, CASE WHEN path = '' THEN '/' ELSE path END AS whole, regexp_extract(CASE WHEN path = '' THEN '/' ELSE path END, '^(.*/)', 1) AS folder FROM parts) x"""
+)
+def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of eight kinds against the address of each page."""
+    p = F.col("page_id")
+    n = p.cast("string")
+    link = F.when(p % 8 == 0, "./x/../a b/c#here").when(p % 8 == 1, "/v/../up?q=1&b=ü").when(p % 8 == 2, F.concat(F.lit("https://CDN"), n, F.lit(".example.net:443//x"))).when(p % 8 == 3, F.concat(F.lit("?n="), n)).when(p % 8 == 4, ".")
+    link = link.when(p % 8 == 5, "/first/../last/%2e").when(p % 8 == 6, "mailto:someone@example.org").otherwise("http://other.example:80/p?k=a b")
+    return table(spark, sf_dir, "pages").select("page_id", U.normalized_url(link, F.col("url")).alias("resolved"))
+
+
 @register(f"WITH {_NORMAL} SELECT page_id, (host = 'example.com' OR host LIKE '%.example.com') AND NOT path LIKE '%.html' AS allowed FROM normal")
 def url_domain_allow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", U.admitted(F.col("url"), ["example.com"], exclude=["**.html"]).alias("allowed"))

@@ -218,11 +218,12 @@ def judge(net: Network | None, texts: pa.Array, letters: np.ndarray) -> Iterator
         row = end
 
 
-_LETTERS = "__letters"
-
-
 def _with_letters(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn(_LETTERS, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    """``df`` with a last column, under a name that it doesn't have, that tells whether the text has a letter."""
+    name = "__letters"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return df.withColumn(name, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
 
 def _flags(batch: pa.RecordBatch) -> np.ndarray:

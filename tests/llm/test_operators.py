@@ -314,6 +314,20 @@ def test_pipeline_drops_near_copies(spark):
     assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, documents(spark, texts), "").collect()} == {0, 4}
 
 
+def test_stages_keep_columns_named_like_their_own(spark):
+    import corpus_pipeline
+
+    texts = ["plain words of one document", "other words of a second one", "12 34", None, "plain words of one document"]
+    docs = documents(spark, texts).select("*", F.lit("mine").alias("__text"), F.lit(7).alias("__letters"), F.lit("row").alias("__row"))
+    kept = corpus_pipeline.deduplicate(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r["__text"], r["__letters"]) for r in kept.collect()} == {(0, "mine", 7), (1, "mine", 7), (2, "mine", 7), (3, "mine", 7)}
+    named = language_id.identified(docs, None)
+    assert named.columns == docs.columns
+    assert sorted(r.doc_id for r in named.collect()) == [0, 1, 4]
+    assert {r["__letters"] for r in named.collect()} == {7}
+
+
 def test_pipeline_keeps_different_texts_of_one_id(spark):
     import corpus_pipeline
 

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on awkward tables."""
 
+import datetime
 import hashlib
 import heapq
 import math
@@ -863,9 +864,14 @@ def test_every_query_on_awkward_tables(spark, tmp_path, kind):
     spark.createDataFrame([] if kind == "empty" else [(i % 4, i % 2, 0) for i in range(8)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     vectors = [] if kind == "empty" else [(0, [1.0, 0.0], None), (100, [1.0, 0.0], None), (100, [1.0, 0.0], None), (3, None, 1), (None, None, None)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, rank int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    day = datetime.datetime(2024, 2, 3, 4, 5)
+    sales = {"awkward": [(0, day, 12.5, "x"), (0, day, 12.5, "x"), (1, None, 3.0, None), (None, day, None, "y"), (2, day + datetime.timedelta(days=1), 1.0, "z")], "repeated": [(5, day, 7.0, "r")] * 4, "nulls": [(None, None, None, None)] * 3}.get(kind, [])
+    spark.createDataFrame(sales, "sale_id long, sold_at timestamp_ntz, total double, slot string").write.parquet(f"{tmp_path}/sales.parquet")
     for name, query in QUERIES.items():
         rows = query(spark, str(tmp_path)).collect()
-        if name not in ("op2_neighbours", "op3_packing"):
+        if name == "op13_dominance":
+            assert len(rows) == len(sales)
+        elif name not in ("op2_neighbours", "op3_packing"):
             assert len(rows) == len(texts), name
         if name == "op2_neighbours" and vectors:
             assert {(r.query_id, r.vec_id) for r in rows} == {(0, 100), (100, 0)}

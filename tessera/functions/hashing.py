@@ -41,18 +41,15 @@ def hmac_by_version(message: Column, version: Column, keys: dict[int, bytes]) ->
 def simhash64(pages: DataFrame, text: str, key: str = "page_id") -> DataFrame:
     """(key, simhash): bit i is set if at least half of the words' digests have it; -1 for no words.
 
-    Words are hashed once per distinct word and page and weighted by their count.
+    Votes of a page's words are added up where the page is, so of each page one row is shuffled.
     Bit i is bit i mod 8 of byte i div 8 of the SHA-256 digest.
     """
-    tokens = pages.select(key, F.explode(words(F.lower(F.col(text)))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-    digest = F.sha2(F.col("w"), 256)
-    number = F.lit(0).cast("long")
-    for byte in range(8):
-        number = number.bitwiseOR(F.shiftleft(F.conv(F.substring(digest, 2 * byte + 1, 2), 16, 10).cast("long"), 8 * byte))
-    hashed = tokens.select(key, "n", number.alias("h"))
+    # The first eight bytes, the last of them first, as a signed number.
+    number = lambda d: F.conv(F.concat(*(F.substring(d, 2 * byte + 1, 2) for byte in reversed(range(8)))), 16, -10).cast("long")
+    hashed = pages.select(key, F.explode(words(F.lower(F.col(text)))).alias("w")).select(key, number(F.sha2(F.col("w"), 256)).alias("h"))
     # Two counters in each sum, 32 bits apart.
     bit = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("long"))
-    votes = hashed.groupBy(key).agg(F.sum("n").alias("all"), *(F.sum((bit(i) + F.shiftleft(bit(i + 32), 32)) * F.col("n")).alias(f"v{i}") for i in range(32)))
+    votes = hashed.groupBy(key).agg(F.count("*").alias("all"), *(F.sum(bit(i) + F.shiftleft(bit(i + 32), 32)).alias(f"v{i}") for i in range(32)))
     value = F.lit(0).cast("long")
     for i in range(64):
         ones = F.shiftrightunsigned(f"v{i - 32}", 32) if i >= 32 else F.col(f"v{i}").bitwiseAND(F.lit((1 << 32) - 1))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -180,10 +179,6 @@ def averages(lens: DataFrame, n_docs: int) -> DataFrame:
     return lens.groupBy("field").agg((F.sum("len") / F.lit(max(1, n_docs))).alias("avg_len"))
 
 
-def duplicate_ids(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
-
-
 def build(docs: DataFrame, settings: IndexSettings = IndexSettings(), fields: list[str] | None = None, check: bool = True) -> Index:
     """All tables of an index over ``docs``; its fields are the default ones that the documents have."""
     fields = fields or [f for f in DEFAULT_FIELDS if f in docs.columns]
@@ -220,7 +215,3 @@ def checksum(df: DataFrame) -> str:
     import hashlib
 
     return hashlib.sha256(repr(tuple(map(str, row))).encode()).hexdigest()
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -104,11 +104,12 @@ def evidence_checks(runs: DataFrame, tolerance: float = 0.01) -> DataFrame:
     return runs.withColumn("consistent", ok)
 
 
-def project_overview(projects: DataFrame, docs: DataFrame, events: DataFrame, jobs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Live documents, searches, mean latency, zero-result rate, active jobs and live sources; 0 where there are none."""
+def project_overview(projects: DataFrame, docs: DataFrame, events: DataFrame, jobs: DataFrame, sources: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Live documents of indexes that aren't being deleted, searches, mean latency, zero-result rate, active jobs and live sources; 0 where there are none."""
     zero = F.count_if(F.col("result_count") == 0)
+    kept = indexes.filter("deletion_requested_at IS NULL").select("index_id", "project")
     parts = [
-        docs.filter("deleted_at IS NULL").groupBy("project").agg(F.count("*").alias("documents")),
+        docs.filter("deleted_at IS NULL").join(kept, "index_id").groupBy("project").agg(F.count("*").alias("documents")),
         events.groupBy("project").agg(F.count("*").alias("searches"), F.avg("latency_ms").alias("avg_latency"), rate(zero, F.count("*")).alias("zero_rate")),
         jobs.filter(F.col("state").isin("queued", "running")).groupBy("project").agg(F.count("*").alias("active_jobs")),
         sources.filter("deletion_requested_at IS NULL").groupBy("project").agg(F.count("*").alias("sources")),
@@ -117,3 +118,10 @@ def project_overview(projects: DataFrame, docs: DataFrame, events: DataFrame, jo
     for part in parts:
         out = out.join(part, "project", "left")
     return out.fillna(0)
+
+
+def active_versions(indexes: DataFrame, versions: DataFrame) -> DataFrame:
+    """Each index that isn't being deleted with its active version's number, documents, bytes and time; nulls where none is active."""
+    own = versions.select(F.col("version_id").alias("active_version_id"), "sequence", "document_count", "indexed_bytes", "activated_at")
+    kept = indexes.filter("deletion_requested_at IS NULL")
+    return kept.join(own, "active_version_id", "left").select("project", "index_id", "name", "sequence", "document_count", "indexed_bytes", "activated_at")

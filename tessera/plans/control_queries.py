@@ -345,23 +345,44 @@ def crawl_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.crawl_document(pages).select("doc_id", "url", "title", "language", "metadata")
 
 
+_INDEXES = "i AS (SELECT s_suppkey AS index_id, s_suppkey % 3 AS project, s_name AS name, s_suppkey % 4 = 1 AS deleting, CASE WHEN s_suppkey % 5 <> 2 THEN s_suppkey * 2 END AS active FROM supplier)"
+
+
+def _indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("index_id"), (k % 3).alias("project"), F.col("s_name").alias("name"), F.when(k % 4 == 1, _now()).alias("deletion_requested_at"), F.when(k % 5 != 2, k * 2).alias("active_version_id"))
+
+
 @register(
     EV
-    + """, d AS (SELECT doc_id % 3 AS project, count(*) AS documents FROM documents WHERE doc_id % 11 <> 0 GROUP BY 1), j AS (SELECT o_custkey % 3 AS project, count(*) AS active_jobs FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+    + f""", {_INDEXES}, d AS (SELECT project, count(*) AS documents FROM documents JOIN i ON index_id = doc_id % 10 WHERE NOT deleting AND doc_id % 11 <> 0 GROUP BY 1), j AS (SELECT o_custkey % 3 AS project, count(*) AS active_jobs FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
 s AS (SELECT c_custkey % 3 AS project, count(*) AS sources FROM customer WHERE c_acctbal >= 0 GROUP BY 1)
-SELECT project, documents, count(*) AS searches, round(avg(latency_ms), 6) AS avg_latency, round(count(*) FILTER (WHERE result_count = 0) / count(*), 6) AS zero_rate, coalesce(active_jobs, 0) AS active_jobs, sources FROM ev JOIN d USING (project) LEFT JOIN j USING (project) JOIN s USING (project) GROUP BY project, documents, active_jobs, sources"""
+SELECT project, coalesce(documents, 0) AS documents, count(*) AS searches, round(avg(latency_ms), 6) AS avg_latency, round(count(*) FILTER (WHERE result_count = 0) / count(*), 6) AS zero_rate, coalesce(active_jobs, 0) AS active_jobs, sources FROM ev LEFT JOIN d USING (project) LEFT JOIN j USING (project) JOIN s USING (project) GROUP BY project, documents, active_jobs, sources"""
 )
 def project_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A project's live documents, searches, active jobs and live sources."""
+    """A project's live documents in indexes that stay, searches, active jobs and live sources."""
     from ..operators.analytics import project_overview as overview
 
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 3).alias("project"), F.when(F.col("doc_id") % 11 == 0, _now()).alias("deleted_at"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("index_id"), F.when(F.col("doc_id") % 11 == 0, _now()).alias("deleted_at"))
     jobs = _orders(spark, sf_dir).select((F.col("o_custkey") % 3).alias("project"), F.when(F.col("o_orderstatus") == "P", "running").otherwise("completed").alias("state"))
     sources = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 3).alias("project"), F.when(F.col("c_acctbal") < 0, _now()).alias("deletion_requested_at"))
-    out = overview(spark.range(3).select(F.col("id").alias("project")), docs, search_events(spark, sf_dir), jobs, sources)
+    out = overview(spark.range(3).select(F.col("id").alias("project")), docs, search_events(spark, sf_dir), jobs, sources, _indexes(spark, sf_dir))
     return out.select("project", "documents", "searches", F.round("avg_latency", 6).alias("avg_latency"), F.round("zero_rate", 6).alias("zero_rate"), "active_jobs", "sources")
 
 
+@register(
+    f"""WITH {_INDEXES}, v AS (SELECT p_partkey AS version_id, p_size AS sequence, p_partkey * 3 AS document_count, p_partkey * 1000 AS indexed_bytes FROM part)
+SELECT project, index_id, name, sequence, document_count, indexed_bytes FROM i LEFT JOIN v ON version_id = active WHERE NOT deleting"""
+)
+def active_index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active version of each index that stays."""
+    from ..operators.analytics import active_versions
+
+    p = F.col("p_partkey")
+    versions = table(spark, sf_dir, "part").select(p.alias("version_id"), F.col("p_size").alias("sequence"), (p * 3).alias("document_count"), (p * 1000).alias("indexed_bytes"), _now().alias("activated_at"))
+    return active_versions(_indexes(spark, sf_dir), versions).drop("activated_at")
+
+
 _TICKS, _EVERY, _START = 3, 40, "1999-02-01 00:00:00"
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distance import deletion_variants
-from ..functions.text import analyze_offsets, escaped_like, snippet, with_stems, words
+from ..functions.text import analyze_offsets, snippet, with_stems, words
+from ..operators import explorer as X
 from ..operators import search as S
 from ..operators.filters import condition, with_body
 from ..operators.index import build, field_lengths, field_tokens, spread, term_counts
@@ -381,9 +382,45 @@ def snippet_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", snippet(F.col("text")).alias("snippet"))
 
 
-@register("SELECT doc_id, source FROM documents WHERE contains(lower(text), '%%% an') ORDER BY doc_id LIMIT 50")
+_CONSOLE = "c AS (SELECT doc_id, split_part(text, '.', 1) AS title, text AS content, source AS source_id, doc_id % 6 = 0 AS deleted FROM documents)"
+
+
+def _console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = search_docs(spark, sf_dir).select("doc_id", "title", "content", F.col("source").alias("source_id"))
+    return docs.withColumn("deleted_at", F.when(F.col("doc_id") % 6 == 0, F.lit("2024-01-01").cast("timestamp")))
+
+
+@register(
+    f"""WITH {_CONSOLE}, p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total FROM c WHERE NOT deleted AND doc_id > 20 AND (contains(lower(title), '%%% an') OR contains(lower(content), '%%% an')))
+SELECT doc_id, source_id, CASE WHEN total > 9 THEN (SELECT doc_id FROM p WHERE n = 9) END AS next_after FROM p WHERE n <= 9"""
+)
 def document_browser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(F.col("text").ilike(f"%{escaped_like('%%% an')}%")).orderBy("doc_id").limit(50).select("doc_id", "source")
+    """A page of live documents with a text in them, after some id."""
+    return X.browse(_console(spark, sf_dir), "%%% AN", after=20, limit=9).select("doc_id", "source_id", "next_after")
+
+
+@register(f"WITH {_CONSOLE} SELECT doc_id, title FROM c WHERE deleted AND source_id = 'src0' ORDER BY doc_id LIMIT 100")
+def deleted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first deleted documents of one source."""
+    return X.browse(_console(spark, sf_dir), source="src0", status="deleted", limit=100).select("doc_id", "title")
+
+
+@register("SELECT doc_id, doc_id % 5 <> 0 AS in_active, CASE WHEN doc_id % 6 = 0 THEN 'deleted' WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN 'indexed' ELSE 'pending' END AS state FROM documents")
+def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against an active version without one in five, in which one in seven has an older title."""
+    docs = _console(spark, sf_dir)
+    active = docs.filter("doc_id % 5 <> 0").withColumn("title", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("old "), "title")).otherwise(F.col("title")))
+    return X.document_states(docs, active, ["title", "content"]).select("doc_id", "in_active", "state")
+
+
+@register(
+    """WITH b AS (SELECT click_id, json_valid(props) AS good, coalesce(CASE WHEN json_valid(props) THEN json_keys(props) END, []) AS names FROM clicks)
+SELECT click_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(names, lambda n: n <> 'k'), ['added', 'k']))), ',') AS changed FROM b"""
+)
+def body_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an edit that keeps nothing and adds one entry changes of clicks' JSON bodies, all of which have another ``k``."""
+    before = table(spark, sf_dir, "clicks").select("click_id", "props")
+    return X.changed_fields(before, before.select("click_id", F.lit('{"k": "other", "added": 1}').alias("props")).dropDuplicates(["click_id"]), "click_id", "props").select("click_id", F.array_join("changed", ",").alias("changed"))
 
 
 @register("SELECT a.doc_id, concat_ws(',', CASE WHEN a.lang IS DISTINCT FROM b.lang THEN 'lang' END, CASE WHEN a.source IS DISTINCT FROM b.source THEN 'source' END) AS changed FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")

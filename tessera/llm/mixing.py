@@ -7,7 +7,8 @@ others.  Within a source, documents are in order of size, every document's expec
 copies are summed up from the first one on, and a document is taken once for each
 integer that the sum, begun at one random offset, crosses.  So a source misses its target
 by about one of its longest documents at most, and a document is taken ``cap`` times at
-most.
+most.  Of ``STARTS`` evenly spaced offsets, the first of them random, a source uses the one that
+brings its words nearest to its target.
 
 The sums are exact: expected copies are fixed-point numbers, and only their fraction's
 bits matter for the next crossing.  All documents of a source expect the same number of
@@ -38,6 +39,8 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 #: Bits of the fraction of expected copies.
 BITS = 31
+#: Offsets that are tried for each source.
+STARTS = 32
 
 
 def _sized(docs: DataFrame, keep: Sequence[str], source: str, text: str, doc_id: str) -> DataFrame:
@@ -64,7 +67,8 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], of_group:
     Equal rows get different ranks, in any order.  Rows are dealt by ranges of group and
     order and numbered within their range; what other ranges hold before it is a count for
     each.  Columns ``of_group``, a table with one row for each group, come along with these
-    counts, so that rows aren't joined by a group that may hold a third of them.
+    counts, so that rows aren't joined by a group that may hold a third of them.  ``part`` is a
+    row's range, for joining other columns of groups in the same way.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = df.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(n, *group, *order, "tie").withColumn("part", F.spark_partition_id())
@@ -75,7 +79,7 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], of_group:
         before = before.join(of_group, [*group])
     own = F.row_number().over(Window.partitionBy("part", *group).orderBy(*order, "tie"))
     numbered = parts.withColumn("own", own).join(before, ["part", *group])
-    return numbered.withColumn("rank", F.col("before") + F.col("own") - 1).drop("tie", "part", "own", "before")
+    return numbered.withColumn("rank", F.col("before") + F.col("own") - 1).drop("tie", "own", "before")
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -109,10 +113,17 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, kee
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     dice = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("unnamed").cast("int"), "source").cast("binary"), 256), 1, 8), 16, 10).cast("long")
     steps = targets.select("unnamed", "source", "source_size", "target", F.floor(expected * one).alias("step"), (dice % one).alias("offset"))
-    out = ranked(sized, ["unnamed", "source"], ["size", "id", "text_hash"], of_group=steps)
+    rows = checkpoint(ranked(sized, ["unnamed", "source"], ["size", "id", "text_hash"], of_group=steps))
     whole, part = F.floor(F.col("step") / one), F.col("step") % one
     at = ((F.col("rank") % one) * part + F.col("offset")) % one
-    return out.select("row", "size", "source_size", "target", (whole + (at + part >= one).cast("long")).alias("copies"))
+    copies = lambda start: whole + ((at + start) % one + part >= one).cast("long")
+    starts = [k * (one // STARTS) for k in range(STARTS)]
+    sums = rows.groupBy("unnamed", "source").agg(F.first("target").alias("target"), *(F.sum(F.col("size") * copies(F.lit(u))).alias(f"w{k}") for k, u in enumerate(starts)))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"w{k}") - F.col("target")), F.lit(u).cast("long").alias("start")) for k, u in enumerate(starts))))
+    chosen = sums.select("unnamed", "source", best["start"].alias("start"))
+    by_part = rows.select("part", "unnamed", "source").distinct().join(chosen, ["unnamed", "source"])
+    out = rows.join(by_part, ["part", "unnamed", "source"])
+    return out.select("row", "size", "source_size", "target", copies(F.col("start")).alias("copies"))
 
 
 def mixture(docs: DataFrame, **settings: object) -> DataFrame:
@@ -142,8 +153,11 @@ steps AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * 2147483648) AS BIGINT) ELSE 0 END AS step,
     CAST('0x' || substr(sha256('0:' || CAST(unnamed AS INT) || ':' || source), 1, 8) AS BIGINT) % 2147483648 AS shift
   FROM targets),
-ranks AS (SELECT *, row_number() OVER (PARTITION BY unnamed, source ORDER BY size, doc_id) - 1 AS rank FROM sized)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(size * (step // 2147483648 + CASE WHEN ((rank % 2147483648) * (step % 2147483648) + shift) % 2147483648 + step % 2147483648 >= 2147483648 THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM ranks JOIN steps USING (unnamed, source)
+ranks AS (SELECT *, row_number() OVER (PARTITION BY unnamed, source ORDER BY size, doc_id) - 1 AS rank FROM sized),
+mixes AS (
+  SELECT unnamed, source, doc_id, size, source_size, target, k,
+    size * (step // 2147483648 + CASE WHEN ((rank % 2147483648) * (step % 2147483648) + shift + k * 67108864) % 2147483648 + step % 2147483648 >= 2147483648 THEN 1 ELSE 0 END) AS taken
+  FROM ranks JOIN steps USING (unnamed, source), range(32) t(k)),
+best AS (SELECT unnamed, source, arg_min(k, (miss, k)) AS k FROM (SELECT unnamed, source, k, abs(sum(taken) - any_value(target)) AS miss FROM mixes GROUP BY unnamed, source, k) m GROUP BY unnamed, source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(taken AS BIGINT) AS taken FROM mixes JOIN best USING (unnamed, source, k)
 """

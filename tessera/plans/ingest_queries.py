@@ -9,6 +9,7 @@ from ..functions import hashing as H
 from ..functions import urls as U
 from ..functions.addresses import is_blocked, ranges_of, with_range
 from ..functions.html import extracted
+from ..lineage import checkpointed, stored
 from ..operators.frontier import crawl_order, start_times
 from ..operators.jobs import latest_upsert
 from ..operators.lifecycle import crawl_frontier, live_documents, retry_delay, upsert
@@ -86,9 +87,11 @@ def simhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def near_dup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-wins near-duplicate pages by extracted content, in order of page id."""
-    pages = extracted(table(spark, sf_dir, "pages")).select("page_id", "content", "content_hash").persist()
-    unique = H.exact_first(pages, "content_hash").filter("kept").drop("kept")
-    prints = H.exact_first(H.simhash64(unique, "content"), "simhash").filter("kept").drop("kept").persist()
+    # Contents are extracted once; only their hashes and fingerprints are shuffled.
+    pages = stored(extracted(table(spark, sf_dir, "pages")).select("page_id", "content", "content_hash"), "pages")
+    unique = H.exact_first(pages.select("page_id", "content_hash"), "content_hash").filter("kept").select("page_id")
+    prints = checkpointed(H.simhash64(pages, "content").join(unique, "page_id", "left_semi"))
+    prints = checkpointed(H.exact_first(prints, "simhash").filter("kept").drop("kept"))
     near = H.first_wins(prints, H.near_pairs(prints))
     return pages.select("page_id").join(near, "page_id", "left").select("page_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 

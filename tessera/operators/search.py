@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +118,25 @@ def synonym_pairs(spark: SparkSession, groups: list[tuple[list[str], bool]], set
     return spark.createDataFrame([(t, e) for t, es in found.items() for e in es], "term string, expansion string")
 
 
+def enabled_synonyms(sets: DataFrame, settings: IndexSettings = IndexSettings()) -> DataFrame:
+    """``synonym_pairs`` of a stored table (set_id, enabled, one_way, terms), read when a query is asked.
+
+    Only enabled sets count, in order of ``set_id``: a one-way set replaces what its first token had
+    from the sets before it, so of a token's pairs those from its last one-way set on are kept.
+    """
+
+    @F.pandas_udf("array<string>")
+    def tokens(names: pd.Series) -> pd.Series:
+        return names.map(lambda some: list(dict.fromkeys(t for n in some if n is not None for t, _, _ in analyze_text(n, settings))) if some is not None else [])
+
+    own = sets.filter("enabled").select("set_id", "one_way", tokens("terms").alias("t")).filter("size(t) >= 2")
+    one = own.filter("one_way").select("set_id", F.lit(True).alias("one"), F.col("t")[0].alias("term"), F.explode(F.slice("t", 2, 1 << 20)).alias("expansion"))
+    two = own.filter("NOT one_way").select("set_id", F.lit(False).alias("one"), "t", F.explode("t").alias("term")).select("set_id", "one", "term", F.explode("t").alias("expansion")).filter("term <> expansion")
+    pairs = one.unionByName(two)
+    last = pairs.groupBy("term").agg(F.max(F.when(F.col("one"), F.col("set_id"))).alias("last"))
+    return pairs.join(last, "term").filter("last IS NULL OR set_id >= last").select("term", "expansion").distinct()
+
+
 def expand(terms: DataFrame, vocabulary: DataFrame, settings: IndexSettings = IndexSettings(), synonyms: DataFrame | None = None, typo: bool = True, variants: DataFrame | None = None) -> DataFrame:
     """(query_id, term): each query's distinct terms after expansion, all of equal weight."""
     out = terms.select("query_id", "term")

@@ -175,3 +175,12 @@ def test_request_limits():
         SearchRequest(limit=0)
     with pytest.raises(ValueError):
         SearchRequest(query="x" * 1001)
+
+
+def test_enabled_synonyms(spark):
+    rows = [(1, True, False, ["car", "Autos", "vehicle"]), (2, True, True, ["car", "sedan"]), (3, True, False, ["car", "cab"]), (4, False, False, ["car", "lorry"]), (5, True, True, ["bike", "bicycle", "two wheeler"]), (6, True, False, ["alone"]), (7, True, True, ["bike", "cycle"]), (8, True, False, None)]
+    sets = spark.createDataFrame(rows, "set_id long, enabled boolean, one_way boolean, terms array<string>")
+    want = S.synonym_pairs(spark, [(t or [], w) for _, on, w, t in rows if on], SETTINGS)
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    assert pairs(S.enabled_synonyms(sets, SETTINGS)) == pairs(want.select("term", "expansion"))
+    assert ("car", "lorry") not in pairs(want)

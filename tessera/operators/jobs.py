@@ -31,14 +31,16 @@ def _before(at: str, now: Column, seconds: int) -> Column:
     return F.unix_micros(at) <= F.unix_micros(now) - seconds * 1_000_000
 
 
-def lost(outbox: DataFrame, jobs: DataFrame, now: Column, seconds: int = LOST_SECONDS, k: int = DISPATCH_BATCH) -> DataFrame:
-    """Deliveries to look at: not touched for a while, of jobs still queued that nobody asked to cancel, the longest untouched first.
+def lost(outbox: DataFrame, jobs: DataFrame, now: Column, seconds: int = LOST_SECONDS, k: int | None = None) -> DataFrame:
+    """Deliveries to look at: not touched for a while, of jobs still queued that nobody asked to cancel.
 
-    Whoever looks at them sets ``updated_at``, also where nothing is wrong, so the next look takes others.
+    All of them, or the ``k`` longest untouched, the longest first.  Whoever looks at them sets
+    ``updated_at``, also where nothing is wrong, so the next look takes others.
     """
     old = outbox.filter(F.col("dispatched_at").isNotNull() & _before("updated_at", now, seconds))
     waiting = jobs.filter("state = 'queued' AND NOT cancel_requested").select("job_id")
-    return old.join(waiting, "job_id", "left_semi").orderBy("updated_at", "job_id").limit(k)
+    found = old.join(waiting, "job_id", "left_semi")
+    return found if k is None else found.orderBy("updated_at", "job_id").limit(k)
 
 
 def execution(now: Column) -> Column:

@@ -220,7 +220,7 @@ def dispatch_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_time(J.to_dispatch(box).select("job_id", F.col("created_at").alias("dispatched_at")), "dispatched_at")
 
 
-@register(f"WITH {_JOBS} SELECT o.job_id FROM outbox o JOIN jobs j ON j.job_id = o.job_id WHERE state = 'running' AND o.job_id % 6 <> 0 AND epoch_us(dispatched_at) <= epoch_us(TIMESTAMP '1998-01-01') - 30000000 ORDER BY dispatched_at, o.job_id LIMIT 25")
+@register(f"WITH {_JOBS} SELECT o.job_id FROM outbox o JOIN jobs j ON j.job_id = o.job_id WHERE state = 'running' AND o.job_id % 6 <> 0 AND epoch_us(dispatched_at) <= epoch_us(TIMESTAMP '1998-01-01') - 30000000")
 def reconcile_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One job in six was asked to cancel."""
     jobs = jobs_table(spark, sf_dir).withColumns({"state": F.when(F.col("state") == "running", "queued").otherwise(F.col("state")), "cancel_requested": F.col("job_id") % 6 == 0})

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import control as C
+from tessera.operators import jobs as J
 from tessera.operators import queue as Q
 from tessera.streaming import outbox
 from tessera.streaming.timers import JobTimers
@@ -181,3 +182,11 @@ def test_single_requests_are_refused(spark, zone):
         assert rows(C.add_usage(counters, verdicts), "project_id", "period", "used", "rejected") == [(1, "2024-03", 15, 2), (2, "2024-03", 20, 3), (3, "2024-03", 1, 0), (4, "2024-01", 1, 0), (4, "2024-02", 0, 1), (5, "2024-03", 7, 0)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_reconcile_lost_looks_at_all(spark):
+    long_ago = ago(500)
+    jobs = spark.range(80).select(F.col("id").alias("job_id"), F.lit("queued").alias("state"), (F.col("id") % 4 == 0).alias("cancel_requested"))
+    box = spark.range(80).select(F.col("id").alias("job_id"), *(F.lit(long_ago).cast("timestamp").alias(c) for c in ("dispatched_at", "updated_at")))
+    assert rows(J.lost(box, jobs, now()), "job_id") == [(i,) for i in range(80) if i % 4]
+    assert rows(J.lost(box, jobs, now(), k=3), "job_id") == [(1,), (2,), (3,)]

@@ -48,13 +48,14 @@ def execution(now: Column) -> Column:
     return F.sha2(F.concat_ws(":", "job_id", F.unix_seconds(now).cast("string")), 256)
 
 
-def stale(jobs: DataFrame, now: Column, seconds: int = STALE_SECONDS, k: int = DISPATCH_BATCH) -> DataFrame:
+def stale(jobs: DataFrame, now: Column, seconds: int = STALE_SECONDS, k: int | None = None) -> DataFrame:
     """Running crawls and index builds without a heartbeat, to be queued anew under a new execution id.
 
-    Jobs that were asked to cancel are left to their worker.  The longest silent come first.
+    Jobs that were asked to cancel are left to their worker.  All of them, or the ``k`` longest silent.
     """
     old = jobs.filter("state = 'running' AND NOT cancel_requested").filter(F.col("type").isin("crawl", "index") & _before("updated_at", now, seconds))
-    return old.orderBy("updated_at", "job_id").limit(k).withColumns({"state": F.lit("queued"), "execution_id": execution(now), "updated_at": now})
+    first = old if k is None else old.orderBy("updated_at", "job_id").limit(k)
+    return first.withColumns({"state": F.lit("queued"), "execution_id": execution(now), "updated_at": now})
 
 
 def ended_entries(outbox: DataFrame, jobs: DataFrame, now: Column, days: int = RETENTION_DAYS, k: int | None = None) -> DataFrame:

@@ -227,7 +227,7 @@ def reconcile_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.lost(outbox_table(spark, sf_dir).withColumn("updated_at", F.col("dispatched_at")), jobs, F.lit("1998-01-01").cast("timestamp")).select("job_id")
 
 
-@register(f"WITH {_JOBS} SELECT job_id FROM jobs WHERE state = 'running' AND job_id % 6 <> 0 AND job_id % 5 <> 0 AND epoch_us(created_at) <= epoch_us(TIMESTAMP '1997-01-01') - 120000000 ORDER BY created_at, job_id LIMIT 25")
+@register(f"WITH {_JOBS} SELECT job_id FROM jobs WHERE state = 'running' AND job_id % 6 <> 0 AND job_id % 5 <> 0 AND epoch_us(created_at) <= epoch_us(TIMESTAMP '1997-01-01') - 120000000")
 def recover_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One job in six was asked to cancel, and one in five is of another kind."""
     jobs = jobs_table(spark, sf_dir).withColumns({"updated_at": F.col("created_at"), "cancel_requested": F.col("job_id") % 6 == 0, "type": F.when(F.col("job_id") % 5 == 0, "cleanup").otherwise("crawl")})

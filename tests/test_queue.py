@@ -190,3 +190,9 @@ def test_reconcile_lost_looks_at_all(spark):
     box = spark.range(80).select(F.col("id").alias("job_id"), *(F.lit(long_ago).cast("timestamp").alias(c) for c in ("dispatched_at", "updated_at")))
     assert rows(J.lost(box, jobs, now()), "job_id") == [(i,) for i in range(80) if i % 4]
     assert rows(J.lost(box, jobs, now(), k=3), "job_id") == [(1,), (2,), (3,)]
+
+
+def test_recover_stale_takes_all(spark):
+    jobs = spark.range(80).select(F.col("id").alias("job_id"), F.lit("crawl").alias("type"), F.lit("running").alias("state"), F.lit("e").alias("execution_id"), (F.col("id") % 4 == 0).alias("cancel_requested"), F.lit(ago(500)).cast("timestamp").alias("updated_at"))
+    assert rows(J.stale(jobs, now()), "job_id", "state") == [(i, "queued") for i in range(80) if i % 4]
+    assert rows(J.stale(jobs, now(), k=3), "job_id") == [(1,), (2,), (3,)]

@@ -182,11 +182,25 @@ def normalize_arabic_text(text: str, how: Arabic = Arabic()) -> str:
     return text.replace(TAA_MARBUTA, HA) if how.taa_marbuta else text
 
 
+#: Texts without these characters are Latin: they have no Arabic letter, and ``re`` sees their words as ``regex`` does.
+_BEYOND_LATIN = re.compile("[^\u0000-\u024f]")
+_LATIN_WORDS, _ASCII_WORDS = re.compile(r"[^\W_]+"), re.compile("[0-9A-Za-z]+")
+
+
 def normalize_text(text: str, settings: IndexSettings = IndexSettings()) -> str:
+    if text.isascii():
+        return text.lower()
+    plain = unicodedata.normalize("NFKC", text).lower()
+    if not _BEYOND_LATIN.search(plain):
+        return plain
     return normalize_arabic_text(unicodedata.normalize("NFKC", text).lower(), settings.arabic)
 
 
 def split_words(text: str) -> list[str]:
+    if text.isascii():
+        return _ASCII_WORDS.findall(text)
+    if not _BEYOND_LATIN.search(text):
+        return _LATIN_WORDS.findall(text)
     import regex
 
     return regex.findall(r"[\p{L}\p{N}]+", text)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.distance import deletion_variants
-from ..functions.text import analyzed, as_text, normalize_text, split_words, term_of, token_count
+from ..functions.text import analyzed, as_text, normalize_text, split_words, term_of
 from ..lineage import stored
 from ..settings import IndexSettings
 
@@ -28,8 +28,8 @@ DEFAULT_FIELDS = ("title", "headings", "content", "url", "tags")
 MOST_PUSHED = 200
 #: How many of a prefix's terms, in their order, completions are chosen from, for each one asked for and at least.
 PER_COMPLETION, LEAST_COMPLETIONS, MOST_COMPLETIONS = 4, 20, 20
-#: Postings are handed on in batches of so many.
-HELD = 1 << 17
+#: Words are grouped in batches of so many, and a task remembers the terms of so many.
+HELD, KNOWN = 1 << 18, 1 << 20
 SPLIT_BYTES = 128 << 20
 
 
@@ -95,46 +95,58 @@ def field_texts(docs: DataFrame, fields: list[str]) -> DataFrame:
     return docs.select("doc_id", texts.alias("x")).select("doc_id", "x.field", "x.text").filter("text IS NOT NULL")
 
 
+class _Numbers(dict):
+    """Each word's number, that of its term in ``terms``; 0 for stop words."""
+
+    def __init__(self, settings: IndexSettings):
+        self.settings, self.terms, self.number = settings, [""], {"": 0}
+
+    def __missing__(self, word: str) -> int:
+        term = term_of(word, self.settings)
+        found = self.number.setdefault(term, len(self.terms))
+        if found == len(self.terms):
+            self.terms.append(term)
+        self[word] = found
+        return found
+
+
 def postings(docs: DataFrame, fields: list[str], settings: IndexSettings = IndexSettings()) -> DataFrame:
     """field, term, doc_id, tf, positions, len: each text's tokens by term, grouped where the text is."""
     texts = field_texts(docs, fields)
     doc_id = texts.schema["doc_id"]
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
+        known = _Numbers(settings)
         for batch in batches:
-            rows, terms, sizes, at, lens = [], [], [], [], []
+            first, sizes, found = 0, [], []
             for i, text in enumerate(batch.column("text")):
-                own: dict[str, list[int]] = {}
-                n = 0
-                for pos, word in enumerate(split_words(normalize_text(text.as_py(), settings))):
-                    term = known.get(word)
-                    if term is None:
-                        if len(known) >= 1 << 20:
-                            known.clear()
-                        term = known[word] = term_of(word, settings)
-                    if term:
-                        n += 1
-                        if term in own:
-                            own[term].append(pos)
-                        else:
-                            own[term] = [pos]
-                rows += [i] * len(own)
-                terms += own
-                sizes += map(len, own.values())
-                for places in own.values():
-                    at += places
-                lens += [n] * len(own)
-                if len(rows) >= HELD:
-                    yield whole(batch, rows, terms, sizes, at, lens)
-                    rows, terms, sizes, at, lens = [], [], [], [], []
-            if rows:
-                yield whole(batch, rows, terms, sizes, at, lens)
-
-    def whole(batch: pa.RecordBatch, rows: list[int], terms: list[str], sizes: list[int], at: list[int], lens: list[int]) -> pa.RecordBatch:
-        take, counts = pa.array(rows, pa.int32()), np.array(sizes, np.int64)
-        places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(at, pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column("field").take(take), pa.array(terms, pa.string()), batch.column("doc_id").take(take), pa.array(counts), places, pa.array(lens, pa.int64())], ["field", "term", "doc_id", "tf", "positions", "len"])
+                own = split_words(normalize_text(text.as_py(), settings))
+                found += map(known.__getitem__, own)
+                sizes.append(len(own))
+                if len(found) >= HELD:
+                    yield whole(batch, first, sizes, found, known.terms)
+                    first, sizes, found = i + 1, [], []
+                    if len(known) >= KNOWN:
+                        known = _Numbers(settings)
+            if found:
+                yield whole(batch, first, sizes, found, known.terms)
+
+    def whole(batch: pa.RecordBatch, first: int, sizes: list[int], found: list[int], terms: list[str]) -> pa.RecordBatch:
+        term, n = np.array(found, np.int64), np.array(sizes, np.int64)
+        row = np.repeat(np.arange(n.size), n)
+        pos = np.arange(term.size) - np.repeat(np.cumsum(n) - n, n)
+        if 0 in term:
+            row, pos, term = row[term > 0], pos[term > 0], term[term > 0]
+        key = row * len(terms) + term
+        order = np.argsort(key, kind="stable")
+        head = np.flatnonzero(np.diff(key[order], prepend=-1))
+        counts = np.diff(np.append(head, key.size))
+        row, term = row[order[head]], term[order[head]]
+        used, which = np.unique(term, return_inverse=True)
+        take = pa.array(row + first)
+        places = pa.ListArray.from_arrays(pa.array(np.append(head, key.size).astype(np.int32)), pa.array(pos[order].astype(np.int32)))
+        lens = np.bincount(row, counts, n.size).astype(np.int64)[row]
+        return pa.RecordBatch.from_arrays([batch.column("field").take(take), pa.array([terms[t] for t in used.tolist()], pa.string()).take(pa.array(which)), batch.column("doc_id").take(take), pa.array(counts), places, pa.array(lens)], ["field", "term", "doc_id", "tf", "positions", "len"])
 
     kinds = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), doc_id, T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType())), T.StructField("len", T.LongType())])
     return texts.select("doc_id", "field", "text").mapInArrow(grouped, kinds)
@@ -158,7 +170,28 @@ def prefix_table(vocabulary: DataFrame, most: int = PER_COMPLETION * MOST_COMPLE
 
 def field_lengths(docs: DataFrame, fields: list[str], settings: IndexSettings = IndexSettings()) -> DataFrame:
     """doc_id, field, len: counted within each text, without a shuffle."""
-    return field_texts(docs, fields).select("doc_id", "field", token_count(F.col("text"), settings).cast("long").alias("len")).filter("len > 0")
+    texts = field_texts(docs, fields)
+    stops = any(settings.stop_words.values())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (split_words(normalize_text(text.as_py(), settings)) for text in batch.column("text"))
+            sizes = pa.array([sum(term_of(w, settings) != "" for w in own) if stops else len(own) for own in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("field"), sizes], ["doc_id", "field", "len"])
+
+    kinds = T.StructType([texts.schema["doc_id"], T.StructField("field", T.StringType()), T.StructField("len", T.LongType())])
+    out = texts.select("doc_id", "field", "text").mapInArrow(counted, kinds).filter("len > 0")
+    return out.groupBy("doc_id", "field").agg(F.sum("len").alias("len")) if _repeats(docs) else out
+
+
+def _repeats(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def text_counts(docs: DataFrame, fields: list[str], settings: IndexSettings = IndexSettings()) -> DataFrame:
+    """doc_id, field, term, tf: counted within each text, without a shuffle unless an id repeats."""
+    out = postings(docs, fields, settings).select("doc_id", "field", "term", "tf")
+    return out.groupBy("doc_id", "field", "term").agg(F.sum("tf").alias("tf")) if _repeats(docs) else out
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
@@ -210,7 +243,8 @@ def typo_dictionary(vocabulary: DataFrame, most: int = 2) -> DataFrame:
 
 def checksum(df: DataFrame) -> str:
     """A digest of a table's rows that doesn't depend on their order."""
-    cols = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)]
+    lists = {c for c, kind in df.dtypes if kind.startswith("array")}  # are hashed as they are, which is faster than as text
+    cols = [F.coalesce(F.xxhash64(c).cast("string") if c in lists else F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)]
     row = df.select(F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit(1), *cols).alias("g")).agg(F.count("*"), F.bit_xor("h"), F.expr("sum(cast(g as decimal(38, 0)))")).first()
     import hashlib
 

@@ -13,7 +13,7 @@ from ..functions.text import analyze_offsets, snippet, with_stems, words
 from ..operators import explorer as X
 from ..operators import search as S
 from ..operators.filters import condition, with_body
-from ..operators.index import build, field_lengths, field_tokens, spread, term_counts
+from ..operators.index import build, field_lengths, field_tokens, spread, text_counts
 from .common import INDEX_SQL, SETTINGS, TOKENS_SQL, Registry, active_index, search_docs, stem_sql, table
 
 register = Registry()
@@ -53,7 +53,7 @@ def stem_english_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with(INDEX_SQL) + "SELECT doc_id, term, tf FROM post WHERE field = 'content'")
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_counts(field_tokens(spread(search_docs(spark, sf_dir)), ["content"])).select("doc_id", "term", "tf")
+    return text_counts(spread(search_docs(spark, sf_dir)), ["content"]).select("doc_id", "term", "tf")
 
 
 @register(_with(INDEX_SQL) + "SELECT doc_id, field, CAST(len AS BIGINT) AS len FROM lens")
@@ -155,7 +155,7 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT doc_id, sum(value) AS score FROM parts JOIN q USING (term) GROUP BY doc_id) s) r WHERE rank <= 20"""
 )
 def expanded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = active_index(spark, sf_dir)
+    index = active_index(spark, sf_dir, "prefixes")
     terms = S.expand_in(index, _terms(spark, {"q": "reti inhe"}), _synonyms(spark), typo=False)
     return S.top(S.score(index, terms), 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
@@ -196,7 +196,7 @@ FROM (SELECT *, damerau_levenshtein(term, expansion) AS distance FROM q JOIN voc
 
 @register(_with(INDEX_SQL, _VOCAB, _terms_sql(_TYPOS), _TYPO_CTE) + "SELECT query_id, term, expansion, CAST(distance AS INTEGER) AS distance FROM typos WHERE n <= 12")
 def typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = active_index(spark, sf_dir)
+    index = active_index(spark, sf_dir, "variants")
     return S.stored_typo_candidates(index, _terms(spark, _TYPOS)).withColumn("distance", F.col("distance").cast("int"))
 
 
@@ -206,7 +206,7 @@ def typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT doc_id, sum(value) AS score FROM parts JOIN grown USING (term) GROUP BY doc_id) s) r WHERE rank <= 20"""
 )
 def typo_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = active_index(spark, sf_dir)
+    index = active_index(spark, sf_dir, "prefixes", "variants")
     terms = S.expand_in(index, _terms(spark, {"t": "ertionn"}))
     return S.top(S.score(index, terms), 20).select(F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
@@ -303,7 +303,7 @@ def filter_json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_with(INDEX_SQL, _VOCAB) + "SELECT value, score FROM (SELECT expansion AS value, CAST(df AS BIGINT) AS score FROM vocab WHERE starts_with(expansion, 'reti') ORDER BY expansion LIMIT 40) x ORDER BY score DESC, value LIMIT 10")
 def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.autocomplete(active_index(spark, sf_dir), "the reti", 10)
+    return S.autocomplete(active_index(spark, sf_dir, "prefixes"), "the reti", 10)
 
 
 @register(_with(INDEX_SQL, _terms_sql({"q": PLAIN})) + "SELECT query_id, concat('bm25:', field, ':', term) AS component, round(value, 6) AS value FROM parts JOIN q USING (term) WHERE doc_id = (SELECT min(doc_id) FROM parts JOIN q USING (term))")
@@ -337,7 +337,7 @@ SELECT doc_id, field, term, CAST(start AS INTEGER) AS "start", CAST(start + size
 )
 def highlight_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 12 ranges of expanded terms per hit, title before content, for the first page only."""
-    index = active_index(spark, sf_dir)
+    index = active_index(spark, sf_dir, "prefixes")
     terms = S.expand_in(index, _terms(spark, {"q": "reti inhe"}), _synonyms(spark), typo=False).persist()
     wanted = {r.term for r in terms.collect()}  # bounded by the query's length and the limits of expansion
     page = S.top(S.score(index, terms), 10).select("doc_id").join(index.docs.select("doc_id", "title", "content"), "doc_id")

@@ -26,12 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import checkpointed
-from ..operators.index import Index, averages, bucket_of, checksum, dictionary, posted_lengths, prefix_table, typo_dictionary
+from ..operators.index import Index, averages, bucket_of, checksum, dictionary, prefix_table, typo_dictionary
 from ..settings import Arabic, IndexSettings
 from . import claims
 
 _NAME = re.compile(r"[A-Za-z0-9_-]+")
-TABLES = ("docs", "postings", "lengths", "dictionary", "averages", "variants", "prefixes")
+TABLES = ("docs", "postings", "lengths", "dictionary", "averages")
+#: Tables for typos and prefixes; they follow from the dictionary and may be added to a version later.
+LOOKUPS = ("variants", "prefixes")
 MANIFEST = "index_id string, version string, sequence long, n_docs long, settings string, checksums string, buckets string"
 #: Keys of tables that are kept in buckets, and rows of a bucket.
 KEYS = {"postings": "term", "variants": "variant", "prefixes": "prefix"}
@@ -57,6 +59,18 @@ def _sorted_write(df: DataFrame, place: str, by: list[str]) -> None:
     _written(df.repartitionByRange(tasks, *by).sortWithinPartitions(*by), place, "bucket" in by)
 
 
+def _write_postings(df: DataFrame, place: str, buckets: int) -> None:
+    """Writes postings by bucket, sorted.  A bucket is one task's; one that a frequent term makes larger
+    is dealt to several by document, so its parts are sorted each."""
+    sizes = df.groupBy("bucket").count()
+    large = sizes.select("bucket", F.ceil(F.col("count") / (4 * BUCKET_ROWS)).cast("int").alias("__parts")).filter("__parts > 1")
+    dealt = df.join(F.broadcast(large), "bucket", "left")  # at most one row for so many postings
+    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("__parts", F.lit(1)))
+    tasks = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = dealt.repartition(tasks, "bucket", part).drop("__parts").sortWithinPartitions("bucket", "term", "doc_id")
+    _written(sorted_, place, True)
+
+
 def _written(df: DataFrame, place: str, bucketed: bool) -> None:
     out = df.write.mode("errorifexists").option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
     (out.partitionBy("bucket") if bucketed else out).parquet(place)
@@ -66,7 +80,7 @@ def _buckets(rows: int) -> int:
     return max(1, -(-rows // BUCKET_ROWS))
 
 
-def write_version(index: Index, root: str, index_id: str, version: str) -> str:
+def write_version(index: Index, root: str, index_id: str, version: str, lookups: tuple[str, ...] = LOOKUPS) -> str:
     """Claims the version's name and number, writes all tables, then the manifest.
 
     The smaller tables are independent jobs over the written postings and run side by side.
@@ -77,7 +91,7 @@ def write_version(index: Index, root: str, index_id: str, version: str) -> str:
     sequence = claims.next_number(spark, f"{root}/{index_id}/sequence", version)
     most = index.settings.max_distance
     buckets = {"postings": _buckets(index.postings.count())}
-    _sorted_write(index.postings.withColumn("bucket", bucket_of(F.col("term"), buckets["postings"])), f"{place}/postings", ["bucket", "term", "doc_id"])
+    _write_postings(index.postings.withColumn("bucket", bucket_of(F.col("term"), buckets["postings"])), f"{place}/postings", buckets["postings"])
     stored = spark.read.parquet(f"{place}/postings")
     words = checkpointed(dictionary(stored))
     vocabulary = checkpointed(words.groupBy("term").agg(F.sum("df").alias("df")))
@@ -87,14 +101,11 @@ def write_version(index: Index, root: str, index_id: str, version: str) -> str:
     buckets["variants"], buckets["prefixes"] = (_buckets(int(x or 0)) for x in vocabulary.agg(F.sum(variants), F.sum(n)).first())
 
     def lengths_and_averages() -> None:
-        posted_lengths(stored).write.mode("errorifexists").parquet(f"{place}/lengths")
+        # As they were made, a text's postings lie together, so counts combine before the shuffle.
+        index.lengths.write.mode("errorifexists").parquet(f"{place}/lengths")
         averages(spark.read.parquet(f"{place}/lengths"), index.n_docs).coalesce(1).write.mode("errorifexists").parquet(f"{place}/averages")
         summed("lengths")
 
-    def by_bucket(df: DataFrame, name: str, by: list[str]) -> None:
-        df = df.withColumn("bucket", bucket_of(F.col(KEYS[name]), buckets[name]))
-        _written(df.repartition("bucket").sortWithinPartitions("bucket", *by), f"{place}/{name}", True)
-
     sums: dict[str, str] = {}
 
     def summed(name: str) -> None:
@@ -105,8 +116,7 @@ def write_version(index: Index, root: str, index_id: str, version: str) -> str:
         summed("dictionary")
 
     jobs = [
-        lambda: by_bucket(typo_dictionary(vocabulary, most), "variants", ["variant", "term"]),
-        lambda: by_bucket(prefix_table(vocabulary), "prefixes", ["prefix", "place"]),
+        *(lambda name=name: _write_lookup(vocabulary, place, name, buckets[name], most) for name in lookups),
         lambda: summed("postings"),
         sorted_words,
         lengths_and_averages,
@@ -120,6 +130,26 @@ def write_version(index: Index, root: str, index_id: str, version: str) -> str:
     return place
 
 
+def _write_lookup(vocabulary: DataFrame, place: str, name: str, buckets: int, most: int) -> None:
+    df, by = (typo_dictionary(vocabulary, most), ["variant", "term"]) if name == "variants" else (prefix_table(vocabulary), ["prefix", "place"])
+    df = df.withColumn("bucket", bucket_of(F.col(KEYS[name]), buckets))
+    _written(df.repartition("bucket").sortWithinPartitions("bucket", *by), f"{place}/{name}", True)
+
+
+def _has(spark: SparkSession, place: str, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/{name}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def write_lookup(spark: SparkSession, root: str, index_id: str, version: str, name: str) -> None:
+    """Adds one of ``LOOKUPS`` to a published version, unless it is there."""
+    place = _place(root, index_id, version)
+    if _has(spark, place, name):
+        return
+    index = read_version(spark, root, index_id, version, check=False)
+    _write_lookup(checkpointed(index.vocabulary), place, name, index.buckets[name], index.settings.max_distance)
+
+
 def _choose(n: Column, k: int) -> Column:
     """n over k."""
     out = F.lit(1)
@@ -139,7 +169,7 @@ def read_version(spark: SparkSession, root: str, index_id: str, version: str, ch
     raw = json.loads(m.settings)
     raw["arabic"] = Arabic(**raw["arabic"])
     settings = IndexSettings(**raw)
-    tables = {name: spark.read.parquet(f"{place}/{name}") for name in TABLES}
+    tables = {name: spark.read.parquet(f"{place}/{name}") for name in (*TABLES, *(name for name in LOOKUPS if _has(spark, place, name)))}
     if check:
         if tables["docs"].count() != m.n_docs:
             raise ValueError("the document count differs from the manifest")
@@ -183,7 +213,7 @@ def minimum_sequence(spark: SparkSession, root: str, index_id: str) -> int:
 def copied(spark: SparkSession, root: str, index_id: str, version: str, to: str) -> str:
     """A version's tables and manifest copied to another root, for a backup or from one, and checked there."""
     source, place = _place(root, index_id, version), _place(to, index_id, version)
-    for name in (*TABLES, "manifest"):
+    for name in (*TABLES, *(name for name in LOOKUPS if _has(spark, source, name)), "manifest"):
         df = spark.read.parquet(f"{source}/{name}")
         out = df.write.mode("errorifexists")
         (out.partitionBy("bucket") if "bucket" in df.columns else out).parquet(f"{place}/{name}")

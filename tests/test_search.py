@@ -184,3 +184,39 @@ def test_enabled_synonyms(spark):
     pairs = lambda df: sorted(map(tuple, df.collect()))
     assert pairs(S.enabled_synonyms(sets, SETTINGS)) == pairs(want.select("term", "expansion"))
     assert ("car", "lorry") not in pairs(want)
+
+
+def test_words_and_postings_of_odd_texts(spark):
+    import regex
+
+    from tessera.functions.text import normalize_text, split_words, term_of
+    from tessera.operators.index import field_lengths, postings, text_counts
+
+    # The short ways of Latin texts find what the general one finds.
+    odd = [chr(c) for c in range(0x260)] + ["İstanbul x²y ½", "áb ﬁne", "قال الكتاب", "Straße_12 ÀÉ"]
+    for text in odd:
+        both = f"ab{text}cd"
+        assert split_words(normalize_text(both)) == regex.findall(r"[\p{L}\p{N}]+", normalize_text(both)), repr(text)
+    docs = spark.createDataFrame([(1, "b a b", "x"), (2, None, ""), (3, "été, b! B", "..."), (1, "b", "x")], "doc_id long, content string, title string")
+    got = {(r.term, r.tf, tuple(r.positions), r.len) for r in postings(docs.filter("doc_id = 3"), ["content"]).collect()}
+    assert got == {(term_of("été"), 1, (0,), 3), ("b", 2, (1, 2), 3)}
+    assert {(r.doc_id, r.term, r.tf) for r in text_counts(docs, ["content"]).collect()} == {(1, "a", 1), (1, "b", 3), (3, term_of("été"), 1), (3, "b", 2)}
+    assert {(r.doc_id, r.field, r.len) for r in field_lengths(docs, ["content", "title"]).collect()} == {(1, "content", 4), (1, "title", 2), (3, "content", 3)}
+
+
+def test_lookups_of_a_version_come_later(spark, tmp_path):
+    from tessera.sources import segments
+
+    docs = spark.createDataFrame([(i, f"word{i} common apple") for i in range(30)], "doc_id long, content string")
+    root = str(tmp_path)
+    segments.write_version(build(docs, SETTINGS, ["content"]), root, "i", "v1", lookups=())
+    bare = segments.read_version(spark, root, "i", "v1")
+    assert bare.variants is None and bare.prefixes is None and bare.postings.count() == 90
+    for _ in range(2):
+        for name in segments.LOOKUPS:
+            segments.write_lookup(spark, root, "i", "v1", name)
+    full = segments.read_version(spark, root, "i", "v1")
+    segments.write_version(build(docs, SETTINGS, ["content"]), root, "i", "v2")
+    other = segments.read_version(spark, root, "i", "v2")
+    for name in segments.LOOKUPS:
+        assert checksum(getattr(full, name)) == checksum(getattr(other, name))

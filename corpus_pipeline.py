@@ -5,7 +5,8 @@ the same columns; the last returns packed token sequences.
 
 1. language identification: documents in which the network finds no language, or none
    with a pooled probability of 0.4, go; a null ``lang`` becomes the one it finds;
-2. near-duplicates by SimHash candidates and a Jaccard similarity of 0.8 or more on
+2. near-duplicates by SimHash: fingerprints of three-word shingles within two bits, found
+   through Golay keys, and beyond them texts with a Jaccard similarity of 0.8 or more on
    five-word shingles: one row of each group stays, the one with the smallest id (nulls
    last), and among rows of one id the one whose text has the smallest hash;
 3. benchmark decontamination: documents that hold a test phrase go;
@@ -40,7 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = similar_groups(docs, shingle=5, similarity=0.8)
+    groups = similar_groups(docs, shingle=5, similarity=0.8, distance=2)
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     mark = "__text"  # the texts' hashes, under a name that the documents don't have
     while mark.lower() in {c.lower() for c in docs.columns}:

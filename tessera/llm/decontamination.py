@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a slice of whole training texts (about eight megabytes) inside its
+A shard is a slice of whole training texts (about four megabytes) inside its
 Arrow batch.  Its word sequence is mapped to the benchmark's vocabulary; a word
 outside it ends a run, and runs shorter than the shortest test phrase can hold
 no match and are left out.  Over the remaining runs the shard gets an FM-index:
@@ -37,7 +37,7 @@ from .textbytes import PUNCTUATION, slices
 
 PHRASE_WORDS = 10
 SAMPLE = 8
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 RESULT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 

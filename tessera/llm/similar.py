@@ -22,6 +22,10 @@ bits (unrelated sets differ in 128, sets of a similarity of 0.8 in 40, or 48 if
 are very small) leave those within ``FAR_SKETCH`` to be compared by whole sets.
 So no key is too frequent, at a cost that grows there with the square of its nodes.
 
+Where a distance is given, the SimHash method itself comes first: fingerprints of three-word
+shingles linked through Golay keys of their segments and the pigeonhole principle, as
+``simhash.py`` has it.  Its groups stand, and the comparison of sets adds to them.
+
 A text of fewer words than a shingle is one shingle.  Texts without words, and
 nulls, are one group.
 """
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import checkpoint
-from .simhash import components
+from .simhash import components, fingerprints, links
 from .textbytes import BLANKS, grams, slices
 
 SHINGLE = 5
@@ -152,14 +156,35 @@ def in_cells(members: DataFrame, similarity: float, cell: int) -> DataFrame:
 
 
 def similar_groups(
-    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id", wide: int = WIDE, cell: int = CELL
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id", wide: int = WIDE, cell: int = CELL, distance: int | None = None
 ) -> DataFrame:
-    """(doc_id, text_hash, root) of each row: rows of one group have one root."""
+    """(doc_id, text_hash, root) of each row: rows of one group have one root.
+
+    With ``distance``, texts whose fingerprints (``simhash.py``) differ in so many bits or less are
+    linked first, by their Golay keys, and only texts that this leaves apart are compared as sets.
+    """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [node_of(s) for s in shingle_sets(batch.column("text"), shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.int64())], ["doc_id", "text_hash", "node"])
+            texts = batch.column("text")
+            found = [node_of(s) for s in shingle_sets(texts, shingle)]
+            prints = pa.nulls(batch.num_rows, pa.int64()) if distance is None else pa.array(fingerprints(texts).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.int64()), prints], ["doc_id", "text_hash", "node", "print"])
+
+    def printed() -> DataFrame:
+        """Links (a, b) of each node with the smallest one of its fingerprint's group."""
+        own = rows.groupBy("node", "print").count().select("node", F.col("print").alias("fp"))
+        own = checkpoint(own)
+        near = checkpoint(components(links(own.select("fp").distinct(), distance)))
+        own = own.join(near.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = own.groupBy("root").agg(F.min("node").alias("b"))
+        return checkpoint(own.join(least, "root").filter("node <> b").select(F.col("node").alias("a"), "b"))
+
+    def apart_of(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs that ``roots`` leave in different groups."""
+        for end in ("a", "b"):
+            pairs = pairs.join(roots.selectExpr(f"node as {end}", f"root as root_{end}"), end, "left")
+        return pairs.filter("coalesce(root_a, a) <> coalesce(root_b, b)").drop("root_a", "root_b")
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +237,8 @@ def similar_groups(
         return checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = checkpoint(source.mapInArrow(nodes, "doc_id long, text_hash long, node long"))
+    rows = checkpoint(source.mapInArrow(nodes, "doc_id long, text_hash long, node long, print long"))
+    linked = None if distance is None else printed()
     keys = source.select("text").mapInArrow(filed, "key long, node long, fp long, n int").repartition("key").dropDuplicates(["key", "node"])
     by = "over (partition by key order by node rows between"
     before = f"collect_list(struct(node, fp, n)) {by} {wide} preceding and 1 preceding) as met"
@@ -220,15 +246,15 @@ def similar_groups(
     near = f"m -> bit_count(m.fp ^ fp) <= if(n < {SMALL}, {FAR_SMALL}, {FAR}) AND least(m.n, n) >= {similarity}D * greatest(m.n, n) - 1e-9D"
     met = keys.selectExpr("key", "node", "fp", "n", before, crowd).filter("size(met) > 0 or crowded")
     met = checkpoint(met.selectExpr("key", "node", "n", "crowded", f"filter(met, {near}).node as met").filter("size(met) > 0 or crowded"))
-    pairs = checkpoint(met.selectExpr("explode(met) as a", "node as b").groupBy("a", "b").count())
+    pairs = met.selectExpr("explode(met) as a", "node as b").groupBy("a", "b").count()
+    pairs = checkpoint(pairs if linked is None else apart_of(pairs, components(linked)))
     sets = sets_of(pairs)
     first = pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).selectExpr("best.a as a", "b")
     edges = compared(first, sets)
+    edges = edges if linked is None else edges.unionByName(linked)
     roots = checkpoint(components(edges))
-    apart = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        apart = apart.join(roots.selectExpr(f"node as {end}", f"root as root_{end}"), end, "left")
-    edges = edges.unionByName(compared(apart.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), sets))
+    apart = apart_of(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
+    edges = edges.unionByName(compared(apart, sets))
     roots = checkpoint(components(edges))
     crowded = met.filter("crowded").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = crowded.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")

@@ -925,3 +925,23 @@ def test_digests(spark, sf_dir, corpus):
     kept = removed_words(list(texts_of(corpus).values()), 35)
     assert [row[i].kept_sha256 for i in texts_of(corpus)] == [hashlib.sha256(k.encode()).hexdigest() for *_, k in kept]
     assert sum(p.rows for p in slices(__import__("pyarrow").array(["a", None]), BLANKS)) == 2
+
+
+def test_pipeline_links_fingerprints(spark):
+    import corpus_pipeline
+
+    # A few words of a text that repeats itself are replaced: within two bits, though the sets of shingles are far apart.
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(12)] * 30
+    near = None
+    for _ in range(400):
+        other = base.copy()
+        for i in rng.integers(0, len(other), 6).tolist():
+            other[i] = f"z{rng.integers(0, 10**6)}"
+        if bin(fingerprint(" ".join(base)) ^ fingerprint(" ".join(other))).count("1") <= 2 and len(shingled(" ".join(base)) & shingled(" ".join(other))) < 0.8 * len(shingled(" ".join(base)) | shingled(" ".join(other))):
+            near = other
+            break
+    assert near is not None
+    texts = [" ".join(base), " ".join(near), "a text of its own"]
+    assert len({r.root for r in similar.similar_groups(documents(spark, texts)).collect()}) == 3
+    assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, documents(spark, texts), "").collect()} == {0, 2}

@@ -88,7 +88,7 @@ def simhash64(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dup_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-wins near-duplicate pages by extracted content, in order of page id."""
     # Contents are extracted once; only their hashes and fingerprints are shuffled.
-    pages = stored(extracted(table(spark, sf_dir, "pages")).select("page_id", "content", "content_hash"), "pages")
+    pages = stored(extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"), only=("content", "content_hash")).drop("url"), "pages")
     unique = H.exact_first(pages.select("page_id", "content_hash"), "content_hash").filter("kept").select("page_id")
     prints = checkpointed(H.simhash64(pages, "content").join(unique, "page_id", "left_semi"))
     prints = checkpointed(H.exact_first(prints, "simhash").filter("kept").drop("kept"))

@@ -166,3 +166,15 @@ def test_robots_answers_hold_for_an_hour(spark):
     assert found.columns == ["n", "origin", "at", "answered_at", "policy"]
     want = {1: "ask", 2: "parse", 3: "parse", 4: "disallow", 5: "disallow", 6: "ask", 7: "abort", 8: "ask", 9: "allow", 10: "ask", 11: "ask", 12: "ask"}
     assert {r.n: r.policy for r in found.collect()} == want
+
+
+def test_extraction_of_some_columns_in_parts(spark):
+    from tessera.functions.html import PART_ROWS, extract_page, extracted
+
+    pages = [(i, f"https://e.example/{i}", f"<html><body><h1>T{i}</h1><p>{'word ' * (i % 7)}</p></body></html>" if i % 50 else None) for i in range(2 * PART_ROWS + 3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    want = {(i, u, extract_page(h, u)["content"]) for i, u, h in pages}
+    some = extracted(df, only=("content",))
+    assert some.columns == ["page_id", "url", "content"] and {tuple(r) for r in some.collect()} == want
+    whole = extracted(df)
+    assert {(r.page_id, r.url, r.content) for r in whole.collect()} == want and "links" in whole.columns

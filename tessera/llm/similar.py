@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import checkpoint
+from .exchange import arrow_batches, checkpoint
 from .simhash import components, fingerprints, links
 from .textbytes import BLANKS, grams, slices
 
@@ -53,6 +53,10 @@ FAR_SMALL = 28
 WIDE = 16
 CELL = 1 << 14
 FAR_SKETCH = 80
+#: Bytes of an Arrow batch: ten thousand pairs of whole sets would take a task some hundred megabytes on either side.
+BATCH_BYTES = 4 << 20
+#: Nodes that are compared with others at once are so many pairs.
+COMPARED = 1 << 18
 #: Odd multipliers that make four further hashes of a shingle's.
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 #: Bits of the map of nodes to compare, and the most that are set one by one; beyond, every set is sent.
@@ -101,7 +105,7 @@ def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)
         for left, right in ((0, 1), (2, 2)):
             x, y = np.flatnonzero(side == left), np.flatnonzero(side == right)
-            step = max(1, (1 << 20) // max(1, y.size))
+            step = max(1, COMPARED // max(1, y.size))
             for at in range(0, x.size if y.size else 0, step):
                 p = x[at : at + step, None]
                 near = (root[p] != root[y]) & (np.minimum(n[p], n[y]) >= similarity * np.maximum(n[p], n[y]) - 1e-9)
@@ -111,7 +115,8 @@ def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
                 i, j = x[at + i], y[j]
                 close = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= FAR_SKETCH
                 i, j = node[i[close]], node[j[close]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+                if i.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
     for batch in batches:
         ids = batch.column("meeting").to_numpy()
@@ -237,33 +242,34 @@ def similar_groups(
         return checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = checkpoint(source.mapInArrow(nodes, "doc_id long, text_hash long, node long, print long"))
-    linked = None if distance is None else printed()
-    keys = source.select("text").mapInArrow(filed, "key long, node long, fp long, n int").repartition("key").dropDuplicates(["key", "node"])
-    by = "over (partition by key order by node rows between"
-    before = f"collect_list(struct(node, fp, n)) {by} {wide} preceding and 1 preceding) as met"
-    crowd = f"count(*) {by} unbounded preceding and unbounded following) > {wide + 1} as crowded"
-    near = f"m -> bit_count(m.fp ^ fp) <= if(n < {SMALL}, {FAR_SMALL}, {FAR}) AND least(m.n, n) >= {similarity}D * greatest(m.n, n) - 1e-9D"
-    met = keys.selectExpr("key", "node", "fp", "n", before, crowd).filter("size(met) > 0 or crowded")
-    met = checkpoint(met.selectExpr("key", "node", "n", "crowded", f"filter(met, {near}).node as met").filter("size(met) > 0 or crowded"))
-    pairs = met.selectExpr("explode(met) as a", "node as b").groupBy("a", "b").count()
-    pairs = checkpoint(pairs if linked is None else apart_of(pairs, components(linked)))
-    sets = sets_of(pairs)
-    first = pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).selectExpr("best.a as a", "b")
-    edges = compared(first, sets)
-    edges = edges if linked is None else edges.unionByName(linked)
-    roots = checkpoint(components(edges))
-    apart = apart_of(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
-    edges = edges.unionByName(compared(apart, sets))
-    roots = checkpoint(components(edges))
-    crowded = met.filter("crowded").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = crowded.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
-    crowded = checkpoint(crowded.join(mixed, "key", "left_semi"))
-    if not crowded.isEmpty():
-        sketches = source.select("text").mapInArrow(sketched(wanted(crowded.select("node"))), "node long, sketch binary").dropDuplicates(["node"])
-        cells = in_cells(crowded.select("key", "node", "n", "root").join(sketches, "node"), similarity, cell)
-        cells = cells.select("meeting", "side", "node", "n", "root", "sketch").repartition("meeting").sortWithinPartitions("meeting")
-        pairs = checkpoint(cells.mapInArrow(lambda batches: meetings(batches, similarity), "a long, b long").distinct())
-        if not pairs.isEmpty():
-            roots = checkpoint(components(edges.unionByName(compared(pairs, sets_of(pairs)))))
-    return rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        rows = checkpoint(source.mapInArrow(nodes, "doc_id long, text_hash long, node long, print long"))
+        linked = None if distance is None else printed()
+        keys = source.select("text").mapInArrow(filed, "key long, node long, fp long, n int").repartition("key").dropDuplicates(["key", "node"])
+        by = "over (partition by key order by node rows between"
+        before = f"collect_list(struct(node, fp, n)) {by} {wide} preceding and 1 preceding) as met"
+        crowd = f"count(*) {by} unbounded preceding and unbounded following) > {wide + 1} as crowded"
+        near = f"m -> bit_count(m.fp ^ fp) <= if(n < {SMALL}, {FAR_SMALL}, {FAR}) AND least(m.n, n) >= {similarity}D * greatest(m.n, n) - 1e-9D"
+        met = keys.selectExpr("key", "node", "fp", "n", before, crowd).filter("size(met) > 0 or crowded")
+        met = checkpoint(met.selectExpr("key", "node", "n", "crowded", f"filter(met, {near}).node as met").filter("size(met) > 0 or crowded"))
+        pairs = met.selectExpr("explode(met) as a", "node as b").groupBy("a", "b").count()
+        pairs = checkpoint(pairs if linked is None else apart_of(pairs, components(linked)))
+        sets = sets_of(pairs)
+        first = pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).selectExpr("best.a as a", "b")
+        edges = compared(first, sets)
+        edges = edges if linked is None else edges.unionByName(linked)
+        roots = checkpoint(components(edges))
+        apart = apart_of(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
+        edges = edges.unionByName(compared(apart, sets))
+        roots = checkpoint(components(edges))
+        crowded = met.filter("crowded").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = crowded.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
+        crowded = checkpoint(crowded.join(mixed, "key", "left_semi"))
+        if not crowded.isEmpty():
+            sketches = source.select("text").mapInArrow(sketched(wanted(crowded.select("node"))), "node long, sketch binary").dropDuplicates(["node"])
+            cells = in_cells(crowded.select("key", "node", "n", "root").join(sketches, "node"), similarity, cell)
+            cells = cells.select("meeting", "side", "node", "n", "root", "sketch").repartition("meeting").sortWithinPartitions("meeting")
+            pairs = checkpoint(cells.mapInArrow(lambda batches: meetings(batches, similarity), "a long, b long").distinct())
+            if not pairs.isEmpty():
+                roots = checkpoint(components(edges.unionByName(compared(pairs, sets_of(pairs)))))
+        return rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))

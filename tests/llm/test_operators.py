@@ -5,6 +5,7 @@ import hashlib
 import heapq
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -945,3 +946,25 @@ def test_pipeline_links_fingerprints(spark):
     texts = [" ".join(base), " ".join(near), "a text of its own"]
     assert len({r.root for r in similar.similar_groups(documents(spark, texts)).collect()}) == 3
     assert {r.doc_id for r in corpus_pipeline.deduplicate(spark, documents(spark, texts), "").collect()} == {0, 2}
+
+
+def test_compared_sets_and_sketches_are_bounded(spark, monkeypatch):
+    """Batches of whole sets and of sketches that meet follow a limit of bytes, not ten thousand rows or a million pairs."""
+    name, seen, plain = "spark.sql.execution.arrow.maxBytesPerBatch", [], similar.checkpoint
+    monkeypatch.setattr(similar, "checkpoint", lambda df: (seen.append(int(spark.conf.get(name, "0"))), plain(df))[1])
+    similar.similar_groups(documents(spark, near_copies(20, edits=1)))
+    assert seen and set(seen) == {similar.BATCH_BYTES} and spark.conf.get(name, None) is None
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+
+    with exchange.arrow_batches(spark, 1 << 20):
+        assert max(r.n for r in spark.range(3000).selectExpr("repeat('0123456789', 200) as t").mapInArrow(sizes, "n long").collect()) < 2 << 20
+    n = 2000
+    same = {"meeting": np.zeros(n, np.int64), "side": np.full(n, 2, np.int32), "node": np.arange(n), "n": np.full(n, 50, np.int32), "root": np.arange(n)}
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, same.values()), pa.array([bytes(32)] * n)], [*same, "sketch"])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in similar.meetings(iter([batch]), 0.8)) == n * (n - 1) // 2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20

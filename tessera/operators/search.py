@@ -203,13 +203,19 @@ def components(index: Index, terms: DataFrame, among: DataFrame | None = None, n
 def phrase_hits(index: Index, phrases: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, phrase) where a phrase's terms stand one after another in one field.
 
-    Positions minus ordinals agree for a whole phrase, so it is a group with as many
-    ordinals as the phrase has terms.  Only positions of the phrases' terms are unfolded.
+    Positions minus ordinals agree for a whole phrase, so what is left of the first term's
+    after those of the others must hold one.  A posting stays one row with its positions: the
+    tasks that read them keep nothing, and a group is a document's own postings of the phrase.
     """
     posts = index.rows("postings", names).select("field", "term", "doc_id", "positions").join(phrases, "term")
-    lined = posts.withColumn("pos", F.explode("positions")).drop("positions").withColumn("start", F.col("pos") - F.col("ordinal"))
-    whole = lined.groupBy("query_id", "phrase", "size", "field", "doc_id", "start").agg(F.countDistinct("ordinal").alias("n")).filter("n = size")
-    return whole.select("query_id", "doc_id", "phrase").distinct()
+    own = ["query_id", "phrase", "size", "field", "doc_id"]
+    starts = F.expr("transform(positions, p -> p - ordinal)").alias("starts")
+    # Dealt by document before they are grouped, or each reading task would sort all that it reads.
+    lined = posts.select(*own, F.struct("ordinal", starts).alias("x")).repartition("field", "doc_id")
+    held = lined.groupBy(*own).agg(F.collect_list("x").alias("xs")).filter("size(xs) >= size")
+    of = "flatten(transform(filter(xs, x -> x.ordinal = {0}), x -> x.starts))"
+    left = f"aggregate(if(size > 1, sequence(1, size - 1), array()), {of.format(0)}, (s, k) -> array_intersect(s, {of.format('k')}))"
+    return held.filter(f"size({left}) > 0").select("query_id", "doc_id", "phrase").distinct()
 
 
 def score(index: Index, terms: DataFrame, phrases: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:

@@ -40,6 +40,19 @@ def test_phrase(spark, index):
     assert hits(spark, index, 'soil "tomato seedlings"') == ["r1"]
 
 
+def test_phrases_keep_postings_whole(spark):
+    """Phrases of one, two and three terms, a term twice, and fields apart; positions aren't unfolded into rows."""
+    texts = ["a b a b c", "b a", "c b a a", "a x b", "b c", None]
+    rows = [(i, t, "b c" if i == 3 else None) for i, t in enumerate(texts)]
+    index = build(spark.createDataFrame(rows, "doc_id long, content string, title string"), SETTINGS)
+    words = {"one": "c", "two": "a b", "three": "a b c", "twice": "a a", "again": "a b a b", "fields": "b c"}
+    phrases = S.parsed_queries(spark, {name: f'"{text}"' for name, text in words.items()}, SETTINGS)[1]
+    found = S.phrase_hits(index, phrases)
+    want = {(name, i) for name, text in words.items() for i, t, title in rows for own in (t, title) if own and f" {text} " in f" {own} "}
+    assert sorted((r.query_id, r.doc_id) for r in found.collect()) == sorted(want)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("query,expected", [("tomatto", "r1"), ("seedlngs", "r1"), ("orchrad", "r2")])
 def test_typos(spark, index, query, expected):
     assert hits(spark, index, query) == [expected]

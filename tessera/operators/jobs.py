@@ -31,13 +31,18 @@ def _before(at: str, now: Column, seconds: int) -> Column:
     return F.unix_micros(at) <= F.unix_micros(now) - seconds * 1_000_000
 
 
+def old_entries(outbox: DataFrame, now: Column, seconds: int = LOST_SECONDS) -> DataFrame:
+    """Delivered entries that weren't touched for a while."""
+    return outbox.filter(F.col("dispatched_at").isNotNull() & _before("updated_at", now, seconds))
+
+
 def lost(outbox: DataFrame, jobs: DataFrame, now: Column, seconds: int = LOST_SECONDS, k: int | None = None) -> DataFrame:
     """Deliveries to look at: not touched for a while, of jobs still queued that nobody asked to cancel.
 
     All of them, or the ``k`` longest untouched, the longest first.  Whoever looks at them sets
     ``updated_at``, also where nothing is wrong, so the next look takes others.
     """
-    old = outbox.filter(F.col("dispatched_at").isNotNull() & _before("updated_at", now, seconds))
+    old = old_entries(outbox, now, seconds)
     waiting = jobs.filter("state = 'queued' AND NOT cancel_requested").select("job_id")
     found = old.join(waiting, "job_id", "left_semi")
     return found if k is None else found.orderBy("updated_at", "job_id").limit(k)
@@ -58,10 +63,14 @@ def stale(jobs: DataFrame, now: Column, seconds: int = STALE_SECONDS, k: int | N
     return first.withColumns({"state": F.lit("queued"), "execution_id": execution(now), "updated_at": now})
 
 
+def ended(jobs: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
+    """(job_id, finished_at) of jobs that ended long ago."""
+    return jobs.filter(F.col("state").isin(*TERMINAL) & _before("finished_at", now, days * 86400)).select("job_id", "finished_at")
+
+
 def ended_entries(outbox: DataFrame, jobs: DataFrame, now: Column, days: int = RETENTION_DAYS, k: int | None = None) -> DataFrame:
     """Delivered entries of jobs that ended long ago, the longest first."""
-    ended = jobs.filter(F.col("state").isin(*TERMINAL) & _before("finished_at", now, days * 86400)).select("job_id", "finished_at")
-    gone = outbox.filter(F.col("dispatched_at").isNotNull()).join(ended, "job_id").orderBy("finished_at", "job_id")
+    gone = outbox.filter(F.col("dispatched_at").isNotNull()).join(ended(jobs, now, days), "job_id").orderBy("finished_at", "job_id")
     return (gone if k is None else gone.limit(k)).select("job_id")
 
 

@@ -6,7 +6,9 @@ updated_at), schedules (source_id, enabled, interval_seconds, next_run_at), sour
 (source_id, enabled, deletion_requested_at), retries (source_id, retry_at), delivered
 (execution_id: what the broker still holds) and held (job_id: executions whose lock is taken).
 
-A step picks a bounded number of rows, the oldest first.  Picks are written once and joined
+A step picks a bounded number of rows, the oldest first.  Where they depend on a second table,
+the first ``AHEAD`` times as many are looked up there by broadcast, so large tables are read but not
+shuffled; only if too few of these pass are the tables joined whole.  Picks are written once and joined
 to the tables by broadcast, since their number is the step's limit; so the plan of a table
 grows by one join for each step and not by itself.  New ids are hashes of what they stand
 for and the tick's time: a tick that is repeated over the same tables makes the same rows.
@@ -14,15 +16,17 @@ for and the tick's time: a tick that is repeated over the same tables makes the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import checkpointed
+from ..lineage import checkpointed, stored
 from . import jobs as J
 
 STEP_LIMIT, PURGE_LIMIT = 25, 250
+AHEAD = 8
 TABLES = ("jobs", "outbox", "schedules", "sources", "retries", "delivered", "held")
 
 
@@ -39,7 +43,21 @@ class Queue:
 
 def cut(q: Queue) -> Queue:
     """The queue with the tables that a tick changes written and read again, so plans don't grow from tick to tick."""
-    return replace(q, **{name: checkpointed(getattr(q, name)) for name in ("jobs", "outbox", "schedules", "delivered")})
+    return replace(q, **{name: stored(getattr(q, name), name) for name in ("jobs", "outbox", "schedules", "delivered")})
+
+
+def _among(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` that have a key of ``few``, which is small."""
+    return df.join(F.broadcast(few.select(key)), key, "left_semi")
+
+
+def _first(rows: DataFrame, order: list[str], passing: Callable[[DataFrame, bool], DataFrame], k: int) -> DataFrame:
+    """The first ``k`` that ``passing`` leaves of ``rows``, which it is given in part, with True, or whole."""
+    head = checkpointed(rows.orderBy(*order).limit(AHEAD * k))
+    picked = checkpointed(passing(head, True).orderBy(*order).limit(k))
+    if picked.count() == k or head.count() < AHEAD * k:
+        return picked
+    return checkpointed(passing(rows, False).orderBy(*order).limit(k))
 
 
 def _live(sources: DataFrame) -> DataFrame:
@@ -76,13 +94,15 @@ def schedule(q: Queue, now: Column, k: int = STEP_LIMIT) -> Queue:
     """Crawls for live sources whose schedule is due.  A schedule of a source that isn't live moves on too; runs missed meanwhile count as one."""
     due = checkpointed(q.schedules.filter(F.col("enabled") & (F.col("next_run_at") <= now)).orderBy("next_run_at", "source_id").limit(k).select("source_id"))
     on = _update(q.schedules, due, "source_id", next_run_at=F.timestamp_seconds(F.unix_seconds(now) + F.col("interval_seconds")))
-    return _enqueued(replace(q, schedules=on), due.join(_live(q.sources), "source_id", "left_semi"), now)
+    return _enqueued(replace(q, schedules=on), due.join(_among(_live(q.sources), due, "source_id"), "source_id", "left_semi"), now)
 
 
 def recover(q: Queue, now: Column, k: int = STEP_LIMIT) -> Queue:
     """Stale running jobs queued anew and undelivered, but for those whose lock is still held."""
-    old = J.stale(q.jobs.join(q.outbox.select("job_id"), "job_id", "left_semi"), now, k=k).join(q.held.select("job_id"), "job_id", "left_anti")
-    picked = checkpointed(old.select("job_id", "execution_id"))
+    old = J.stale(q.jobs.withColumn("since", F.col("updated_at")), now).select("job_id", "execution_id", "since")
+    entries = q.outbox.select("job_id")
+    old = _first(old, ["since", "job_id"], lambda rows, few: rows.join(_among(entries, rows, "job_id") if few else entries, "job_id", "left_semi"), k)
+    picked = checkpointed(old.join(_among(q.held, old, "job_id"), "job_id", "left_anti").select("job_id", "execution_id"))
     jobs = _update(q.jobs, picked, "job_id", state=F.lit("queued"), execution_id=F.col("__pick.execution_id"), updated_at=now, finished_at=F.lit(None).cast("timestamp"))
     return replace(q, jobs=jobs, outbox=_update(q.outbox, picked, "job_id", dispatched_at=F.lit(None).cast("timestamp"), updated_at=now))
 
@@ -97,20 +117,23 @@ def dispatch(q: Queue, now: Column, k: int = STEP_LIMIT) -> tuple[Queue, DataFra
 
 def reconcile(q: Queue, now: Column, k: int = STEP_LIMIT) -> tuple[Queue, DataFrame]:
     """Sends again what the broker no longer holds.  All entries looked at go to the back of the line."""
-    picked = checkpointed(J.lost(q.outbox, q.jobs, now, k=k).select("job_id"))
-    gone = q.jobs.join(F.broadcast(picked), "job_id", "left_semi").select("job_id", "execution_id").join(q.delivered.select("execution_id"), "execution_id", "left_anti")
-    sent = checkpointed(gone.select("job_id", "execution_id"))
+    old = J.old_entries(q.outbox, now).select("job_id", "dispatched_at", "updated_at")
+    picked = _first(old, ["updated_at", "job_id"], lambda rows, few: J.lost(rows, _among(q.jobs, rows, "job_id") if few else q.jobs, now), k).select("job_id")
+    looked = checkpointed(_among(q.jobs, picked, "job_id").select("job_id", "execution_id"))
+    sent = checkpointed(looked.join(_among(q.delivered, looked, "execution_id"), "execution_id", "left_anti").select("job_id", "execution_id"))
     return _delivered(replace(q, outbox=_update(q.outbox, picked, "job_id", updated_at=now)), sent), sent
 
 
 def _delivered(q: Queue, sent: DataFrame) -> Queue:
-    fresh = sent.select("execution_id").join(q.delivered.select("execution_id"), "execution_id", "left_anti")
+    fresh = sent.select("execution_id").join(_among(q.delivered, sent, "execution_id"), "execution_id", "left_anti")
     return replace(q, delivered=q.delivered.select("execution_id").unionByName(fresh))
 
 
 def purge(q: Queue, now: Column, k: int = PURGE_LIMIT) -> Queue:
     """Drops delivered entries of jobs that ended a week ago."""
-    picked = checkpointed(J.ended_entries(q.outbox, q.jobs, now, k=k))
+    sent = q.outbox.filter(F.col("dispatched_at").isNotNull()).select("job_id")
+    ended = J.ended(q.jobs, now)
+    picked = _first(ended, ["finished_at", "job_id"], lambda rows, few: (_among(sent, rows, "job_id") if few else sent).join(rows, "job_id"), k).select("job_id")
     return replace(q, outbox=q.outbox.join(F.broadcast(picked), "job_id", "left_anti"))
 
 

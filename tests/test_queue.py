@@ -196,3 +196,22 @@ def test_recover_stale_takes_all(spark):
     jobs = spark.range(80).select(F.col("id").alias("job_id"), F.lit("crawl").alias("type"), F.lit("running").alias("state"), F.lit("e").alias("execution_id"), (F.col("id") % 4 == 0).alias("cancel_requested"), F.lit(ago(500)).cast("timestamp").alias("updated_at"))
     assert rows(J.stale(jobs, now()), "job_id", "state") == [(i, "queued") for i in range(80) if i % 4]
     assert rows(J.stale(jobs, now(), k=3), "job_id") == [(1,), (2,), (3,)]
+
+
+def test_steps_look_ahead_without_shuffling_tables(spark, monkeypatch):
+    """Where the first entries aren't to be picked, later ones are; a tick joins no table whole as long as enough of the first pass."""
+    monkeypatch.setattr(Q, "AHEAD", 2)
+    ended, T = "completed", ago(30 * 86400)
+    jobs = [job(f"a{i}", "cancelled" if i < 6 else "queued", finished=ago(8 * 86400)) for i in range(9)] + [job(f"r{i}", "running", updated=900 - i) for i in range(9)] + [job(f"z{i}", ended, finished=T) for i in range(6)]
+    outbox = [entry(f"a{i}", 900, 900, 900 - i) for i in range(9)] + [entry(f"r{i}", 900, 900, 0) for i in range(5, 9)]
+    q = queue(spark, jobs=jobs, outbox=outbox, held=["r5"])
+    assert rows(Q.reconcile(q, now(), k=2)[1], "job_id") == [("a6",), ("a7",)]
+    after = Q.recover(q, now(), k=2)
+    assert rows(after.jobs.filter("state = 'queued' AND job_id LIKE 'r%'"), "job_id") == [("r6",)]
+    left = {r[0] for r in rows(Q.purge(q, now(), k=2).outbox, "job_id")}
+    assert left == {e[0] for e in outbox} - {"a0", "a1"}
+    monkeypatch.setattr(Q, "AHEAD", 100)
+    seen = []
+    monkeypatch.setattr(Q, "_first", lambda rows, order, passing, k, plain=Q._first: plain(rows, order, lambda r, few: (seen.append(few), passing(r, few))[1], k))
+    Q.tick(q, now())
+    assert seen == [True] * 3

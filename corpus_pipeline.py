@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from tessera.llm.language_id import fit_language_id, identified
 from tessera.llm.packing import CAPACITY, pack
 from tessera.llm.queries import fold, tokenizer_path
 from tessera.llm.secrets import redacted
-from tessera.llm.similar import similar_groups
+from tessera.llm.similar import marked, similar_groups, wanted
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +45,22 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = similar_groups(docs, shingle=5, similarity=0.8, distance=2)
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     mark = "__text"  # the texts' hashes, under a name that the documents don't have
-    while mark.lower() in {c.lower() for c in docs.columns}:
+    while any(c.lower().startswith(mark.lower()) for c in docs.columns):
         mark += "_"
-    first = groups.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", F.col("first.text_hash").alias(mark))
-    hashed = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+    each = groups.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows"))
+    first = each.select("first.doc_id", F.col("first.text_hash").alias(mark))
+    # Most rows are alone in their group. They stay, and their texts aren't shuffled: the map has all rows
+    # of larger groups, and the few others that share a bit with one go the same way as these.
+    row = "xxhash64(cast(doc_id as long), `{}`)"
+    several = groups.join(each.filter("rows > 1").select("root"), "root", "left_semi")
+    several = wanted(several.selectExpr(f"{row.format('text_hash')} as node"))
+    listed = F.pandas_udf(lambda rows: pd.Series(marked(several.value, rows.to_numpy()) == 1), "boolean")
+    hashed = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string"))).withColumn(mark + "listed", listed(F.expr(row.format(mark))))
+    single, hashed = hashed.filter(~F.col(mark + "listed")), hashed.filter(F.col(mark + "listed"))
     named = hashed.join(first, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
     unnamed = hashed.filter(F.col("doc_id").isNull()).join(first.filter(F.col("doc_id").isNull()).select(mark), mark, "left_semi")
     # A join by name puts its columns first.
-    return named.unionByName(unnamed.dropDuplicates([mark])).select(*docs.columns)
+    return single.select(*docs.columns).unionByName(named.unionByName(unnamed.dropDuplicates([mark])).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,7 +194,8 @@ def links(prints: DataFrame, distance: int = 2, hot: int = HOT) -> DataFrame:
         raise ValueError("the segments find up to two differing bits")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     filed = _keyed(prints, asking=False).withColumnRenamed("fp", "a")
-    asked = _keyed(prints, asking=True).withColumnRenamed("fp", "b").selectExpr("*", "count(*) over (partition by key) as n")
+    # The join infers this filter below the window; with it in both uses of ``asked``, they share one shuffle.
+    asked = _keyed(prints, asking=True).filter("key is not null").withColumnRenamed("fp", "b").selectExpr("*", "count(*) over (partition by key) as n")
     pairs = filed.join(asked.filter(F.col("n") <= hot), (filed.key == asked.key) & (F.col("a") < F.col("b")) & near).select("a", "b")
     crowded = asked.filter(F.col("n") > hot).select(F.col("b").alias("fp")).distinct()
     more = _neighbours(crowded).filter(near).join(prints.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b")

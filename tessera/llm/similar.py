@@ -17,11 +17,15 @@ common keys of each node is compared first, and the others only where the groups
 found so far leave them apart.  A *crowded* key, of more nodes, may hold pairs that
 were not met.  Where its nodes are of several groups by then, all pairs of different
 groups meet in a last round: nodes are dealt into cells of about ``CELL`` by size and
-hash, cells of comparable sizes meet in pairs, each in one task, and sketches of 256
-bits (unrelated sets differ in 128, sets of a similarity of 0.8 in 40, or 48 if they
+hash, cells of comparable sizes meet in pairs, each in one task (a key of at most
+``CELL`` nodes is one cell), and sketches of 256 bits (unrelated sets differ in 128, sets of a similarity of 0.8 in 40, or 48 if they
 are very small) leave those within ``FAR_SKETCH`` to be compared by whole sets.
 So no key is too frequent, at a cost that grows there with the square of its nodes.
 
+Whole sets are compared in two steps, since a set travels once for each of its pairs.
+The first has 16 bits of each hash, a byte or so once they are written as gaps; what is
+common to two sets is common to these too, so no similar pair is lost there.
+
 Where a distance is given, the SimHash method itself comes first: fingerprints of three-word
 shingles linked through Golay keys of their segments and the pigeonhole principle, as
 ``simhash.py`` has it.  Its groups stand, and the comparison of sets adds to them.
@@ -94,6 +98,21 @@ def sketch_of(shingles: np.ndarray) -> bytes:
     return np.packbits(2 * votes > shingles.size, bitorder="little").tobytes()
 
 
+def gaps_of(values: np.ndarray) -> bytes:
+    """Sorted 16-bit values, repeats included, as the bytes of their gaps; 255 stands for 255 and more to come."""
+    gaps = np.diff(values.astype(np.int64), prepend=0)
+    out = np.full(int((gaps // 255 + 1).sum()), 255, np.uint8)
+    out[np.cumsum(gaps // 255 + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
+def values_of(gaps: bytes) -> np.ndarray:
+    """The values of ``gaps_of``, each times 2^32 with the number of equal ones before it added, so that all are distinct."""
+    read = np.frombuffer(gaps, np.uint8)
+    values = np.cumsum(read, dtype=np.int64)[read < 255]
+    return (values << 32) + np.arange(values.size) - np.searchsorted(values, values)
+
+
 def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of different groups with near sketches; rows come in the order of their meeting."""
     rest: list[pa.RecordBatch] = []
@@ -104,13 +123,16 @@ def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
             return
         bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)
         for left, right in ((0, 1), (2, 2)):
-            x, y = np.flatnonzero(side == left), np.flatnonzero(side == right)
-            step = max(1, COMPARED // max(1, y.size))
-            for at in range(0, x.size if y.size else 0, step):
+            # In order of size, so that only a range of the others is of a comparable one.
+            x, all_y = (chosen[np.argsort(n[chosen], kind="stable")] for chosen in (np.flatnonzero(side == left), np.flatnonzero(side == right)))
+            step = max(1, COMPARED // max(1, all_y.size))
+            for at in range(0, x.size if all_y.size else 0, step):
                 p = x[at : at + step, None]
+                low, high = np.searchsorted(n[all_y], [similarity * n[p[0, 0]] - 1e-6, n[p[-1, 0]] / similarity + 1e-6])
+                y = all_y[low:high]
                 near = (root[p] != root[y]) & (np.minimum(n[p], n[y]) >= similarity * np.maximum(n[p], n[y]) - 1e-9)
                 if left == right:
-                    near &= p < y
+                    near &= np.arange(at, at + p.size)[:, None] < np.arange(low, low + y.size)
                 i, j = np.nonzero(near)
                 i, j = x[at + i], y[j]
                 close = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= FAR_SKETCH
@@ -141,9 +163,10 @@ def prefix_size(n: int, similarity: float) -> int:
 
 
 def in_cells(members: DataFrame, similarity: float, cell: int) -> DataFrame:
-    """A row of ``members`` (key, node, n, ...) for each meeting of its cell with one of comparable sizes."""
+    """A row of ``members`` (key, node, n, many: nodes of the key, ...) for each meeting of its cell with one of comparable sizes."""
+    whole = members.filter(F.col("many") <= cell).select(F.xxhash64("key").alias("meeting"), F.lit(2).alias("side"), *members.columns)
     # Sizes whose ratio is ``similarity`` or more are of one band or of neighbouring ones.
-    banded = members.withColumn("band", F.expr(f"cast(floor(ln(n) / ({-np.log(similarity)}D + 1e-6D)) as int)"))
+    banded = members.filter(F.col("many") > cell).withColumn("band", F.expr(f"cast(floor(ln(n) / ({-np.log(similarity)}D + 1e-6D)) as int)"))
     counts = banded.groupBy("key", "band").agg(F.expr(f"cast(ceil(count(*) / {cell}) as int)").alias("cells"))
     for name, shift in (("own", 0), ("after", -1), ("before", 1)):
         banded = banded.join(counts.selectExpr("key", f"band + {shift} as band", f"cells as {name}"), ["key", "band"], "left")
@@ -157,7 +180,21 @@ def in_cells(members: DataFrame, similarity: float, cell: int) -> DataFrame:
     after = turns("after", "0", "band, cell", "band + 1, t")
     before = turns("before", "1", "band - 1, t", "band, cell")
     met = cut.withColumn("turn", F.expr(f"explode(concat({own}, {after}, {before}))"))
-    return met.select("turn.meeting", "turn.side", *members.columns)
+    return whole.unionByName(met.select("turn.meeting", "turn.side", *members.columns))
+
+
+def wanted(nodes: DataFrame) -> Broadcast:
+    """A map with the bits of all ``nodes.node`` set."""
+    slots = nodes.select(F.expr(f"cast(node & {SLOTS - 1} as int) as slot")).distinct()
+    slots = slots.limit(MOST_SLOTS + 1).toArrow().column("slot").to_numpy()
+    found = np.full(SLOTS // 8, 255 if slots.size > MOST_SLOTS else 0, np.uint8)
+    np.bitwise_or.at(found, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    return nodes.sparkSession.sparkContext.broadcast(found)
+
+
+def marked(found: np.ndarray, nodes: int | np.ndarray) -> int | np.ndarray:
+    """1 where the bits of nodes are set: all that were wanted and a few others."""
+    return found[(nodes & (SLOTS - 1)) >> 3] >> (nodes & 7) & 1
 
 
 def similar_groups(
@@ -200,11 +237,12 @@ def similar_groups(
                     same = [np.full(k, v, t) for v, t in ((node_of(s), np.int64), (print_of(s), np.int64), (s.size, np.int32))]
                     yield pa.RecordBatch.from_arrays([pa.array(s[:k].view(np.int64)), *map(pa.array, same)], ["key", "node", "fp", "n"])
 
-    def whole(among: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def whole(among: Broadcast, brief: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [(node_of(s), s) for s in shingle_sets(batch.column("text"), shingle)]
-                found = [(v, np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes()) for v, s in found if among.value[(v & (SLOTS - 1)) >> 3] >> (v & 7) & 1]
+                found = [(v, np.unique((s >> np.uint64(32)).astype(np.uint32))) for v, s in found if marked(among.value, v)]
+                found = [(v, gaps_of(s >> 16) if brief else s.tobytes()) for v, s in found]
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["node", "shingles"])
 
         return emit
@@ -213,33 +251,33 @@ def similar_groups(
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [(node_of(s), s) for s in shingle_sets(batch.column("text"), shingle)]
-                found = [(v, sketch_of(s)) for v, s in found if among.value[(v & (SLOTS - 1)) >> 3] >> (v & 7) & 1]
+                found = [(v, sketch_of(s)) for v, s in found if marked(among.value, v)]
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["node", "sketch"])
 
         return emit
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = ([np.frombuffer(v, np.uint32) for v in batch.column(c).to_pylist()] for c in ("x", "y"))
-            common = np.array([np.intersect1d(p, q, assume_unique=True).size for p, q in zip(x, y, strict=True)], np.int64)
-            either = np.array([p.size + q.size for p, q in zip(x, y, strict=True)], np.int64) - common
-            yield batch.select(["a", "b"]).filter(pa.array(common >= similarity * either - 1e-9))
-
-    def wanted(nodes: DataFrame) -> Broadcast:
-        slots = nodes.select(F.expr(f"cast(node & {SLOTS - 1} as int) as slot")).distinct()
-        slots = slots.limit(MOST_SLOTS + 1).toArrow().column("slot").to_numpy()
-        found = np.full(SLOTS // 8, 255 if slots.size > MOST_SLOTS else 0, np.uint8)
-        np.bitwise_or.at(found, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-        return docs.sparkSession.sparkContext.broadcast(found)
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def alike(read: Callable[[bytes], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = ([read(v) for v in batch.column(c).to_pylist()] for c in ("x", "y"))
+                common = np.array([np.intersect1d(p, q, assume_unique=True).size for p, q in zip(x, y, strict=True)], np.int64)
+                either = np.array([p.size + q.size for p, q in zip(x, y, strict=True)], np.int64) - common
+                yield batch.select(["a", "b"]).filter(pa.array(common >= similarity * either - 1e-9))
+
+        return emit
+
+    def sets_of(pairs: DataFrame, brief: bool) -> DataFrame:
         among = wanted(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-        return checkpoint(source.select("text").mapInArrow(whole(among), "node long, shingles binary").dropDuplicates(["node"]))
+        return checkpoint(source.select("text").mapInArrow(whole(among, brief), "node long, shingles binary").dropDuplicates(["node"]))
 
-    def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def checked(pairs: DataFrame, sets: DataFrame, read: Callable[[bytes], np.ndarray]) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+        return checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike(read), "a long, b long"))
+
+    def compared(pairs: DataFrame, briefs: DataFrame) -> DataFrame:
+        left = checked(pairs, briefs, values_of)
+        return checked(left, sets_of(left, brief=False), lambda v: np.frombuffer(v, np.uint32))
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
@@ -254,7 +292,7 @@ def similar_groups(
         met = checkpoint(met.selectExpr("key", "node", "n", "crowded", f"filter(met, {near}).node as met").filter("size(met) > 0 or crowded"))
         pairs = met.selectExpr("explode(met) as a", "node as b").groupBy("a", "b").count()
         pairs = checkpoint(pairs if linked is None else apart_of(pairs, components(linked)))
-        sets = sets_of(pairs)
+        sets = sets_of(pairs, brief=True)
         first = pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).selectExpr("best.a as a", "b")
         edges = compared(first, sets)
         edges = edges if linked is None else edges.unionByName(linked)
@@ -263,13 +301,13 @@ def similar_groups(
         edges = edges.unionByName(compared(apart, sets))
         roots = checkpoint(components(edges))
         crowded = met.filter("crowded").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = crowded.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
-        crowded = checkpoint(crowded.join(mixed, "key", "left_semi"))
+        mixed = crowded.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("many")).filter("least < most").select("key", "many")
+        crowded = checkpoint(crowded.join(mixed, "key"))
         if not crowded.isEmpty():
             sketches = source.select("text").mapInArrow(sketched(wanted(crowded.select("node"))), "node long, sketch binary").dropDuplicates(["node"])
-            cells = in_cells(crowded.select("key", "node", "n", "root").join(sketches, "node"), similarity, cell)
+            cells = in_cells(crowded.select("key", "node", "n", "root", "many").join(sketches, "node"), similarity, cell)
             cells = cells.select("meeting", "side", "node", "n", "root", "sketch").repartition("meeting").sortWithinPartitions("meeting")
             pairs = checkpoint(cells.mapInArrow(lambda batches: meetings(batches, similarity), "a long, b long").distinct())
             if not pairs.isEmpty():
-                roots = checkpoint(components(edges.unionByName(compared(pairs, sets_of(pairs)))))
+                roots = checkpoint(components(edges.unionByName(compared(pairs, sets_of(pairs, brief=True)))))
         return rows.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))

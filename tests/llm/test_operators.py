@@ -968,3 +968,53 @@ def test_compared_sets_and_sketches_are_bounded(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64 << 20
+
+
+def test_sets_as_gaps_lose_nothing():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 300, 5000):
+        values = np.sort(rng.integers(0, 1 << 16, n)).astype(np.uint32)
+        values[: n // 3] = values[0]
+        read = similar.values_of(similar.gaps_of(values))
+        assert (read >> 32 == values).all() and np.unique(read).size == n
+    assert similar.values_of(similar.gaps_of(np.array([0, 254, 509, 765, 65535], np.uint32))).tolist() == [v << 32 for v in (0, 254, 509, 765, 65535)]
+    # 500 shingles take a little more than a byte each, where whole hashes took four.
+    assert len(similar.gaps_of(np.sort(rng.integers(0, 1 << 16, 500)))) < 900
+
+
+def test_small_crowded_keys_are_one_meeting(spark):
+    rows = spark.createDataFrame([(k, k * 100 + i, 10 << i, 6) for k in (1, 2) for i in range(6)], "key long, node long, n int, many long")
+    assert [r["count"] for r in similar.in_cells(rows, 0.8, 6).groupBy("meeting").count().collect()] == [6, 6]
+
+
+def test_rows_alone_in_their_group_are_not_shuffled(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.bytes(6).hex() for _ in range(400)) for _ in range(300)]
+    documents(spark, [*texts, texts[0], texts[0]]).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    kept = corpus_pipeline.deduplicate(spark, docs, "")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert {r.doc_id for r in kept.collect()} == set(range(300))
+    assert written() - before < sum(map(len, texts)) // 4
+
+
+def test_fingerprint_links_shuffle_keys_once(spark):
+    drawn = np.random.default_rng(3).integers(-(2**63), 2**63, 4000)
+    near = np.concatenate([drawn, drawn[:500] ^ 5])
+    values = near.tolist()
+    prints = spark.createDataFrame([(v,) for v in values], "fp long")
+    plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+        before = written()
+        simhash._keyed(prints, asking=True).repartition("key").write.format("noop").mode("overwrite").save()
+        once = written() - before
+        found = {tuple(r) for r in simhash.links(prints).collect()}
+        assert written() - before - once < 1.8 * once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
+    assert found == {tuple(sorted(p)) for p in zip(values[:500], values[4000:], strict=True)}

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
-from ..lineage import new_folder
+from ..lineage import new_folder, stored
 from ..operators import control as C
 from ..streaming import events as E
 from ..streaming import timers as T
@@ -92,9 +93,13 @@ again AS (SELECT DISTINCT job_id, since + CAST({2 * HOUR}000000 AS BIGINT) * (CA
 def _in_order(rows: DataFrame, place: str, batches: int, order: list[str], run: Callable[[DataFrame], None]) -> None:
     """Runs a stream over ``rows`` in batches by ``order``: it is stopped after each one and started again with more files."""
     spark = rows.sparkSession
-    rows.repartitionByRange(batches, *order).withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{place}/parts")
+    # A batch is a run of ranges, so that no task writes or reads it alone.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.repartitionByRange(batches * n, *order).withColumn("part", F.expr(f"least({batches - 1}, spark_partition_id() div {n})").cast("int"))
+    ranges.write.partitionBy("part").parquet(f"{place}/parts")
+    parts = spark.read.schema(types.StructType([*rows.schema.fields, types.StructField("part", types.IntegerType())])).parquet(f"{place}/parts")
     for k in range(batches):
-        spark.read.schema(rows.schema).parquet(f"{place}/parts/part={k}").write.mode("append").parquet(f"{place}/in")
+        parts.filter(F.col("part") == k).drop("part").write.mode("append").parquet(f"{place}/in")
         run(E.event_stream(spark, f"{place}/in", rows.schema, files_per_batch=1 << 30))
 
 
@@ -122,6 +127,11 @@ def stream_usage_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = _folder(spark)
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), F.col("event_id").alias("request_id"), F.col("ts").alias("at"))
     counters = usage_counters(rows.withColumn("period", C.month_of(rows, "at")))
-    with T.with_rocks(spark):
-        _in_order(rows, place, 2, ["at", "request_id"], lambda stream: E.run_available(U.admitted_stream(stream, counters), f"{place}/out", f"{place}/c"))
+    counters = stored(counters, "counters")
+    sink = U.admission_sink(place, counters)
+
+    def run(stream: DataFrame) -> None:
+        stream.writeStream.foreachBatch(sink).trigger(availableNow=True).option("checkpointLocation", f"{place}/c").start().awaitTermination()
+
+    _in_order(rows, place, 2, ["at", "request_id"], run)
     return spark.read.parquet(f"{place}/out").select("request_id", "project_id", "period", "admitted", "used")

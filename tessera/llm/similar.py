@@ -2,8 +2,14 @@
 
 A text is the set of its shingles' 64-bit hashes, and equal sets are one *node*.
 Two sets of a Jaccard similarity of ``t`` or more share one of the ``(1 - t) * n + 1``
-least hashes of each, so every node is filed under these and met there.  Each
-meeting compares sizes and SimHash fingerprints.  For independent bits, those of two
+first hashes of each in any order that is the same for all, so every node is filed under
+these and met there.  The order has *common* shingles last, those in more than ``COMMON``
+texts, and otherwise follows the hash: texts that share a passage and have a fifth of their
+own don't meet by it.  Where two sets share the first key that they have in common, no more
+than what follows it in either can be common, so a meeting passes over pairs for which that
+is too few.  Which shingles are common is only a matter of cost; any choice loses no pair.
+
+Each meeting also compares SimHash fingerprints.  For independent bits, those of two
 equally large sets with a similarity of 0.8 are ten bits apart on average and more
 than ``FAR`` bits for four pairs in a hundred thousand; of unrelated sets 99 % are
 farther apart.  What is left is compared by whole sets, of 32 bits of each hash, so
@@ -20,7 +26,9 @@ groups meet in a last round: nodes are dealt into cells of about ``CELL`` by siz
 hash, cells of comparable sizes meet in pairs, each in one task (a key of at most
 ``CELL`` nodes is one cell), and sketches of 256 bits (unrelated sets differ in 128, sets of a similarity of 0.8 in 40, or 48 if they
 are very small) leave those within ``FAR_SKETCH`` to be compared by whole sets.
-So no key is too frequent, at a cost that grows there with the square of its nodes.
+Keys that aren't common have at most ``COMMON`` nodes, so their cost follows the input; only
+texts made of common shingles for the most part meet in larger ones, and there the cost
+grows with the square of those that earlier rounds leave in different groups.
 
 Whole sets are compared in two steps, since a set travels once for each of its pairs.
 The first has 16 bits of each hash, a byte or so once they are written as gaps; what is
@@ -45,7 +53,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import arrow_batches, checkpoint
+from .exchange import REQUEST_SCHEMA, arrow_batches, bucket_count, checkpoint, requests, unpack_sorted
 from .simhash import components, fingerprints, links
 from .textbytes import BLANKS, grams, slices
 
@@ -55,6 +63,12 @@ FAR = 22
 SMALL = 20
 FAR_SMALL = 28
 WIDE = 16
+COMMON = 256
+#: The most common shingles that are put last; beyond, those of most texts are.
+MOST_COMMON = 1 << 20
+#: Shingles that a task counts at once, and the bits of each by which they are counted.
+COUNTED = 1 << 21
+COUNTED_BITS = np.uint64(0xFFFFFFFF00000000)
 CELL = 1 << 14
 FAR_SKETCH = 80
 #: Bytes of an Arrow batch: ten thousand pairs of whole sets would take a task some hundred megabytes on either side.
@@ -114,11 +128,16 @@ def values_of(gaps: bytes) -> np.ndarray:
 
 
 def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different groups with near sketches; rows come in the order of their meeting."""
-    rest: list[pa.RecordBatch] = []
+    """Pairs (a, b) of different groups with near sketches; rows come in the order of their meeting.
+
+    ``rest``, if given, is how many of a node's ``n`` shingles aren't before the meeting's key.
+    """
+    held: list[pa.RecordBatch] = []
+    share = common_share(similarity)
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         side, node, n, root = (rows.column(c).to_numpy() for c in ("side", "node", "n", "root"))
+        rest = rows.column("rest").to_numpy() if "rest" in rows.column_names else n
         if (root == root[0]).all():
             return
         bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)
@@ -130,7 +149,7 @@ def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
                 p = x[at : at + step, None]
                 low, high = np.searchsorted(n[all_y], [similarity * n[p[0, 0]] - 1e-6, n[p[-1, 0]] / similarity + 1e-6])
                 y = all_y[low:high]
-                near = (root[p] != root[y]) & (np.minimum(n[p], n[y]) >= similarity * np.maximum(n[p], n[y]) - 1e-9)
+                near = (root[p] != root[y]) & (np.minimum(rest[p], rest[y]) >= share * (n[p] + n[y]) - 1e-6)
                 if left == right:
                     near &= np.arange(at, at + p.size)[:, None] < np.arange(low, low + y.size)
                 i, j = np.nonzero(near)
@@ -144,17 +163,17 @@ def meetings(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         ids = batch.column("meeting").to_numpy()
         if not ids.size:
             continue
-        if rest and rest[-1].column("meeting")[0].as_py() != ids[0]:
-            yield from pairs(pa.Table.from_batches(rest))
-            rest = []
+        if held and held[-1].column("meeting")[0].as_py() != ids[0]:
+            yield from pairs(pa.Table.from_batches(held))
+            held = []
         at = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), ids.size]
         for start, end in zip(at, at[1:], strict=False):
-            if start and rest:
-                yield from pairs(pa.Table.from_batches(rest))
-                rest = []
-            rest.append(batch.slice(start, end - start))
-    if rest:
-        yield from pairs(pa.Table.from_batches(rest))
+            if start and held:
+                yield from pairs(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -162,6 +181,62 @@ def prefix_size(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
 
+def common_share(similarity: float) -> float:
+    """The part of two sets' sizes together that similar ones have in common at least."""
+    return similarity / (1 + similarity)
+
+
+def common_shingles(texts: DataFrame, shingle: int, keys: int, common: int) -> Broadcast:
+    """A map of the slots of shingles that more than ``common`` rows have, for ``last_if_common``.
+
+    ``keys`` is about how many shingles all texts have. They are counted by 32 bits and their slots have
+    26, so that a few others share a bit; if there are more than ``MOST_COMMON``, the map has the most frequent.
+    """
+    buckets = bucket_count(texts.sparkSession, keys)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for s in shingle_sets(batch.column("text"), shingle):
+                held.append(s & COUNTED_BITS)
+                size += s.size
+                if size >= COUNTED:
+                    found, times = np.unique(np.concatenate(held), return_counts=True)
+                    yield requests(0, buckets, found, times.astype(np.uint32))
+                    held, size = [], 0
+        if size:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            yield requests(0, buckets, found, times.astype(np.uint32))
+
+    def merged(bucket: pa.Table) -> pa.Table:
+        parts = [unpack_sorted(blob) for blob in bucket.column("blob").to_pylist()]
+        found, times = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.argsort(found, kind="stable")
+        found = found[order]
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        total = np.add.reduceat(times[order].astype(np.int64), first)
+        many = total > common
+        return pa.table({"node": slots_of(found[first[many]]), "level": np.floor(4 * np.log2(total[many])).astype(np.int32)})
+
+    found = checkpoint(texts.mapInArrow(counted, REQUEST_SCHEMA).groupBy("bucket").applyInArrow(merged, "node long, level int"))
+    lowest, left = 1 << 10, MOST_COMMON
+    for level, many in sorted(found.groupBy("level").count().collect(), reverse=True):
+        left -= many
+        if left < 0:
+            break
+        lowest = level
+    return wanted(found.filter(F.col("level") >= lowest))
+
+
+def slots_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(38)).astype(np.int64)
+
+
+def last_if_common(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    late = marked(common, slots_of(shingles)) == 1
+    return np.concatenate([shingles[~late], shingles[late]])
+
+
 def in_cells(members: DataFrame, similarity: float, cell: int) -> DataFrame:
     """A row of ``members`` (key, node, n, many: nodes of the key, ...) for each meeting of its cell with one of comparable sizes."""
     whole = members.filter(F.col("many") <= cell).select(F.xxhash64("key").alias("meeting"), F.lit(2).alias("side"), *members.columns)
@@ -198,7 +273,7 @@ def marked(found: np.ndarray, nodes: int | np.ndarray) -> int | np.ndarray:
 
 
 def similar_groups(
-    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id", wide: int = WIDE, cell: int = CELL, distance: int | None = None
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id", wide: int = WIDE, cell: int = CELL, distance: int | None = None, common: int = COMMON
 ) -> DataFrame:
     """(doc_id, text_hash, root) of each row: rows of one group have one root.
 
@@ -209,9 +284,10 @@ def similar_groups(
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            found = [node_of(s) for s in shingle_sets(texts, shingle)]
+            found = [(node_of(s), s.size) for s in shingle_sets(texts, shingle)]
+            node, n = (pa.array(v, pa.int64()) for v in (zip(*found, strict=True) if found else ([], [])))
             prints = pa.nulls(batch.num_rows, pa.int64()) if distance is None else pa.array(fingerprints(texts).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found, pa.int64()), prints], ["doc_id", "text_hash", "node", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), node, prints, n], ["doc_id", "text_hash", "node", "print", "n"])
 
     def printed() -> DataFrame:
         """Links (a, b) of each node with the smallest one of its fingerprint's group."""
@@ -228,14 +304,18 @@ def similar_groups(
             pairs = pairs.join(roots.selectExpr(f"node as {end}", f"root as root_{end}"), end, "left")
         return pairs.filter("coalesce(root_a, a) <> coalesce(root_b, b)").drop("root_a", "root_b")
 
-    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in shingle_sets(batch.column("text"), shingle):
-                # Smaller sets are similar to equal ones only.
-                if prefix_size(s.size + 1, similarity) > 1 and s.size:
-                    k = prefix_size(s.size, similarity)
-                    same = [np.full(k, v, t) for v, t in ((node_of(s), np.int64), (print_of(s), np.int64), (s.size, np.int32))]
-                    yield pa.RecordBatch.from_arrays([pa.array(s[:k].view(np.int64)), *map(pa.array, same)], ["key", "node", "fp", "n"])
+    def filed(late: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in shingle_sets(batch.column("text"), shingle):
+                    # Smaller sets are similar to equal ones only.
+                    if prefix_size(s.size + 1, similarity) > 1 and s.size:
+                        k = prefix_size(s.size, similarity)
+                        same = [np.full(k, v, t) for v, t in ((node_of(s), np.int64), (print_of(s), np.int64), (s.size, np.int32))]
+                        rest = s.size - np.arange(k, dtype=np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(last_if_common(s, late.value)[:k].view(np.int64)), *map(pa.array, same), pa.array(rest)], ["key", "node", "fp", "n", "rest"])
+
+        return emit
 
     def whole(among: Broadcast, brief: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,15 +361,16 @@ def similar_groups(
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
-        rows = checkpoint(source.mapInArrow(nodes, "doc_id long, text_hash long, node long, print long"))
+        rows = checkpoint(source.mapInArrow(nodes, "doc_id long, text_hash long, node long, print long, n long"))
         linked = None if distance is None else printed()
-        keys = source.select("text").mapInArrow(filed, "key long, node long, fp long, n int").repartition("key").dropDuplicates(["key", "node"])
+        late = common_shingles(source.select("text"), shingle, rows.agg(F.sum("n")).first()[0] or 0, common)
+        keys = source.select("text").mapInArrow(filed(late), "key long, node long, fp long, n int, rest int").repartition("key").dropDuplicates(["key", "node"])
         by = "over (partition by key order by node rows between"
-        before = f"collect_list(struct(node, fp, n)) {by} {wide} preceding and 1 preceding) as met"
+        before = f"collect_list(struct(node, fp, n, rest)) {by} {wide} preceding and 1 preceding) as met"
         crowd = f"count(*) {by} unbounded preceding and unbounded following) > {wide + 1} as crowded"
-        near = f"m -> bit_count(m.fp ^ fp) <= if(n < {SMALL}, {FAR_SMALL}, {FAR}) AND least(m.n, n) >= {similarity}D * greatest(m.n, n) - 1e-9D"
-        met = keys.selectExpr("key", "node", "fp", "n", before, crowd).filter("size(met) > 0 or crowded")
-        met = checkpoint(met.selectExpr("key", "node", "n", "crowded", f"filter(met, {near}).node as met").filter("size(met) > 0 or crowded"))
+        near = f"m -> bit_count(m.fp ^ fp) <= if(n < {SMALL}, {FAR_SMALL}, {FAR}) AND least(m.rest, rest) >= {common_share(similarity)}D * (m.n + n) - 1e-6D"
+        met = keys.selectExpr("key", "node", "fp", "n", "rest", before, crowd).filter("size(met) > 0 or crowded")
+        met = checkpoint(met.selectExpr("key", "node", "n", "rest", "crowded", f"filter(met, {near}).node as met").filter("size(met) > 0 or crowded"))
         pairs = met.selectExpr("explode(met) as a", "node as b").groupBy("a", "b").count()
         pairs = checkpoint(pairs if linked is None else apart_of(pairs, components(linked)))
         sets = sets_of(pairs, brief=True)
@@ -300,13 +381,13 @@ def similar_groups(
         apart = apart_of(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)
         edges = edges.unionByName(compared(apart, sets))
         roots = checkpoint(components(edges))
-        crowded = met.filter("crowded").select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        crowded = met.filter("crowded").select("key", "node", "n", "rest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = crowded.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("many")).filter("least < most").select("key", "many")
         crowded = checkpoint(crowded.join(mixed, "key"))
         if not crowded.isEmpty():
             sketches = source.select("text").mapInArrow(sketched(wanted(crowded.select("node"))), "node long, sketch binary").dropDuplicates(["node"])
-            cells = in_cells(crowded.select("key", "node", "n", "root", "many").join(sketches, "node"), similarity, cell)
-            cells = cells.select("meeting", "side", "node", "n", "root", "sketch").repartition("meeting").sortWithinPartitions("meeting")
+            cells = in_cells(crowded.select("key", "node", "n", "rest", "root", "many").join(sketches, "node"), similarity, cell)
+            cells = cells.select("meeting", "side", "node", "n", "rest", "root", "sketch").repartition("meeting").sortWithinPartitions("meeting")
             pairs = checkpoint(cells.mapInArrow(lambda batches: meetings(batches, similarity), "a long, b long").distinct())
             if not pairs.isEmpty():
                 roots = checkpoint(components(edges.unionByName(compared(pairs, sets_of(pairs, brief=True)))))

@@ -293,6 +293,45 @@ def test_crowded_keys_lose_no_pair(spark, monkeypatch, cell):
     assert similar_found(spark, texts, wide=1, cell=cell) == want
 
 
+def met_pairs(spark, monkeypatch, texts, **options):
+    """The groups, and how many pairs meet in crowded keys."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches, similarity):
+        from tessera.llm.similar import meetings
+
+        for batch in meetings(batches, similarity):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(similar, "meetings", counted)
+    return similar_found(spark, texts, **options), made.value
+
+
+def test_pairs_of_crowded_keys_follow_the_input(spark, monkeypatch):
+    """Texts that share half their words don't meet by these: twice as many had four times the pairs."""
+    small, large = crowd(20), crowd(80)
+    few, many = (met_pairs(spark, monkeypatch, texts, wide=1, common=4) for texts in (small, large))
+    assert few[0] == similar_by_brute_force(small) and many[0] == similar_by_brute_force(large)
+    assert many[1] <= 4 * max(few[1], 30)
+
+
+def test_common_shingles_lose_no_pair(spark, monkeypatch):
+    """Passages in changing mixtures, so that even the last shingles of the order must be met."""
+    rng = np.random.default_rng(7)
+    passages = [[f"p{i}w{j}" for j in range(25)] for i in range(6)]
+    texts = {}
+    for k in range(120):
+        words = sum((passages[i] for i in sorted(rng.choice(6, int(rng.integers(2, 5)), replace=False).tolist())), [])
+        texts[k] = " ".join(words + [f"o{k}x{j}" for j in range(int(rng.integers(0, 12)))])
+    want = similar_by_brute_force(texts)
+    assert 10 < len(want) < 110
+    monkeypatch.setattr(similar, "COUNTED", 500)
+    for common, most in ((0, 1 << 20), (8, 40)):
+        monkeypatch.setattr(similar, "MOST_COMMON", most)
+        assert similar_found(spark, texts, wide=3, common=common) == want
+
+
 def test_sketches_tell_sets_apart():
     rng = np.random.default_rng(4)
     draw = lambda n: np.unique(rng.integers(0, 2**64, n, np.uint64))
